@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op1_configuration_packing
 from .sharding import op4_histogram_sort
 
 QUERIES = {
+    "op1_configuration_packing": op1_configuration_packing,
     "op4_histogram_sort": op4_histogram_sort,
 }
 
