@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .packing import op1_configuration_packing
+from .quality_rules import op9_quality_rules
 from .sharding import op4_histogram_sort
 
 QUERIES = {
+    "op9_quality_rules": op9_quality_rules,
     "op1_configuration_packing": op1_configuration_packing,
     "op4_histogram_sort": op4_histogram_sort,
 }
