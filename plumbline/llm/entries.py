@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
 from .quality_rules import op9_quality_rules
 from .sharding import op4_histogram_sort
 
 QUERIES = {
+    "op8_hyperminhash": op8_hyperminhash,
     "op9_quality_rules": op9_quality_rules,
     "op1_configuration_packing": op1_configuration_packing,
     "op4_histogram_sort": op4_histogram_sort,
