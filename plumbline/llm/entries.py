@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
+from .quality_classifier import op10_pairwise_additive
 from .quality_rules import op9_quality_rules
 from .sharding import op4_histogram_sort
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op1_configuration_packing": op1_configuration_packing,
     "op4_histogram_sort": op4_histogram_sort,
+    "op10_pairwise_additive": op10_pairwise_additive,
 }
 
 #: DuckDB statements for the queries that SQL can express.
