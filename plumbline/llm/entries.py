@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op7_duckdb_bpe
 from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
 from .quality_classifier import op10_pairwise_additive
@@ -9,6 +10,7 @@ from .quality_rules import op9_quality_rules
 from .sharding import op4_histogram_sort
 
 QUERIES = {
+    "op7_duckdb_bpe": op7_duckdb_bpe,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_quality_rules": op9_quality_rules,
     "op1_configuration_packing": op1_configuration_packing,
