@@ -7,6 +7,7 @@ from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
 from .quality_classifier import op10_pairwise_additive
 from .quality_rules import op9_quality_rules
+from .secrets import op3_secret_ownership
 from .sharding import op4_histogram_sort
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_quality_rules": op9_quality_rules,
     "op1_configuration_packing": op1_configuration_packing,
+    "op3_secret_ownership": op3_secret_ownership,
     "op4_histogram_sort": op4_histogram_sort,
     "op10_pairwise_additive": op10_pairwise_additive,
 }
