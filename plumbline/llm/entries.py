@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_duckdb_bpe
 from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
+from .pii import op2_information_theoretic
 from .quality_classifier import op10_pairwise_additive
 from .quality_rules import op9_quality_rules
 from .secrets import op3_secret_ownership
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_quality_rules": op9_quality_rules,
     "op1_configuration_packing": op1_configuration_packing,
+    "op2_information_theoretic": op2_information_theoretic,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_histogram_sort": op4_histogram_sort,
     "op10_pairwise_additive": op10_pairwise_additive,
