@@ -108,16 +108,17 @@ def _identity(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, s1, s2, sketch); the sketch is null for a text without words."""
+    """(id, text_hash, n_shingles, s1, s2, sketch); the sketch is null for a text without words."""
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _shingled(batches):
             s1, s2 = _identity(sets)
             sketch = [registers(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array(sketch, pa.binary())], ["id", "n_shingles", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array(sketch, pa.binary())], ["id", "text_hash", "n_shingles", "s1", "s2", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(sketched, f"id {kind}, n_shingles long, s1 long, s2 long, sketch binary")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text, F.xxhash64(text)).mapInArrow(sketched, f"id {kind}, text_hash long, n_shingles long, s1 long, s2 long, sketch binary")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,8 +155,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents that are linked, directly or through others, by Jaccard >= percent / 100 of five-word shingle sets.
 
-    One row per document: id, n_shingles, component_id (the smallest id of the group), kept (id = component_id) and
-    keeper (exactly one row of each group, also where ids repeat).
+    One row per document: id, n_shingles, text_hash, component_id (the smallest id of the group), kept (id = component_id)
+    and keeper (exactly one row of each group, also where ids repeat).
 
     1. One pass over the texts leaves a set's size, its 128-bit identity and its sketch. Equal sets form one class.
     2. 32 bands of four registers bucket the classes. Two sets at Jaccard 0.75 miss all bands once in 190,000 times.
@@ -233,7 +234,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     same = (F.col("s1") == F.col("a1")) & (F.col("s2") == F.col("a2")) & (F.col("n_shingles") == F.col("an"))
     out = rows.drop("sketch").join(names.select(a1, a2, n, "component_id", "keeper_u"), same, "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), F.coalesce(F.col("u") == F.col("keeper_u"), F.lit(True)).alias("keeper"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "text_hash", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), F.coalesce(F.col("u") == F.col("keeper_u"), F.lit(True)).alias("keeper"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row left of each group of near-duplicates, all columns as they were.
+
+    Documents without words stay, but for rows that repeat an id and text. A row is told by its id and a hash of its text.
+    """
+    groups = materialise(near_duplicates(docs, percent, id_col, text_col), "near-duplicates")
+    keep = groups.where("keeper").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
+    rows = rows.join(keep.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    if not groups.groupBy(id_col, "text_hash").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_own", "_h"])
+    return rows.select("row.*")
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ CACHE = 600_000
 #: Rounds of multiplicative weights; each prices one pattern with a knapsack table of capacity squared steps.
 ROUNDS = 150
 
+#: Counts by task and length up to this number (under 50 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_COUNTS = 500_000
+
 _TOKENIZERS: dict[str, _WordTokenizer] = {}
 
 
@@ -106,14 +109,15 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col:
                         rank.append(seen[size])
                         seen[size] += 1
                         if with_ids:
-                            ids.append(np.frombuffer(mine, "<u4").astype(np.int64))
+                            ids.append(mine)
                 out = [rows.column(0).take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:6]), pa.array([part] * len(owner), pa.int32())]
                 names = [id_col, "piece", "start", "length", "ids_crc32", "_rank", "_part"]
                 if with_ids:
-                    out, names = [*out, pa.array(ids, pa.list_(pa.int64()))], [*names, "ids"]
+                    ends = np.cumsum([0, *length]).astype(np.int32)
+                    out, names = [*out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _rank long, _part int" + ", ids array<long>" * with_ids
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _rank long, _part int" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(pieces, schema)
 
 
@@ -231,12 +235,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
     own. An empty table gives no rows. Other columns are not read.
     """
     pieces = materialise(tokenise_pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids), "pieces")
-    counts = pieces.groupBy("_part", "length").agg(F.count("*").alias("n"))
+    counts = materialise(pieces.groupBy("_part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     key, first, base, copies, offset = _runs(solve_configurations(histogram, capacity))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    ranked = pieces.join(counts, ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_part")
+    small = counts.count() <= BROADCAST_COUNTS
+    ranked = pieces.join(F.broadcast(counts) if small else counts, ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_part")
     names = [c for c in ranked.columns if c != "_rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
