@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_duckdb_bpe
+from .embeddings import op5_inverted_multi_index
 from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
 from .pii import op2_information_theoretic
@@ -12,6 +13,7 @@ from .secrets import op3_secret_ownership
 from .sharding import op4_histogram_sort
 
 QUERIES = {
+    "op5_inverted_multi_index": op5_inverted_multi_index,
     "op7_duckdb_bpe": op7_duckdb_bpe,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_quality_rules": op9_quality_rules,
