@@ -11,9 +11,11 @@ from .quality_classifier import op10_pairwise_additive
 from .quality_rules import op9_quality_rules
 from .secrets import op3_secret_ownership
 from .sharding import op4_histogram_sort
+from .url_filter import OP6_SQL, op6_temporal_lists
 
 QUERIES = {
     "op5_inverted_multi_index": op5_inverted_multi_index,
+    "op6_temporal_lists": op6_temporal_lists,
     "op7_duckdb_bpe": op7_duckdb_bpe,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_quality_rules": op9_quality_rules,
@@ -25,4 +27,4 @@ QUERIES = {
 }
 
 #: DuckDB statements for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_temporal_lists": OP6_SQL}
