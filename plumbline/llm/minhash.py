@@ -122,19 +122,23 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(c, n, shingles) of the wanted classes (c, id, n_shingles, s1, s2), from their representatives' whole texts."""
+    """(c, n, shingles, low) of the wanted classes (c, id, n_shingles, s1, s2), from their representatives' whole texts.
+
+    low: the shingles' sorted low 32 bits as bytes.
+    """
     kind = dict(wanted.dtypes)["id"]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.select(F.col("id").alias("w")).distinct(), F.col("id").eqNullSafe(F.col("w")), "left_semi")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _shingled(batches):
             s1, s2 = _identity(sets)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s1), pa.array(s2), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "s1", "s2", "shingles"])
+            low = [np.sort(s.astype(np.uint32)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s1), pa.array(s2), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "s1", "s2", "shingles", "low"])
 
-    sets = texts.mapInArrow(rows_of, f"id {kind}, s1 long, s2 long, shingles array<long>").withColumnRenamed("id", "id_")
+    sets = texts.mapInArrow(rows_of, f"id {kind}, s1 long, s2 long, shingles array<long>, low binary").withColumnRenamed("id", "id_")
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("a1") == F.col("s1")) & (F.col("a2") == F.col("s2"))
     found = wanted.select("c", "id", "n_shingles", F.col("s1").alias("a1"), F.col("s2").alias("a2")).join(sets, same)
-    return found.dropDuplicates(["c"]).select("c", F.col("n_shingles").alias("n"), "shingles")
+    return found.dropDuplicates(["c"]).select("c", F.col("n_shingles").alias("n"), "shingles", "low")
 
 
 def _estimates(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -163,8 +167,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     3. Each class meets only the smallest class of its bucket; estimates, then whole sets, confirm links; links give
        components. A bucket within one component is done: it can add no connection.
     4. In each remaining bucket, the pairs that cross components and whose sizes allow a link are estimated, block by
-       block, inside a task; only plausible ones leave it, and whole sets confirm them. So no confirmed connection depends
-       on which class led a bucket, and no bucket is capped.
+       block, inside a task, then compared by the low 32 bits of their shingles; only pairs within a hundredth of the
+       threshold leave the task, and whole sets confirm them. So no confirmed connection depends on which class led a
+       bucket, no bucket is capped, and the pairs of a family of loose copies are never written out.
     Nulls: a null text has no words, an empty group of its own; a null id is treated alike and is never an component id
     unless the group has no other. Repeated rows fall in one group. An empty table gives no rows. Other columns are not read.
     """
@@ -207,19 +212,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     spread = labelled.join(open_, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int"))
     spread = spread.select("band", "key", "c", "g", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     spread = spread.select("band", "key", "c", "g", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    members = spread.join(reps.select("c", "n_shingles", "sketch"), "c")
+    members = spread.join(reps.select("c", "n_shingles", "sketch"), "c").join(sets.select("c", "low"), "c")
 
     def crossing(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
-        s = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1)
+        band, _, i, j = key
+        joined = b"".join(group["sketch"])
+        s, keys = np.frombuffer(joined, "<u2").reshape(len(group), -1), np.frombuffer(joined, "<i8").reshape(len(group), -1)
+        low = [np.frombuffer(x, "<u4") for x in group["low"]]
         n, g, c, own = (group[k].to_numpy() for k in ("n_shingles", "g", "c", "own"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found = []
         for k in left:
             ok = right[(g[right] != g[k]) & (n[right] * percent <= n[k] * 100) & (n[k] * percent <= n[right] * 100) & ((own[right] != own[k]) | (c[right] > c[k]))]
-            if ok.size:
-                ok = ok[_estimates(s[ok], s[k], n[ok], n[k]) >= cut]
-                found += [(min(c[k], x), max(c[k], x)) for x in c[ok]]
+            ok = ok[(keys[ok] == keys[k]).argmax(axis=1) == band]  # a pair meets in its first common band only
+            ok = ok[_estimates(s[ok], s[k], n[ok], n[k]) >= cut]
+            for x in ok:
+                at = np.minimum(np.searchsorted(low[k], low[x]), len(low[k]) - 1)
+                common = np.count_nonzero(low[k][at] == low[x])
+                if 100 * common >= (percent - 1) * (n[k] + n[x] - common):
+                    found.append((min(c[k], c[x]), max(c[k], c[x])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     more = members.groupBy("band", "key", "i", "j").applyInPandas(crossing, "a long, b long").distinct()
