@@ -5,33 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import csv_cell, number_text, plain_number, signed_text, title_case
+from plumbline.functions.text import csv_cell, number_text, plain_number, signed_text, title_case, unit_label
 
 #: Priority label of each position, in report order (fixed values).
 PRIORITIES = {"PRIORIDADE": "ALTA", "ATENCAO": "ATENÇÃO", "RECUPERACAO": "MONITORAR", "DESTAQUE": "DESTAQUE"}
 ORDER = ["ALTA", "ATENÇÃO", "MONITORAR", "DESTAQUE"]
-#: CSV headers in order, and the columns below them (fixed values).
-CSV_HEADERS = ["Escola", "Código da escola", "Região", "Rede", "Ano/Série", "Componente", "Período", "SARESP 2024", "SARESP 2025", "Variação", "Variação %", "Situação"]
-
-
-def sentence(gap24: Column, gap25: Column, change: Column, diff: Column, state_diff: Column, subject: Column, grade: Column) -> Column:
-    """One sentence on a result; comparisons with nulls are false."""
-    word = F.when(diff >= 0, "avanço").otherwise("queda")
-    base = F.concat(title_case(subject), F.lit(" no "), grade, F.lit(": "), word, F.lit(" de "), number_text(F.abs(diff)), F.lit(" pontos"))
-    crossed = F.concat(base, F.lit(", passando a ficar "), number_text(gap25), F.lit(" pontos acima do recorte."))
-    nearer = F.concat(base, F.lit(", reduzindo a distância para o recorte em "), number_text(change), F.lit(" pontos."))
-    below = F.concat(base, F.lit(", ainda "), number_text(F.abs(gap25)), F.lit(" pontos abaixo do recorte."))
-    ahead = F.concat(base, F.lit(", acima da variação do recorte ("), signed_text(state_diff), F.lit(")."))
-    return F.when((gap24 < 0) & (gap25 >= 0), crossed).when((gap25 < 0) & (change > 1), nearer).when(gap25 < 0, below).when(diff > state_diff, ahead).otherwise(F.concat(base, F.lit(".")))
+#: CSV headers in order (fixed values), and the columns below them.
+CSV_HEADERS = ["Escola", "Codigo", "Regiao", "Serie/Ano", "Componente", "Periodo", "Rede", "Prof 2024", "Prof 2025", "Diferenca", "Variacao %", "Status"]
+CSV_TEXTS, CSV_NUMBERS = ["unit_name", "unit", "region", "grade", "subject", "period", "network"], ["prof2024", "prof2025", "diff", "percent"]
+#: Texts of the sentences; {} take formatted numbers (fixed values).
+BASE = "{} no {} passou de {} para {} pontos, {} de {} pontos."
+CROSSED = " A escola passou de {} pontos abaixo da média das escolas do recorte em 2024 para {} pontos acima em 2025."
+NEARER = " A escola reduziu a distância para a média das escolas do recorte em {} pontos, mas o resultado permanece {} pontos abaixo da média das escolas do recorte."
+BELOW = " O resultado permanece {} pontos abaixo da média das escolas do recorte."
+AHEAD = " A evolução da escola foi superior à observada no recorte."
+LOOK = " Este resultado merece investigação."
+
+
+def filled(template: str, *values: Column) -> Column:
+    """The template with its {} replaced by columns, in order."""
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, t in zip(values, parts[1:], strict=True) for x in (v, F.lit(t))])
+
+
+def sentence() -> Column:
+    """One sentence on a compared row; the first case that holds adds its second half, comparisons with nulls being false."""
+    c = F.col
+    size = lambda name: number_text(F.abs(c(name)))
+    word = F.when(c("diff") >= 0, "avanço").otherwise("queda")
+    base = filled(BASE, title_case(c("subject")), c("grade"), number_text(c("prof2024")), number_text(c("prof2025")), word, size("diff"))
+    cases = [
+        (~c("has_reference"), F.lit("")),
+        ((c("gap2024") < 0) & (c("gap2025") >= 0), filled(CROSSED, size("gap2024"), size("gap2025"))),
+        ((c("gap2025") < 0) & (c("gap_change") > 1), filled(NEARER, size("gap_change"), size("gap2025"))),
+        (c("gap2025") < 0, filled(BELOW, size("gap2025"))),
+        (c("diff") > c("state_diff"), F.lit(AHEAD)),
+    ]
+    rest = F.lit("")
+    for cond, text in reversed(cases):
+        rest = F.when(cond, text).otherwise(rest)
+    return F.concat(base, rest)
 
 
 def diagnosis(compared: DataFrame) -> DataFrame:
-    """Rows with a variation, each in a bucket ("destaques" or "atencao") with its sentence."""
+    """Rows with a variation, each in a bucket ("destaques" or "atencao") with its sentence.
+
+    A row with a benchmark goes by its position; one without goes to "destaques" unless it fell.
+    """
     rows = compared.where("diff is not null")
-    good = F.when(F.col("has_reference"), F.col("position").isin("DESTAQUE", "RECUPERACAO")).otherwise(F.col("tone") == "positive")
-    text = sentence(*(F.col(c) for c in ("gap2024", "gap2025", "gap_change", "diff", "state_diff", "subject", "grade")))
-    look = F.when(F.col("position") == "ATENCAO", F.concat(text, F.lit(" Este resultado merece investigação."))).otherwise(text)
-    return rows.select("unit", "grade", "subject", F.when(good, "destaques").otherwise("atencao").alias("bucket"), look.alias("sentence"))
+    own = F.when(F.col("tone") == "negative", "ATENCAO").otherwise("DESTAQUE")
+    rows = rows.withColumn("_key", F.when(F.col("has_reference"), F.col("position")).otherwise(own))
+    bucket = F.when(F.col("_key").isin("DESTAQUE", "RECUPERACAO"), "destaques").otherwise("atencao")
+    text = F.when(F.col("_key") == "ATENCAO", F.concat(sentence(), F.lit(LOOK))).otherwise(sentence())
+    return rows.select("unit", "grade", "subject", bucket.alias("bucket"), text.alias("sentence"))
 
 
 def priorities(compared: DataFrame) -> DataFrame:
@@ -41,7 +67,8 @@ def priorities(compared: DataFrame) -> DataFrame:
         label = F.when(F.col("position") == k, v).otherwise(label)
     rows = compared.where("has_reference and diff is not null").withColumn("priority", label)
     rank = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.col("priority"))
-    evidence = F.concat(F.lit("Variação "), signed_text(F.col("diff")), F.lit("; distância "), signed_text(F.col("gap2025")))
+    gap = F.when(F.col("gap2025").isNotNull(), filled("Gap para o recorte: {} pts", signed_text(F.col("gap2025"))))
+    evidence = F.concat_ws(" · ", filled("Variação: {} pts", signed_text(F.col("diff"))), gap)
     return rows.select("unit", "grade", "subject", "priority", F.coalesce(rank, F.lit(len(ORDER) + 1)).cast("int").alias("rank"), F.col("position_label").alias("situation"), evidence.alias("evidence"), F.col("position_tone").alias("tone"))
 
 
@@ -67,16 +94,31 @@ def spread_labels(rows: DataFrame, group: list[str], y: str, order: list[str], g
 
 def csv_lines(detail: DataFrame) -> DataFrame:
     """One text line per detail row, every cell quoted, semicolons between; `CSV_HEADERS` is the header, unquoted."""
-    cells = [F.col("unit_name"), F.col("unit"), F.col("region"), F.col("network"), F.col("grade"), F.col("subject"), F.col("period")]
-    cells += [plain_number(F.col(c)) for c in ("prof2024", "prof2025", "diff", "percent")] + [F.col("status")]
+    cells = [F.col(c) for c in CSV_TEXTS] + [plain_number(F.col(c)) for c in CSV_NUMBERS] + [F.col("status")]
     return detail.select("unit", "grade", "subject", "period", F.concat_ws(";", *[csv_cell(c) for c in cells]).alias("line"))
 
 
-def report_lines(diagnosed: DataFrame) -> DataFrame:
-    """(unit, text): a plain report of each unit, both buckets in order, "Nenhum." where one is empty."""
-    def part(bucket: str) -> Column:
-        each = F.array_sort(F.collect_list(F.when(F.col("bucket") == bucket, F.struct("grade", "subject", "sentence"))))
-        return F.when(F.size(each) > 0, F.array_join(F.transform(each, lambda s: F.concat(F.lit("- "), s["sentence"])), "\n")).otherwise("Nenhum.")
-
-    text = F.concat_ws("\n", F.lit("Destaques"), part("destaques"), F.lit("Pontos de atenção"), part("atencao"))
-    return diagnosed.groupBy("unit").agg(text.alias("text"))
+def printed_reports(compared: DataFrame, title: str) -> DataFrame:
+    """(unit, text): each unit's plain report: title, label, results, both buckets and priorities, in order of grade and subject."""
+    said = diagnosis(compared).withColumnsRenamed({"bucket": "b", "sentence": "s"})
+    ranked = priorities(compared).select("unit", "grade", "subject", "priority", "rank", "evidence")
+    keys = ["unit", "grade", "subject"]
+    rows = compared.join(said, keys, "left").join(ranked, keys, "left")
+    line = filled("- {} ({}): {} -> {} ({})", F.col("subject"), F.col("grade"), *[F.coalesce(plain_number(F.col(c)), F.lit("-")) for c in ("prof2024", "prof2025")], F.col("status"))
+    urgent = filled("- [{}] {} ({}): {}", F.coalesce("priority", F.lit("")), F.col("subject"), F.col("grade"), F.coalesce("evidence", F.lit("")))
+
+    def section(head: str, keep: Column, order: list[Column], text: Column, none: str) -> Column:
+        each = F.array_sort(F.collect_list(F.when(keep, F.struct(*order, F.col("grade"), F.col("subject"), text.alias("_text")))))
+        lines = F.array_join(F.transform(each, lambda x: x["_text"]), "\n")
+        return F.concat(F.lit(f"\n{head}\n"), F.when(F.size(each) > 0, lines).otherwise(none))
+
+    text = F.concat_ws(
+        "\n",
+        F.lit(title),
+        F.concat(F.lit("Escola: "), F.first(unit_label(F.col("unit_name"), F.col("network"), F.col("region"), F.col("unit")))),
+        section("Resumo por componente e série:", F.lit(True), [], line, ""),
+        section("Destaques:", F.col("b") == "destaques", [], F.concat(F.lit("- "), "s"), "- Nenhum."),
+        section("Pontos de atenção:", F.col("b") == "atencao", [], F.concat(F.lit("- "), "s"), "- Nenhum."),
+        section("Prioridades para análise:", F.col("rank").isNotNull(), [F.col("rank")], urgent, "- Nenhuma."),
+    )
+    return rows.groupBy("unit").agg(text.alias("text"))

@@ -158,6 +158,11 @@ def priorities(spark, sf_dir):
     return orp.priorities(_compared(spark, sf_dir)).select("unit", "grade", "subject", "priority", "rank")
 
 
+@query()
+def printed_reports(spark, sf_dir):
+    return orp.printed_reports(_compared(spark, sf_dir), "Relatório")
+
+
 @query(f"{_C} SELECT CASE WHEN position IN ('DESTAQUE', 'RECUPERACAO') THEN 'destaques' ELSE 'atencao' END AS bucket, count(*) AS n FROM compared WHERE diff IS NOT NULL GROUP BY ALL")
 def diagnosis_bucket(spark, sf_dir):
     return orp.diagnosis(_compared(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("n"))
@@ -168,11 +173,12 @@ _N = _TENTH.format
 
 
 @query(f"""{_C}, said AS (
-  SELECT *, subject || ' no ' || grade || ': ' || CASE WHEN diff >= 0 THEN 'avanço' ELSE 'queda' END || ' de ' || {_N('diff')} || ' pontos' AS base FROM compared WHERE diff IS NOT NULL)
+  SELECT *, subject || ' no ' || grade || ' passou de ' || {_N('prof2024')} || ' para ' || {_N('prof2025')} || ' pontos, ' || CASE WHEN diff >= 0 THEN 'avanço' ELSE 'queda' END || ' de ' || {_N('diff')} || ' pontos.' AS base FROM compared WHERE diff IS NOT NULL)
 SELECT unit, grade, subject, CASE WHEN position IN ('DESTAQUE', 'RECUPERACAO') THEN 'destaques' ELSE 'atencao' END AS bucket,
-  CASE WHEN gap2024 < 0 AND gap2025 >= 0 THEN base || ', passando a ficar ' || {_N('gap2025')} || ' pontos acima do recorte.' WHEN gap2025 < 0 AND gap_change > 1 THEN base || ', reduzindo a distância para o recorte em ' || {_N('gap_change')} || ' pontos.'
-       WHEN gap2025 < 0 THEN base || ', ainda ' || {_N('gap2025')} || ' pontos abaixo do recorte.'
-       WHEN diff > state_diff THEN base || ', acima da variação do recorte (' || CASE WHEN state_diff > 0 THEN '+' WHEN state_diff < 0 THEN '-' ELSE '' END || {_N('state_diff')} || ').' ELSE base || '.' END
+  base || CASE WHEN gap2024 < 0 AND gap2025 >= 0 THEN ' A escola passou de ' || {_N('gap2024')} || ' pontos abaixo da média das escolas do recorte em 2024 para ' || {_N('gap2025')} || ' pontos acima em 2025.'
+       WHEN gap2025 < 0 AND gap_change > 1 THEN ' A escola reduziu a distância para a média das escolas do recorte em ' || {_N('gap_change')} || ' pontos, mas o resultado permanece ' || {_N('gap2025')} || ' pontos abaixo da média das escolas do recorte.'
+       WHEN gap2025 < 0 THEN ' O resultado permanece ' || {_N('gap2025')} || ' pontos abaixo da média das escolas do recorte.'
+       WHEN diff > state_diff THEN ' A evolução da escola foi superior à observada no recorte.' ELSE '' END
   || CASE WHEN position = 'ATENCAO' THEN ' Este resultado merece investigação.' ELSE '' END AS sentence FROM said""")
 def diagnosis_text(spark, sf_dir):
     return orp.diagnosis(_compared(spark, sf_dir))
@@ -367,7 +373,7 @@ def line_clean(spark, sf_dir):
 
 
 @query(f"""WITH {ASSESSMENT_SQL}, {_LATEST.format('raw')}, p AS (SELECT unit, grade, period, subject, max(CASE WHEN year = 2024 THEN score END) AS a, max(CASE WHEN year = 2025 THEN score END) AS b FROM raw GROUP BY ALL),
-c AS (SELECT *, unnest([unit_name, unit, region, network, grade, subject, period]) AS cell, generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS i FROM p JOIN latest USING (unit))
+c AS (SELECT *, unnest([unit_name, unit, region, grade, subject, period, network]) AS cell, generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS i FROM p JOIN latest USING (unit))
 SELECT unit, grade, subject, period, string_agg('"' || replace(cell, '"', '""') || '"', ';' ORDER BY i) AS line FROM c GROUP BY unit, grade, subject, period""")
 def csv_cells(spark, sf_dir):
     lines = orp.csv_lines(oa.detail_comparison(assessment(spark, sf_dir)))

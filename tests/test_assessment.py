@@ -82,7 +82,13 @@ def test_diagnosis_and_priorities(spark):
     assert "avanço de 20,0" in said["destaques"] and "queda de 15,0" in said["atencao"]
     ranked = orp.priorities(mine).orderBy("rank").collect()
     assert [(r["priority"], r["subject"]) for r in ranked] == [("ALTA", "MATEMÁTICA"), ("DESTAQUE", "LÍNGUA PORTUGUESA")]
-    assert orp.report_lines(orp.diagnosis(mine)).first()["text"].startswith("Destaques\n- ")
+    assert said["destaques"].startswith("Língua Portuguesa no 5º Ano EF passou de 220,0 para 240,0 pontos, avanço de 20,0 pontos.")
+    assert said["destaques"].endswith("A evolução da escola foi superior à observada no recorte.")
+    assert "25,0 pontos" not in said["destaques"] and said["atencao"].endswith("27,5 pontos abaixo da média das escolas do recorte.")
+    lines = orp.printed_reports(mine, "T").first()["text"].split("\n")
+    assert lines[:2] == ["T", "Escola: ESCOLA TESTE — Rede Estadual · Região 1 — Cód. 100"]
+    assert "- LÍNGUA PORTUGUESA (5º Ano EF): 220 -> 240 (Evolução positiva)" in lines
+    assert lines[-2:] == ["- [ALTA] MATEMÁTICA (5º Ano EF): Variação: -15,0 pts · Gap para o recorte: -27,5 pts", "- [DESTAQUE] LÍNGUA PORTUGUESA (5º Ano EF): Variação: +20,0 pts · Gap para o recorte: +20,0 pts"]
 
 
 def test_csv_line(spark):
