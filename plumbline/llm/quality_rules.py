@@ -98,10 +98,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     base = base.withColumn("_h2", pair_hashes(h1, 1)).withColumn("_h4", pair_hashes(h2, 2))
     ratio = lambda total, h: total + F.get(F.col("_model"), bucket(h, buckets))
     total = F.aggregate(h1, F.lit(0.0), ratio) + F.aggregate(h2, F.lit(0.0), ratio)
-    out = base.select("row", *[c.alias(n) for n, c in rule_columns(t, w).items()], repeated_words(h4).cast("long").alias("n_repeat_words"), F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).alias("llr"))
+    out = base.select("row", *[c.alias(n) for n, c in rule_columns(t, w).items()], repeated_words(h4).cast("long").alias("n_repeat_words"), F.when(F.size(w) > 0, total / (2 * F.size(w) - 1)).alias("llr"), F.monotonically_increasing_id().alias("_at"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    # a filter on `kept` must not move below the counts, where each use of a column would compute it again: the row number,
+    # always 0 or more, is not deterministic to the optimiser and holds the filter above the projection that makes it
+    passed = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)) & (F.col("_at") >= 0)
+    return out.withColumn("kept", passed).drop("_at")
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
