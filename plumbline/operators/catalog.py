@@ -57,12 +57,25 @@ def neighbours(records: DataFrame, within: list[str]) -> DataFrame:
 
 
 def related_by_group(records: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
-    """For each record up to n others that agree on all keys (null equals null): same object first, then by code."""
-    a, b = records.alias("a"), records.alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    pairs = a.join(b, same & (F.col("a.code") != F.col("b.code"))).select(F.col("a.code").alias("code"), F.col("b.code").alias("related"), F.col("a.object").eqNullSafe(F.col("b.object")).alias("same_object"))
-    w = Window.partitionBy("code").orderBy(F.desc("same_object"), "related")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("code", "related", "place")
+    """For each record up to n others that agree on all keys (null equals null): same object first, then by code.
+
+    Candidates come down to a few per group before any join: of its own object a record can need the n + 1 first codes; of
+    other objects the n first, and these are among the group's 2n first once each object offers n at most.
+    """
+    base = records.select("code", "object", *keys)
+    ranked = base.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "object").orderBy("code")))
+    near = ranked.where(F.col("k") <= n + 1)
+    far = ranked.where(F.col("k") <= n).withColumn("g", F.row_number().over(Window.partitionBy(*keys).orderBy("code"))).where(F.col("g") <= 2 * n)
+    same_keys = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    same_object = F.col("a.object").eqNullSafe(F.col("b.object"))
+
+    def pairs(others: DataFrame, cond: Column, same: bool) -> DataFrame:
+        joined = base.alias("a").join(others.alias("b"), same_keys & cond & (F.col("a.code") != F.col("b.code")))
+        return joined.select(F.col("a.code").alias("code"), F.col("b.code").alias("related"), F.lit(same).alias("same"))
+
+    both = pairs(near, same_object, True).union(pairs(far, ~same_object, False))
+    w = Window.partitionBy("code").orderBy(F.desc("same"), "related")
+    return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("code", "related", "place")
 
 
 def related_by_overlap(records: DataFrame, within: list[str], array: str, n: int = 4) -> DataFrame:
@@ -96,3 +109,12 @@ def routes(records: DataFrame, valid_years: list[str]) -> DataFrame:
 def page(records: DataFrame, number: int, size: int = 18) -> DataFrame:
     """The records of pages 1 to `number`, in catalogue order."""
     return records.orderBy("ord").limit(size * number)
+
+
+def existence_flags(records: DataFrame) -> DataFrame:
+    """One row: whether any record has a unit, an object, a field."""
+    return records.agg(*[F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)).alias(f"any_{c}") for c in ("unit", "object", "field")])
+
+
+def hub_totals(records: DataFrame) -> DataFrame:
+    return records.groupBy("subject").agg(F.count("*").alias("n"))

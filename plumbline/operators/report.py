@@ -10,6 +10,8 @@ from plumbline.functions.text import csv_cell, number_text, plain_number, signed
 #: Priority label of each position, in report order (fixed values).
 PRIORITIES = {"PRIORIDADE": "ALTA", "ATENCAO": "ATENÇÃO", "RECUPERACAO": "MONITORAR", "DESTAQUE": "DESTAQUE"}
 ORDER = ["ALTA", "ATENÇÃO", "MONITORAR", "DESTAQUE"]
+#: Style class of each position (fixed values).
+BADGES = {"DESTAQUE": "tone-destaque", "RECUPERACAO": "tone-recuperacao", "ATENCAO": "tone-atencao", "PRIORIDADE": "tone-prioridade", "SEM_REFERENCIA": "tone-sem-referencia", "SEM_EVOLUCAO": "tone-sem-referencia"}
 #: CSV headers in order (fixed values), and the columns below them.
 CSV_HEADERS = ["Escola", "Codigo", "Regiao", "Serie/Ano", "Componente", "Periodo", "Rede", "Prof 2024", "Prof 2025", "Diferenca", "Variacao %", "Status"]
 CSV_TEXTS, CSV_NUMBERS = ["unit_name", "unit", "region", "grade", "subject", "period", "network"], ["prof2024", "prof2025", "diff", "percent"]

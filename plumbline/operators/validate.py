@@ -87,6 +87,11 @@ def sequence_gaps(records: DataFrame, prefix: list[str], number: str, last: int
     return records.where(F.col(number).isNotNull()).groupBy(*prefix).agg(missing.alias("m")).select(*prefix, F.explode("m").alias("missing"))
 
 
+def padded_list(numbers: Column) -> Column:
+    """Numbers of an array as text: two digits each, joined by commas."""
+    return F.array_join(F.transform(numbers, lambda n: F.lpad(n.cast("string"), 2, "0")), ", ")
+
+
 def totals(records: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
     """Counts by key; with `known` keys, those without records count 0."""
     counts = records.groupBy(*keys).agg(F.count("*").alias("n"))
