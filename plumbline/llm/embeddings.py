@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, table
 
-#: Vectors that the codebooks are fitted on, and queries of them that set the number of visited cells.
+_LOG = logging.getLogger(__name__)
+
+#: Vectors that the codebooks are fitted on, and further vectors whose links to all vectors set the number of visited cells.
 SAMPLE, QUERIES = 20_000, 2_000
-#: Share of the sample's true links that the visited cells must hold; cells are then doubled.
+#: Share of the queries' true links that the visited cells must hold; cells are then doubled.
 RECALL = 0.995
-LEAST_CELLS, MOST_CELLS = 4, 64
+#: With fewer true links than this, links made at the threshold itself must be held too.
+ENOUGH_LINKS = 1_000
+LEAST_CELLS = 4
+#: Numbers that a block of cell distances or of visited cells may hold.
+BLOCK = 4_000_000
 #: Members and queries of a cell that meet in one task; a larger cell is cut in blocks and all pairs of blocks.
 MEMBERS, ASKED = 2048, 4096
 
@@ -42,6 +50,14 @@ class MultiIndex:
             centres[n > 0] = sums[n > 0] / n[n > 0, None]
         return centres
 
+    @property
+    def cells(self) -> int:
+        return len(self.books[0]) * len(self.books[1])
+
+    def distances(self, x: np.ndarray) -> list[np.ndarray]:
+        """Squared distances of both halves to their centres, less the half's own square."""
+        return [(book**2).sum(1) - 2 * h @ book.T for h, book in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True)]
+
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each unit vector, nearest first, by the sum of both halves' squared distances.
 
@@ -49,29 +65,89 @@ class MultiIndex:
         (i + 1) * (j + 1) <= n, which is the staircase that a multi-sequence traversal walks.
         """
         ranks, far = [], []
-        for h, book in zip((x[:, : self.half], x[:, self.half :]), self.books, strict=True):
-            d = (book**2).sum(1) - 2 * h @ book.T
+        for d in self.distances(x):
             ranks.append(np.argsort(d, axis=1, kind="stable")[:, :n])
             far.append(np.take_along_axis(d, ranks[-1], axis=1))
-        stairs = [(i, j) for i in range(far[0].shape[1]) for j in range(far[1].shape[1]) if (i + 1) * (j + 1) <= n]
-        i, j = (np.array(s) for s in zip(*stairs, strict=True))
-        best = np.argsort(far[0][:, i] + far[1][:, j], axis=1, kind="stable")[:, :n]
-        cell = ranks[0][:, i] * len(self.books[1]) + ranks[1][:, j]
-        return np.take_along_axis(cell, best, axis=1)
-
-    def calibrate(self, vectors: np.ndarray, labels: np.ndarray, threshold: float) -> None:
-        """Visit enough cells to hold RECALL of the true links of QUERIES sample vectors, found by brute force; then double."""
-        asked = min(QUERIES, len(vectors))
-        order, own = self.nearest(vectors[:asked], MOST_CELLS), self.nearest(vectors, 1)[:, 0]
-        places = []
-        for a in range(0, asked, 500):
-            q, y = np.nonzero((vectors[a : min(a + 500, asked)] @ vectors.T >= threshold) & (labels[a : min(a + 500, asked), None] == labels[None, :]))
-            keep = q + a != y
-            hit = order[a + q[keep]] == own[y[keep], None]
-            places.append(np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_CELLS))
-        places = np.concatenate(places)
-        need = int(np.quantile(places, RECALL)) + 1 if len(places) else LEAST_CELLS
-        self.visits = int(min(MOST_CELLS, max(LEAST_CELLS, 2 * need)))
+        i, j = np.nonzero(np.outer(np.arange(1, far[0].shape[1] + 1), np.arange(1, far[1].shape[1] + 1)) <= n)
+        out = np.empty((len(x), min(n, len(i))), np.int64)
+        step = max(1, BLOCK // len(i))
+        for a in range(0, len(x), step):
+            z = slice(a, a + step)
+            best = np.argsort(far[0][z][:, i] + far[1][z][:, j], axis=1, kind="stable")[:, :n]
+            out[z] = np.take_along_axis(ranks[0][z][:, i] * len(self.books[1]) + ranks[1][z][:, j], best, axis=1)
+        return out
+
+    def places(self, far: list[np.ndarray], row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The place of each cell among all cells, nearest first, seen from that row of `distances`; ties count as nearer."""
+        out = np.empty(len(row), np.int64)
+        step = max(1, BLOCK // self.cells)
+        for a in range(0, len(row), step):
+            r, c = row[a : a + step], cell[a : a + step]
+            mine = far[0][r, c // len(self.books[1])] + far[1][r, c % len(self.books[1])]
+            out[a : a + step] = (far[0][r][:, :, None] + far[1][r][:, None, :] <= mine[:, None, None] + 1e-12).sum((1, 2)) - 1
+        return out
+
+    def calibrate(self, queries: np.ndarray, seen: dict[int, int], threshold: float) -> None:
+        """Visit enough cells to hold RECALL of the links seen, {place of the partner's cell: links}; then double.
+
+        Too few links say little about the rest: links made at the threshold, each query with a vector in a random direction
+        from it, then have to be held as well. They are as far apart as links can be.
+        """
+        need = _quantile(seen)
+        if sum(seen.values()) < ENOUGH_LINKS:
+            away = np.random.default_rng(6).normal(size=queries.shape)
+            away -= (away * queries).sum(1, keepdims=True) * queries
+            away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+            cosine = float(np.clip(threshold, -1, 1))
+            made = cosine * queries + np.sqrt(1 - cosine**2) * away
+            place = self.places(self.distances(queries), np.arange(len(queries)), self.nearest(made, 1)[:, 0])
+            need = max(need, _quantile(dict(enumerate(np.bincount(place).tolist()))))
+            _LOG.warning("%d links seen from %d queries: links made at the threshold set the visited cells to %d of %d", sum(seen.values()), len(queries), min(self.cells, 2 * need), self.cells)
+        self.visits = int(min(self.cells, max(LEAST_CELLS, 2 * need)))
+
+
+def _quantile(places: dict[int, int]) -> int:
+    """The least number of cells that holds RECALL of the links; 0 without links."""
+    if not places:
+        return 0
+    at = np.array(sorted(places))
+    upto = np.cumsum([places[k] for k in at.tolist()])
+    return int(at[np.searchsorted(upto, RECALL * upto[-1])]) + 1
+
+
+def _link_places(unit: DataFrame, index: MultiIndex, queries: np.ndarray, labels: list, classes: np.ndarray, threshold: float) -> dict[int, int]:
+    """{place of the partner's cell as the query sees it: true links}, from every query to all rows (v, c, label) of unit.
+
+    Tasks compare whole blocks and return counts by place, of which there are at most as many as cells.
+    """
+    codes = {label: k for k, label in enumerate(dict.fromkeys(labels))}
+    of = np.array([codes[label] for label in labels])
+    asked = {k: np.flatnonzero(of == k) for k in codes.values()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, total = index.distances(queries), np.zeros(index.cells, np.int64)
+        for b in batches:
+            b = b.filter(pc.equal(pc.list_value_length(b.column(0)), index.dim))
+            code = np.array([codes.get(label, -1) for label in b.column(2).to_pylist()], np.int64)
+            x, c = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, index.dim), b.column(1).to_numpy()
+            for k in np.unique(code[code >= 0]).tolist():
+                mine = np.flatnonzero(code == k)
+                y = x[mine] / np.linalg.norm(x[mine], axis=1, keepdims=True)
+                home = None
+                for a in range(0, len(asked[k]), 256):
+                    q = asked[k][a : a + 256]
+                    i, j = np.nonzero(queries[q] @ y.T >= threshold)
+                    keep = classes[q[i]] != c[mine[j]]
+                    if not keep.any():
+                        continue
+                    home = index.nearest(y, 1)[:, 0] if home is None else home
+                    pair, times = np.unique(q[i[keep]] * index.cells + home[j[keep]], return_counts=True)
+                    np.add.at(total, index.places(far, pair // index.cells, pair % index.cells), times)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["place", "n"])
+
+    found = unit.select("v", "c", "label").mapInArrow(count, "place long, n long")
+    return {int(r[0]): int(r[1]) for r in found.groupBy("place").agg(F.sum("n")).collect()}
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +169,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     """Link vectors of one label whose cosine is at least `threshold`: id, n_links, component_id, kept (id = component_id).
 
     Equal vectors of a label form one class, counted by its size. Codebooks come from at most SAMPLE classes; every class
-    is indexed in its nearest cell and visits `visits` cells. In a cell, whole blocks of queries and members are compared
+    is indexed in its nearest cell and visits `visits` cells, a number set on the links of QUERIES classes with all classes
+    and bounded by the number of cells only. In a cell, whole blocks of queries and members are compared
     in double precision; a link found from both ends is counted once for each end, one found from one end for both.
     Links never leave a task as pairs: a task sends a count and the component's smallest class for each of its classes.
     Vectors that are null, zero, hold null or non-finite components or have no label link with nothing. Vectors of another
@@ -110,7 +187,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     unit = materialise(unit, "vector-members")
 
     n = unit.count()
-    sample = unit.select("label", "v").orderBy(F.xxhash64("c")).limit(SAMPLE).toPandas()
+    sample = unit.select("label", "v", "c").orderBy(F.xxhash64("c"), "c").limit(SAMPLE + QUERIES).toPandas()
     index = None
     if len(sample):
         length = int(sample["v"].map(len).mode()[0])
@@ -118,11 +195,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         x = np.array(sample["v"].tolist())
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         if length > 1:
-            index = MultiIndex(x, int(np.clip(np.sqrt(n / 50), 4, 256)))
-            index.calibrate(x, pd.factorize(sample["label"])[0], threshold)
+            index = MultiIndex(x[:SAMPLE], int(np.clip(np.sqrt(n / 50), 4, 256)))
+            # the last ones: centres lie nearer to the vectors that they were fitted on than to others
+            x, label, c = x[-QUERIES:], sample["label"].tolist()[-QUERIES:], sample["c"].to_numpy()[-QUERIES:]
+            index.calibrate(x, _link_places(unit, index, x, label, c, threshold), threshold)
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        step = max(1, BLOCK // (index.visits if index is not None else 1))
+        for b in (whole.slice(a, step) for whole in batches for a in range(0, whole.num_rows, step)):
             vs = b.column(0).to_pylist()
             cells = [[0]] * len(vs)
             same = [i for i, x in enumerate(vs) if index is not None and len(x) == index.dim]
@@ -136,7 +216,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     indexed = unit.select("v", "c", "m", "label").mapInArrow(visited, f"v array<double>, c long, m long, label {kind}, cells array<int>")
     indexed = materialise(indexed.withColumn("dim", F.size("v")), "vector-index")
     members = indexed.select("label", "dim", F.get("cells", F.lit(0)).alias("cell"), "c", "m", "cells", "v", F.lit(True).alias("held"))
-    asked = indexed.select("label", "dim", F.explode("cells").alias("cell"), "c", "m", "cells", "v", F.lit(False).alias("held"))
+    asked = indexed.select("label", "dim", F.explode("cells").alias("cell"), "c", "m", F.slice("cells", 1, 1).alias("cells"), "v", F.lit(False).alias("held"))
     place = ["label", "dim", "cell"]
     held = members.groupBy(*place).agg(F.count("*").alias("nm"))
     asks = asked.groupBy(*place).agg(F.count("*").alias("nq"))

@@ -243,6 +243,35 @@ def test_vectors(spark, tmp_path):
     assert sum(got[k]["component_id"] == root[k] for k in range(700)) >= 0.95 * 700
 
 
+def test_partners_outside_the_sample_set_the_cells(spark, monkeypatch):
+    from plumbline.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "SAMPLE", 20)
+    monkeypatch.setattr(embeddings, "QUERIES", 200)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2500, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    away = rng.normal(size=v.shape)
+    away -= (away * v).sum(1, keepdims=True) * v
+    v = np.concatenate([v, 0.75 * v + np.sqrt(1 - 0.75**2) * away / np.linalg.norm(away, axis=1, keepdims=True)])
+    df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = rows(embeddings.near_vectors(df, 0.7))
+    assert sum(r["n_links"] for r in got.values()) >= 0.995 * int((v @ v.T >= 0.7).sum() - len(v))
+
+
+def test_visited_cells_are_not_clamped():
+    from plumbline.llm.embeddings import MultiIndex
+
+    x = np.random.default_rng(9).normal(size=(500, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = MultiIndex(x, 16)
+    order, far = index.nearest(x, index.cells), index.distances(x)
+    for k in (0, 7, 200):
+        assert (index.places(far, np.arange(500), order[:, k]) == k).all()
+    index.calibrate(x, {0: 9000, 99: 1000}, 0.93)
+    assert index.visits == 200
+
+
 def test_bpe(spark, sf_dir, docs):
     import public_tokenizers
     import tiktoken
