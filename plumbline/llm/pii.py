@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -16,13 +16,15 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Characters on either side of a protected value that are its context.
+#: Characters on either side of a protected value that are its context, which tells copies of one passage from new ones.
 CONTEXT = 80
 #: A term goes when its pointwise mutual information with a value is this share of the value's information content ...
 DISCLOSURE = 0.8
-#: ... and it was seen beside the value in so many different contexts: copies of one text are one context.
+#: ... and the texts that hold both have the value in so many different contexts: copies of one passage are one context.
 CONTEXTS = 3
 MIN_LETTERS = 4
+#: Stands for every character of a base match in a masked text; a word that holds it touches a match and is no term.
+MASK = "\x01"
 #: Texts with terms up to this number (a kilobyte or so each) are broadcast; more are joined by a shuffle.
 BROADCAST_TEXTS = 50_000
 
@@ -37,57 +39,74 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _terms_at(part: Column, first: Column) -> Column:
-    """Lower-cased letter runs of a short text, with their places: first is the place of its first character."""
-    zero = F.struct(first.alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with each character of a base match replaced by MASK; all places stay."""
+    text = F.translate(text, MASK, " ")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        gap, end = F.greatest(s["start"] - acc["at"], F.lit(0)), F.greatest(acc["at"], s["end"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.repeat(F.lit(MASK), end - acc["at"] - gap))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    return F.aggregate(base, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _values(text: Column, base: Column) -> Column:
+    """Hashes of the base matches, each with the hash of its context."""
 
-    def add(acc: Column, w: Column) -> Column:
-        end = acc["at"] + F.length(w)
-        one = F.array(F.struct(w.alias("term"), acc["at"].alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.when(F.length(w) >= MIN_LETTERS, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def value(s: Column) -> Column:
+        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        context = F.xxhash64(F.substring(text, left + 1, s["start"] - left), F.substring(text, s["end"] + 1, F.lit(CONTEXT)))
+        return F.struct(F.xxhash64(s["kind"], s["value"]).alias("e"), context.alias("context"))
 
-    return F.aggregate(F.split(part, r"[^\p{L}]"), zero, add, lambda acc: acc["out"])
+    return F.transform(base, value)
 
 
 def revealing_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, terms): for the texts with these two hashes, the spans of terms that reveal a protected value beside them.
+    """(k1, k2, terms): for the texts with these two hashes, all spans of terms that reveal a protected value of the text.
 
-    A protected value e is a base match. Over the whole corpus of N documents: n_e hold e, n_t hold term t, n_te have t in
-    the context of e. IC(e) = log(N / n_e), PMI(t; e) = log(N * n_te / (n_t * n_e)); t discloses e where
-    PMI >= DISCLOSURE * IC > 0 and at least CONTEXTS different contexts of e hold t. Terms are runs of letters of
-    MIN_LETTERS characters or more, lower-cased.
+    A protected value e is a base match. Over the whole corpus of N documents: n_e hold e, n_t hold term t, n_te hold both,
+    wherever in the text they stand. IC(e) = log(N / n_e), PMI(t; e) = log(N * n_te / (n_t * n_e)); t discloses e where
+    PMI >= DISCLOSURE * IC > 0 and the texts with both have e in at least CONTEXTS different contexts (a text counts with
+    one context). Terms are runs of letters of MIN_LETTERS characters or more that touch no base match, lower-cased.
     """
-    text = F.col("_text")
-    rows = docs.select(F.monotonically_increasing_id().alias("u"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
-    held = rows.select("u", "_text", base_spans(text).alias("base")).where(F.size("base") > 0)
-    one = held.select("u", F.xxhash64("_text").alias("k1"), F.md5("_text").alias("k2"), "_text", "base", F.explode("base").alias("s"))
-    left = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
-    before, after = F.substring(text, left + 1, F.col("s.start") - left), F.substring(text, F.col("s.end") + 1, F.lit(CONTEXT))
-    # a term that the edge of the context cuts is not looked at
-    inner = F.filter(_terms_at(before, left), lambda x: (x["start"] > left) | (left == 0))
-    outer = F.filter(_terms_at(after, F.col("s.end")), lambda x: x["end"] < F.col("s.end") + CONTEXT)
-    near = F.filter(F.concat(inner, outer), lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    one = one.select("u", "k1", "k2", F.xxhash64("s.kind", "s.value").alias("e"), F.xxhash64(before, after).alias("context"), F.explode(near).alias("x"))
-    beside = materialise(one.select("u", "k1", "k2", "e", "context", F.lower("x.term").alias("t"), "x.start", "x.end"), "beside")
-    # distinct documents and distinct contexts of (value, term): counted in two steps, so that a value of a third of all
-    # documents is spread over its documents first
-    docs_te = beside.groupBy("e", "t", "u").agg(F.lit(1).alias("one")).groupBy("e", "t").agg(F.count("*").alias("n_te"))
-    contexts = beside.groupBy("e", "t", "context").agg(F.lit(1).alias("one")).groupBy("e", "t").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= CONTEXTS)
-    pairs = materialise(contexts.join(docs_te, ["e", "t"]), "pairs")
+    text, key = F.col("_text"), ["k1", "k2"]
+    rows = docs.select(F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    held = rows.select("_text", base_spans(text).alias("base")).where(F.size("base") > 0)
+    texts = held.select(F.xxhash64(text).alias("k1"), F.md5(text).alias("k2"), _masked(text, F.col("base")).alias("masked"), _values(text, F.col("base")).alias("values"))
+    # equal texts are one row, with the number of documents
+    texts = materialise(texts.groupBy(*key).agg(F.count("*").alias("m"), F.first("masked").alias("masked"), F.first("values").alias("values")), "held-texts")
+    values = materialise(texts.select(*key, "m", F.explode("values").alias("x")).groupBy(*key, "m", "x.e").agg(F.min("x.context").alias("context")), "values")
+    # distinct contexts are counted in two steps, so that a value of a third of all documents is spread first; a value
+    # with too few contexts has no term
+    n_e = values.groupBy("e", "context").agg(F.sum("m").alias("m")).groupBy("e").agg(F.sum("m").alias("n_e"), F.count("*").alias("n_c")).where(F.col("n_c") >= CONTEXTS)
+    n_e = materialise(n_e.select("e", "n_e"), "value-counts")
+    values = materialise(values.join(n_e.select("e"), "e"), "frequent-values")
+    asked = texts.join(values.select(*key).distinct(), key)
+    whole = F.filter(F.split("masked", rf"[^\p{{L}}{MASK}]"), lambda w: (F.length(w) >= MIN_LETTERS) & ~w.contains(MASK))
+    words = materialise(asked.select(*key, F.explode(F.array_distinct(F.transform(whole, F.lower))).alias("t")), "held-words")
+    both = words.join(values, key)
+    pairs = both.groupBy("e", "t", "context").agg(F.sum("m").alias("m")).groupBy("e", "t").agg(F.sum("m").alias("n_te"), F.count("*").alias("n_c"))
+    pairs = materialise(pairs.where(F.col("n_c") >= CONTEXTS), "pairs")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], f"k1 long, k2 string, terms {SPAN}")
-    n_e = beside.groupBy("e", "u").agg(F.lit(1).alias("one")).groupBy("e").agg(F.count("*").alias("n_e"))
     terms = materialise(pairs.select(F.col("t").alias("pt")).distinct(), "terms")
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("t"))
+    words_of_all = rows.select(F.explode(F.array_distinct(F.transform(F.split(text, r"[^\p{L}]+"), F.lower))).alias("t"))
     # counted by task before the join, so that the join sees each word once, however frequent it is; an inner join with
     # the distinct terms, as the optimiser moves a semi-join below the count
-    n_t = words.groupBy("t").agg(F.count("*").alias("n_t")).join(terms, F.col("t") == F.col("pt")).select("t", "n_t")
+    n_t = words_of_all.groupBy("t").agg(F.count("*").alias("n_t")).join(terms, F.col("t") == F.col("pt")).select("t", "n_t")
     n = docs.count()
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
     pmi = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    revealing = pairs.join(n_e, "e").join(n_t, "t").where((ic > 0) & (pmi >= DISCLOSURE * ic)).select("e", "t")
-    spans_ = beside.join(materialise(revealing, "revealing"), ["e", "t"]).select("k1", "k2", F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), F.col("t").alias("value")).alias("s")).distinct()
-    return spans_.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("s")).alias("terms"))
+    revealing = materialise(pairs.join(n_e, "e").join(n_t, "t").where((ic > 0) & (pmi >= DISCLOSURE * ic)).select("e", "t"), "revealing")
+    marked = materialise(both.join(revealing, ["e", "t"]).select(*key, "t").distinct(), "marked")
+    # every occurrence: all words of the texts with their places, then those that are marked in their text
+    placed = texts.join(marked.select(*key).distinct(), key).select(*key, F.posexplode(F.split("masked", rf"[^\p{{L}}{MASK}]")).alias("pos", "w"))
+    start = F.coalesce(F.sum(F.length("w") + 1).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = placed.select(*key, F.lower("w").alias("t"), start.alias("start"), (start + F.length("w")).alias("end"))
+    spans_ = placed.join(marked, [*key, "t"]).select(*key, F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), F.col("t").alias("value")).alias("s"))
+    return spans_.groupBy(*key).agg(F.array_sort(F.collect_list("s")).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +114,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans (start, rank, end, kind, value) in code points.
 
     base: matches of the base patterns. found: base and, as kind "term", the words that by corpus co-occurrence reveal a
-    base match beside them (`revealing_terms`). Terms belong to texts, not rows: copies share them.
+    base match of their text (`revealing_terms`). Terms belong to texts, not rows: copies share them.
     Nulls: a null text has no spans; ids play no part. Repeated rows are treated alike. An empty table gives no rows.
     """
     terms = materialise(revealing_terms(docs, id_col, text_col), "term-spans")

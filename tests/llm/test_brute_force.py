@@ -140,6 +140,22 @@ def test_revealing_terms_go(spark):
     assert all(got[i] == dict(rows)[i] for i in range(5, 60))
 
 
+def test_revealing_terms_go_wherever_they_stand(spark):
+    from plumbline.llm.pii import find_personal_data, sanitised
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(10)
+    filler = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 9)) for _ in range(15))
+    rows = [(i, f"Zanzibarovsky \U0001f600 reports {filler()} mail boss@corp.example.com {filler()} signed ZANZIBAROVSKY") for i in range(5)]
+    rows += [(5, rows[0][1]), (6, f"Zanzibarovsky {filler()}"), (7, None)]
+    rows += [(i, f"reports number {i} were signed by mail") for i in range(8, 90)]
+    out = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("row.*", sanitised(F.col("row.text"), F.col("found")).alias("clean"))
+    got = {r["doc_id"]: r["clean"] for r in out.collect()}
+    for i, text in rows:
+        want = text.replace("Zanzibarovsky", "[TERM]").replace("ZANZIBAROVSKY", "[TERM]").replace("boss@corp.example.com", "[EMAIL]") if i < 6 else text
+        assert got[i] == want
+
+
 def test_sharding(spark, sf_dir, docs):
     from plumbline.llm.sharding import op4_histogram_sort
 
