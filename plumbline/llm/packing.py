@@ -1,7 +1,8 @@
-"""Best-fit packing: a configuration linear program over the length histogram, multiplicative weights, knapsack pricing, rounding."""
+"""Best-fit packing: a configuration linear program over the length histogram, multiplicative weights, bounded knapsack pricing in whole sequences."""
 
 from __future__ import annotations
 
+import logging
 import os
 import string
 import zlib
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
+_LOG = logging.getLogger(__name__)
+
 #: Entries that a worker's token cache holds before it is emptied; about 200 bytes each.
 CACHE = 600_000
-#: Rounds of multiplicative weights; each prices one pattern with a knapsack table of capacity squared steps.
-ROUNDS = 150
+#: The plan may use this share of sequences more than the dual bound; else it is made again with the next smaller step.
+GAP = 0.01
+#: Share of a pattern's scarcest length that is placed at once, before lengths are priced anew.
+STEPS = (0.5, 0.2)
 
 #: Counts by task and length up to this number (under 50 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_COUNTS = 500_000
@@ -121,54 +126,74 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col:
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(pieces, schema)
 
 
-def _priced(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern {length: copies} of the greatest value that fits: unbounded knapsack by dynamic programming."""
-    sizes = np.nonzero(value > 0)[0]
-    worth = value[sizes]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], 0
-        if k := upto[c]:
-            got = worth[:k] + best[c - sizes[:k]]
-            j = int(got.argmax())
-            if got[j] > best[c] + 1e-15:
-                best[c], last[c] = got[j], sizes[j]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c]:
-            out[int(last[c])] = out.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
-    return out
-
-
-def _best_fit(left: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Decreasing best fit on a histogram: each new sequence takes the longest piece, then again and again the longest that fits."""
-    bins, left = [], left.copy()
-    while (present := np.nonzero(left)[0]).size:
-        room, taken = capacity, {}
-        while (k := int(np.searchsorted(present, room, side="right"))) and room > 0:
-            size = int(present[k - 1])
-            n = int(min(left[size], room // size))
-            taken[size] = taken.get(size, 0) + n
-            left[size] -= n
-            room -= n * size
-            present = present[: k - 1]
-        bins.append(taken)
-    return bins
-
-
-def solve_configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+class _Knapsack:
+    """Patterns {length: copies} of the greatest value for every room up to the capacity, no length oftener than it is left."""
+
+    def __init__(self, value: np.ndarray, left: np.ndarray, capacity: int):
+        self.items: list[tuple[int, int]] = []
+        for size in np.flatnonzero((left > 0) & (value > 0))[::-1].tolist():  # of equal values the longer pieces
+            copies, n = min(int(left[size]), capacity // size), 1
+            while copies > 0:  # lots of 1, 2, 4, ... copies make up every number of copies
+                self.items.append((size, min(n, copies)))
+                copies, n = copies - n, 2 * n
+        self.best = np.zeros(capacity + 1)
+        took = np.full((len(self.items), capacity + 1), -1, np.int32)
+        for k, (size, n) in enumerate(self.items):
+            room = size * n
+            got = self.best[: capacity + 1 - room] + n * value[size]
+            took[k, room:][got > self.best[room:] + 1e-12] = k
+            np.maximum(self.best[room:], got, out=self.best[room:])
+        self.last = np.maximum.accumulate(took, axis=0, out=took)
+
+    def pattern(self, room: int) -> dict[int, int]:
+        out: dict[int, int] = {}
+        k = len(self.items) - 1
+        while k >= 0 and (k := int(self.last[k, room])) >= 0:
+            size, n = self.items[k]
+            out[size] = out.get(size, 0) + n
+            room -= size * n
+            k -= 1
+        return out
+
+
+def dual_bound(need: np.ndarray, capacity: int) -> float:
+    """A bound of the covering program from below: the best of the dual prices 1 beyond capacity - t, 0 below t, else size / capacity."""
+    size = np.arange(capacity + 1)
+    count, volume = np.cumsum(need), np.cumsum(need * size)
+    t = np.arange(1, capacity // 2 + 1)
+    return float(max((count[-1] - count[capacity - t] + (volume[capacity - t] - volume[t - 1]) / capacity).max(initial=0.0), volume[-1] / capacity))
+
+
+def _placed(need: np.ndarray, capacity: int, step: float) -> dict[tuple, int]:
+    """{pattern: sequences} that holds all pieces: multiplicative weights price the lengths, those placed least dearest."""
+    left, used = need.copy(), {}
+    while left.any():
+        share = np.divide(left, need, out=np.zeros(len(need)), where=need > 0)
+        value = np.arange(capacity + 1) / capacity * np.exp(GAP * share / share.max())
+        knapsack = _Knapsack(value, left, capacity)
+        # from one table: the best pattern, and for each length, longest first, the best one that holds it, where that is worth as much
+        good = [k for k in range(capacity, 0, -1) if left[k] and knapsack.best[capacity - k] + value[k] >= (1 - GAP / 2) * knapsack.best[capacity]] + [0]
+        for k in good:
+            pattern = knapsack.pattern(capacity - k)
+            if k:
+                pattern[k] = pattern.get(k, 0) + 1
+            fits = min(int(left[s]) // c for s, c in pattern.items())
+            if times := min(fits, max(1, int(step * fits))):
+                key = tuple(sorted(pattern.items()))
+                used[key] = used.get(key, 0) + times
+                for s, c in key:
+                    left[s] -= c * times
+    return used
+
+
+def solve_configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """[(pattern {length: copies}, sequences that use it)] that holds exactly the pieces of the histogram.
 
     The covering program: least sum of x_p so that every length is covered as often as it occurs. Multiplicative weights
-    price lengths, those covered least dearest; a knapsack table finds the dearest pattern, which is used until its
-    scarcest length is covered by a small share. The shares are scaled to cover the mean and rounded down without
-    covering a length too often; decreasing best fit packs what rounding left, at most a sequence for each pattern or so.
-    Everything here has the size of the histogram (at most `capacity` lengths), whatever the number of documents.
+    price lengths by the share that is still to be placed; a knapsack table, bounded by the pieces left, finds the dearest
+    patterns, which are used for whole sequences and a small share of their scarcest length. So rounding leaves nothing.
+    The number of sequences is held against the dual bound; beyond GAP smaller steps are tried, and then a warning logged.
+    Everything here has the size of the histogram (at most `capacity` lengths) times the logarithm of its counts.
     """
     need = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
@@ -180,33 +205,16 @@ def solve_configurations(histogram: dict[int, int], capacity: int, rounds: int =
             need[size] = 0
     if not need.any():
         return plan
-    present = need > 0
-    asked = np.where(present, need, 1).astype(float)
-    covered, weight, share, patterns = np.zeros(capacity + 1), present.astype(float), {}, {}
-    for _ in range(rounds):
-        pattern = _priced(np.where(present, weight / asked, 0.0), capacity)
-        key = tuple(sorted(pattern.items()))
-        sizes, copies = np.array([k for k, _ in key]), np.array([c for _, c in key], float)
-        step = 0.2 * float((asked[sizes] / copies).min())
-        patterns[key] = pattern
-        share[key] = share.get(key, 0.0) + step
-        covered[sizes] += copies * step / asked[sizes]
-        lag = covered - covered[present].min()
-        weight = np.where(present, np.exp(-8.0 * lag), 0.0)
-        weight /= weight.max()
-    scale = 1.0 / max(1e-12, float((covered * asked)[present].sum() / asked[present].sum()))
-    left = need.copy()
-    for key, x in sorted(share.items(), key=lambda kx: -kx[1]):
-        fits = min(int(left[k] // c) for k, c in key)
-        times = min(fits, int(x * scale))
-        if times:
-            plan.append((patterns[key], times))
-            for k, c in key:
-                left[k] -= c * times
-    merged: dict[tuple, int] = {}
-    for taken in _best_fit(left, capacity):
-        merged[key] = merged.get(key := tuple(sorted(taken.items())), 0) + 1
-    return plan + [(dict(k), n) for k, n in merged.items()]
+    bound, best, n = dual_bound(need, capacity), None, 0
+    for step in STEPS:
+        used = _placed(need, capacity, step)
+        if best is None or sum(used.values()) < n:
+            best, n = used, sum(used.values())
+        if n <= np.ceil((1 + GAP) * bound):
+            break
+    else:
+        _LOG.warning("%d sequences, %.2f %% above the dual bound of %.1f", n, 100 * (n / bound - 1), bound)
+    return plan + [(dict(key), times) for key, times in best.items()]
 
 
 def _runs(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:

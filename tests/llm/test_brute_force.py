@@ -64,6 +64,17 @@ def test_plan_covers_every_histogram():
     assert solve_configurations({}, 2048) == []
 
 
+def test_patterns_hold_no_more_copies_than_there_are(caplog):
+    from plumbline.llm.packing import _Knapsack, dual_bound, solve_configurations
+
+    value, left = np.arange(2049) / 2048, np.zeros(2049, np.int64)
+    left[[1, 700]] = 1, 2
+    assert _Knapsack(value, left, 2048).pattern(2048) == {1: 1, 700: 2}
+    for need in (np.where(np.arange(2049) > 0, 40, 0), np.bincount(np.random.default_rng(2).geometric(0.002, 30000).clip(1, 2048), minlength=2049)):
+        n = sum(times for _, times in solve_configurations(dict(enumerate(need.tolist())), 2048))
+        assert n <= np.ceil(1.01 * dual_bound(need, 2048)) and not caplog.records
+
+
 def spans(kinds, text):
     found, counts = [], []
     for rank, (kind, pattern, ok) in enumerate(kinds):
