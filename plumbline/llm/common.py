@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words in every contract: space and U+0009 to U+000D.
@@ -43,6 +43,34 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Names of groups up to this number (under 100 bytes each when hashed) are broadcast; of more, those of groups with over HOT rows.
+BROADCAST_NAMES, HOT = 500_000, 200_000
+
+
+def join_groups(rows: DataFrame, names: DataFrame, on: Column, size: str = "m", how: str = "left") -> DataFrame:
+    """Join rows with the one row that names their group, so that no task gets a large group.
+
+    names: materialised, with the group's number of rows as `size`. Few names are broadcast. Of many, the names of groups
+    with over HOT rows are (of which there are at most the rows' number / HOT), and the others meet their rows by a shuffle.
+    on: an equality of columns whose names differ on both sides. A row without a name stays if how is "left".
+    """
+    if names.count() <= BROADCAST_NAMES:
+        return rows.join(F.broadcast(names), on, how)
+    hot = F.broadcast(names.where(F.col(size) > HOT))
+    rest = rows.join(hot, on, "left_anti").join(names.where(F.col(size) <= HOT), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def hashed_sample(rows: DataFrame, key: Column, n: int, wanted: int, name: str) -> DataFrame:
+    """About `wanted` of n rows, some more rather than fewer, those of the least hashes of a key that tells rows apart, written.
+
+    The cut comes before any sort, so that a limit on what is left moves no more than that from all tasks together.
+    """
+    grain = 1 << 30
+    share = min(1.0, 1.1 * wanted / max(n, 1) + 200 / max(n, 1))
+    return materialise(rows.where(F.pmod(F.xxhash64(key), F.lit(grain)) < int(share * grain)) if share < 1 else rows, name)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of the edges with the smallest node it reaches.
 

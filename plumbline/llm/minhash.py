@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, table
+from .common import BROADCAST_NAMES, connected_components, join_groups, materialise, table
 
 #: Registers of a sketch; a register holds 6 bits of leading zeros and 10 bits of mantissa.
 REGISTERS, BAND_ROWS, MANTISSA_BITS = 128, 4, 10
@@ -39,17 +39,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of UTF-8 texts that lie one after another, A-Z lowered, and each text's first word.
-
-    bounds: where texts begin, and the end. A word's hash is a polynomial of a random value for each byte.
-    """
+def word_starts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 texts that lie one after another are white space, and where words start."""
     gap = _SPACE[data]
     begins = ~gap
     begins[1:] &= gap[:-1]
     inner = bounds[(bounds > 0) & (bounds < len(data))]
     begins[inner] = ~gap[inner]
-    starts = np.flatnonzero(begins)
+    return gap, np.flatnonzero(begins)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, cut: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 texts that lie one after another, A-Z lowered, and each text's first word.
+
+    bounds: where texts begin, and the end; cut: what `word_starts` gives for them, if known. A word's hash is a polynomial
+    of a random value for each byte.
+    """
+    gap, starts = cut or word_starts(data, bounds)
     if not starts.size:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     at = np.arange(len(data))
@@ -122,23 +128,28 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(c, n, shingles, low) of the wanted classes (c, id, n_shingles, s1, s2), from their representatives' whole texts.
+    """(c, n, sketch, shingles, low) of the wanted classes (c, id, n_shingles, s1, s2, sketch), from their representatives' whole texts.
 
-    low: the shingles' sorted low 32 bits as bytes.
+    low: the shingles' sorted low 32 bits as bytes. Few wanted ids go to the texts; else texts and ids meet by a shuffle.
     """
     kind = dict(wanted.dtypes)["id"]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.select(F.col("id").alias("w")).distinct(), F.col("id").eqNullSafe(F.col("w")), "left_semi")
+    n = wanted.count()
+    few = (lambda df: F.broadcast(df)) if n <= BROADCAST_NAMES else (lambda df: df)
+    ids = wanted.select(F.xxhash64("id").alias("w")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(few(ids), F.xxhash64("id") == F.col("w"), "left_semi")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _shingled(batches):
             s1, s2 = _identity(sets)
             low = [np.sort(s.astype(np.uint32)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s1), pa.array(s2), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "s1", "s2", "shingles", "low"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(s1), pa.array(s2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(low, pa.binary())], ["id", "s1", "s2", "shingles", "low"])
 
-    sets = texts.mapInArrow(rows_of, f"id {kind}, s1 long, s2 long, shingles array<long>, low binary").withColumnRenamed("id", "id_")
+    sets = texts.mapInArrow(rows_of, f"id {kind}, s1 long, s2 long, shingles binary, low binary").withColumnRenamed("id", "id_")
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("a1") == F.col("s1")) & (F.col("a2") == F.col("s2"))
-    found = wanted.select("c", "id", "n_shingles", F.col("s1").alias("a1"), F.col("s2").alias("a2")).join(sets, same)
-    return found.dropDuplicates(["c"]).select("c", F.col("n_shingles").alias("n"), "shingles", "low")
+    keys = wanted.select("c", "id", F.col("n_shingles").alias("n"), "sketch", F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    found = materialise(sets.join(few(keys), same).select("c", "n", "sketch", "shingles", "low"), "sets")
+    # an id that occurs several times with one set brings its class as often
+    return found if found.count() == n else materialise(found.dropDuplicates(["c"]), "sets")
 
 
 def _estimates(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -149,11 +160,28 @@ def _estimates(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) ->
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole shingle sets satisfy 100 * intersection >= percent * union."""
-    x = sets.select(F.col("c").alias("a"), F.col("n").alias("nx"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("c").alias("b"), F.col("n").alias("ny"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(100 * common >= percent * (F.col("nx") + F.col("ny") - common)).select("a", "b")
+    """Pairs (a, b) whose whole shingle sets satisfy 100 * intersection >= percent * union.
+
+    The partners of each a are cut in blocks; the set of a goes once to each block, not once to each pair.
+    """
+    partners = materialise(pairs.groupBy(F.col("a").alias("lead")).agg(F.count("*").alias("m")), "partners")
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).cast("int")
+    theirs = join_groups(pairs, partners, F.col("a") == F.col("lead"), how="inner").select("a", F.col("b").alias("c"), block.alias("block"))
+    own = theirs.select("a", F.col("a").alias("c"), "block").distinct()
+    asked = theirs.union(own).join(sets.select("c", "shingles"), "c")
+
+    def confirm(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        c, x = group["c"].to_numpy(), [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+        mine = x[int(np.flatnonzero(c == key[0])[0])]
+        good = []
+        for b, theirs in zip(c.tolist(), x, strict=True):
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = int(np.count_nonzero(mine[at] == theirs))
+            if b != key[0] and 100 * common >= percent * (len(mine) + len(theirs) - common):
+                good.append((key[0], b))
+        return pd.DataFrame(good, columns=["a", "b"], dtype="int64")
+
+    return asked.groupBy("a", "block").applyInPandas(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,18 +192,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     1. One pass over the texts leaves a set's size, its 128-bit identity and its sketch. Equal sets form one class.
     2. 32 bands of four registers bucket the classes. Two sets at Jaccard 0.75 miss all bands once in 190,000 times.
-    3. Each class meets only the smallest class of its bucket; estimates, then whole sets, confirm links; links give
-       components. A bucket within one component is done: it can add no connection.
-    4. In each remaining bucket, the pairs that cross components and whose sizes allow a link are estimated, block by
-       block, inside a task, then compared by the low 32 bits of their shingles; only pairs within a hundredth of the
+    3. Each class meets only the smallest class of its bucket, the lead; estimates, then whole sets, confirm links; links
+       give components. A bucket whose other members are of one component is done: it can add no connection.
+    4. In each remaining bucket, the pairs of other members that cross components and whose sizes allow a link are
+       estimated, block by block, inside a task, then compared by the low 32 bits of their shingles; only pairs within a hundredth of the
        threshold leave the task, and whole sets confirm them. So no confirmed connection depends on which class led a
        bucket, no bucket is capped, and the pairs of a family of loose copies are never written out.
-    Nulls: a null text has no words, an empty group of its own; a null id is treated alike and is never an component id
+    Nulls: a null text has no words, an empty group of its own; a null id is treated alike and is never a component id
     unless the group has no other. Repeated rows fall in one group. An empty table gives no rows. Other columns are not read.
     """
     rows = materialise(sketch_documents(docs, id_col, text_col).withColumn("u", F.monotonically_increasing_id()), "sketches")
     worded = rows.where("n_shingles > 0")
-    classes = worded.groupBy("s1", "s2", "n_shingles").agg(F.min("u").alias("c"), F.min("id").alias("least_id"))
+    classes = worded.groupBy("s1", "s2", "n_shingles").agg(F.min("u").alias("c"), F.min("id").alias("least_id"), F.count("*").alias("m"))
     classes = materialise(classes, "classes")
     reps = rows.select("u", "id", "sketch").join(classes, F.col("u") == F.col("c")).select("c", "id", F.col("n_shingles"), "s1", "s2", "sketch")
     reps = materialise(reps, "representatives")
@@ -186,8 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         return pd.Series(list(keys))
 
     banded = reps.select("c", F.posexplode(bands("sketch")).alias("band", "key"))
-    leads = banded.groupBy("band", "key").agg(F.min("c").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    shared = materialise(banded.join(leads, ["band", "key"]), "buckets")
+    bucket = lambda b, k: (F.col("band") == F.col(b)) & (F.col("key") == F.col(k))
+    leads = banded.groupBy(F.col("band").alias("lb"), F.col("key").alias("lk")).agg(F.min("c").alias("lead"), F.count("*").alias("m"))
+    leads = materialise(leads.where("m > 1"), "leads")
+    shared = materialise(join_groups(banded, leads, bucket("lb", "lk"), how="inner").select("band", "key", "c", "lead"), "buckets")
 
     @F.pandas_udf("double")
     def estimate(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
@@ -200,19 +230,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     star = shared.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
     star = star.join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").where(fits("nx", "ny"))
     star = materialise(star.where(estimate("x", "y", "nx", "ny") >= cut).select("a", "b"), "candidates")
-    active = shared.select("c").distinct()
-    sets = materialise(_sets_of(docs, reps.join(active, "c", "left_semi"), id_col, text_col), "sets")
+    active = materialise(reps.join(shared.select("c").distinct(), "c", "left_semi"), "active")
+    sets = _sets_of(docs, active, id_col, text_col)
     links = materialise(_verified(star, sets, percent), "links")
     first = connected_components(links)
 
-    labelled = shared.join(first, F.col("c") == F.col("node"), "left").select("band", "key", "c", F.coalesce("component", "c").alias("g"))
-    open_ = labelled.groupBy("band", "key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("band", "key", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    # the block of a member and the other block: all pairs of blocks of a bucket meet, each once
-    spread = labelled.join(open_, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int"))
-    spread = spread.select("band", "key", "c", "g", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    # all members of a bucket have met its lead; what is left to compare are the other members of different components
+    labelled = shared.where("c <> lead").join(first, F.col("c") == F.col("node"), "left").select("band", "key", "c", F.coalesce("component", "c").alias("g"))
+    labelled = materialise(labelled, "labelled")
+    parts = labelled.groupBy("band", "key", "g").agg(F.count("*").alias("m"))
+    open_ = parts.groupBy(F.col("band").alias("ob"), F.col("key").alias("ok")).agg(F.max_by("g", "m").alias("big"), F.max("m").alias("most"), F.sum("m").alias("m"), F.count("*").alias("parts"))
+    open_ = materialise(open_.where("parts > 1"), "open-buckets")
+    # the largest component meets the rest of its bucket only; the rest meets all; both in blocks, each pair of blocks once
+    nb, nr = (F.ceil(n / BLOCK).cast("int") for n in (F.col("most"), F.col("m") - F.col("most")))
+    spread = join_groups(labelled, open_, bucket("ob", "ok"), how="inner").withColumns({"nb": nb, "nr": nr})
+    large = F.col("g") == F.col("big")
+    own = F.when(large, F.col("nr") + F.pmod(F.xxhash64("c"), "nb")).otherwise(F.pmod(F.xxhash64("c"), "nr")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(large, F.col("nr") - 1).otherwise(F.col("nr") + F.col("nb") - 1)))
+    spread = spread.select("band", "key", "c", "g", own.alias("own"), other.alias("other"))
     spread = spread.select("band", "key", "c", "g", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    members = spread.join(reps.select("c", "n_shingles", "sketch"), "c").join(sets.select("c", "low"), "c")
+    members = spread.join(sets.select("c", F.col("n").alias("n_shingles"), "sketch", "low"), "c")
 
     def crossing(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         band, _, i, j = key
@@ -238,12 +275,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     second = materialise(_verified(more, sets, percent), "links")
     groups = first if second.isEmpty() else connected_components(links.union(second))
 
-    named = classes.join(groups, F.col("c") == F.col("node"), "left").withColumn("g", F.coalesce("component", "c"))
-    least = named.groupBy("g").agg(F.min("least_id").alias("component_id"), F.min("c").alias("keeper_u"))
-    names = materialise(named.select("s1", "s2", F.col("n_shingles").alias("n"), "g").join(least, "g").drop("g"), "groups")
-    a1, a2, n = (F.col(x).alias(y) for x, y in (("s1", "a1"), ("s2", "a2"), ("n", "an")))
+    # a class of one row without a link needs no name; a component's number is its least class, whose first row stays
+    named = classes.join(groups, F.col("c") == F.col("node"), "left").where("component is not null or m > 1")
+    named = materialise(named.withColumn("g", F.coalesce("component", "c")), "named")
+    least = materialise(named.groupBy(F.col("g").alias("keeper_u")).agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")), "groups")
+    names = join_groups(named.select("g", "m", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("n_shingles").alias("an")), least, F.col("g") == F.col("keeper_u"), "size", "inner")
+    names = materialise(names.drop("g", "size"), "names")
     same = (F.col("s1") == F.col("a1")) & (F.col("s2") == F.col("a2")) & (F.col("n_shingles") == F.col("an"))
-    out = rows.drop("sketch").join(names.select(a1, a2, n, "component_id", "keeper_u"), same, "left")
+    out = join_groups(rows.drop("sketch"), names, same)
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", "text_hash", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), F.coalesce(F.col("u") == F.col("keeper_u"), F.lit(True)).alias("keeper"))
 
@@ -251,13 +290,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 def one_of_each_group(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row left of each group of near-duplicates, all columns as they were.
 
-    Documents without words stay, but for rows that repeat an id and text. A row is told by its id and a hash of its text.
+    Documents without words stay, but for rows that repeat an id and text. A row is told by hashes of its id and its text.
+    Null ids and texts are values like any other here. An empty table gives no rows.
     """
     groups = materialise(near_duplicates(docs, percent, id_col, text_col), "near-duplicates")
-    keep = groups.where("keeper").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_own"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
-    rows = rows.join(keep.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    if not groups.groupBy(id_col, "text_hash").count().where("count > 1").isEmpty():
+    told = groups.groupBy(F.xxhash64(id_col).alias("_i"), F.col("text_hash").alias("_t")).agg(F.bool_or("keeper").alias("stays"), F.count("*").alias("n"))
+    told = materialise(told.where("n > 1 or not stays"), "not-kept")
+    gone = told.where("not stays").select("_i", "_t")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col).alias("_own"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
+    rows = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_NAMES else gone, (F.col("_own") == F.col("_i")) & (F.col("_h") == F.col("_t")), "left_anti")
+    if not told.where("stays").isEmpty():
         rows = rows.dropDuplicates(["_own", "_h"])
     return rows.select("row.*")
 
