@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .minhash import word_hashes
+from .common import hashed_sample, materialise, table
+from .minhash import word_hashes, word_starts
 
-#: The model is fitted on at most this many labelled rows, those of the smallest id hashes.
+#: The model is fitted on at most this many labelled ids, those of the smallest hashes.
 TRAINING_ROWS = 20_000
 #: A document with a lower score goes.
 CUT = 0.3
@@ -45,7 +45,9 @@ def text_features(text: pa.Array) -> np.ndarray:
         n = np.bincount(owner * _N_CLASSES + _CLASS[data], minlength=len(part) * _N_CLASSES).reshape(-1, _N_CLASSES)
         size = np.maximum(n.sum(1), 1)
         letters = np.maximum(n[:, 1] + n[:, 8] + n[:, 9], 1)
-        words, first = word_hashes(data, bounds)
+        cut = gap, starts = word_starts(data, bounds)
+        words, first = word_hashes(data, bounds, cut)
+        longest = np.add.reduceat(~gap, starts, dtype=np.int64) if starts.size else starts
         x = out[at : at + len(part)]
         x[:, 2] = n[:, 1] / letters
         x[:, 3:10] = (n[:, 2:9] / size[:, None])[:, [0, 1, 2, 3, 4, 5, 6]]
@@ -57,7 +59,7 @@ def text_features(text: pa.Array) -> np.ndarray:
                 spread = len(np.unique(three)) if w > 2 else 0
                 x[i, 0], x[i, 1] = np.log(w), (bounds[i + 1] - bounds[i]) / w
                 x[i, 10:14] = len(times) / w**0.9, (mine[1:] == mine[:-1]).mean() if w > 1 else 0, times.max() / w, 1 - spread / (w - 2) if w > 2 else 0
-                x[i, 14] = min(200, (bounds[i + 1] - bounds[i]) / w)
+                x[i, 14] = np.log(longest[a:b].max())
     return out
 
 
@@ -172,20 +174,26 @@ def held_out(id_col: str) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> AdditiveModel:
-    """Fit on at most `rows` labelled documents outside the held-out fifth; features are computed by the tasks.
+    """Fit on at most `rows` labelled ids outside the held-out fifth; features are computed by the tasks, for these ids only.
 
-    Null labels, null ids and ids without a document are left out; repeated rows weigh as often as they occur.
+    Null labels, null ids and ids without a document are left out. An id counts once: of several labels their mean, of
+    several texts that of the least hash.
     """
-    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
+    label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    ids = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    known = materialise(ids.join(label, F.col("_id") == F.col("_lid")).select(F.col("_id").alias("_lid"), "y"), "labelled-ids")
+    chosen = hashed_sample(known, F.col("_lid"), known.count(), rows, "chosen-ids")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = text_features(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["_id", "x"])
-
-    x = docs.where(~held_out(id_col)).select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(featured, f"_id {kind}, x array<double>")
-    y = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_lid"), F.col(label_col).cast("double").alias("y"))
-    both = materialise(x.join(y, F.col("_id") == F.col("_lid")).select("x", "y", F.xxhash64("_id").alias("o")), "labelled")
+            x = text_features(b.column(0))
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([vectors, b.column(1), b.column(2)], ["x", "y", "o"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_lid"))
+    one = texts.groupBy("_lid", "y").agg(F.min_by("_text", F.xxhash64("_text")).alias("t"))
+    both = materialise(one.select("t", "y", F.xxhash64("_lid").alias("o")).mapInArrow(featured, "x array<double>, y double, o long"), "labelled")
     sample = both.orderBy("o", "y", "x").limit(rows).select("x", "y").toPandas()
     if not len(sample):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
