@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, table
+from .common import connected_components, hashed_sample, join_groups, materialise, table
 
 _LOG = logging.getLogger(__name__)
 
@@ -187,7 +187,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     unit = materialise(unit, "vector-members")
 
     n = unit.count()
-    sample = unit.select("label", "v", "c").orderBy(F.xxhash64("c"), "c").limit(SAMPLE + QUERIES).toPandas()
+    sample = hashed_sample(unit.select("label", "v", "c"), F.col("c"), n, SAMPLE + QUERIES, "vector-sample").orderBy(F.xxhash64("c"), "c").limit(SAMPLE + QUERIES).toPandas()
     index = None
     if len(sample):
         length = int(sample["v"].map(len).mode()[0])
@@ -256,9 +256,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     counts = found.groupBy("c").agg(F.sum("n").alias("n"))
     components = connected_components(found.where("root <> c").select("c", "root"), "c", "root")
     named = classes.join(counts, "c", "left").join(components, F.col("c") == F.col("node"), "left").withColumn("g", F.coalesce("component", "c"))
-    least = named.groupBy("g").agg(F.min("least_id").alias("component_id"))
-    named = materialise(named.join(least, "g").select(F.col("label").alias("l"), F.col("key").alias("k"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id"), "vector-groups")
-    out = rows.select("id", "label", "key").join(named, (F.col("label") == F.col("l")) & (F.col("key") == F.col("k")), "left")
+    # a class alone with one row needs no name: it links with nothing
+    named = materialise(named.where("n is not null or m > 1"), "linked-classes")
+    least = materialise(named.groupBy("g").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")).withColumnRenamed("g", "group"), "vector-groups")
+    named = join_groups(named, least, F.col("g") == F.col("group"), "size", "inner")
+    named = materialise(named.select(F.col("label").alias("l"), F.col("key").alias("k"), "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id"), "vector-names")
+    out = join_groups(rows.select("id", "label", "key"), named, (F.col("label") == F.col("l")) & (F.col("key") == F.col("k")))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
