@@ -23,27 +23,36 @@ class _Bins:
         return list(zip(self.start.tolist(), self.shift.tolist(), self.bytes.tolist(), self.rows.tolist(), strict=True))
 
 
-def _count(keys: DataFrame, shift: int, parents: dict[int, list[int]]) -> list[tuple]:
-    """Rows and bytes by key >> shift, below the parents {their shift: their prefixes}; a partial sum in each task first."""
-    if parents:
-        hit = None
-        for s, prefixes in parents.items():
-            c = F.shiftrightunsigned("_key", s).isin(prefixes)
-            hit = c if hit is None else hit | c
-        keys = keys.where(hit)
-    got = keys.groupBy(F.shiftrightunsigned("_key", shift).alias("b")).agg(F.sum("_size"), F.count("*")).collect()
-    return [(r[0] << shift, shift, r[1], r[2]) for r in got]
+def _count(keys: DataFrame, bins: _Bins | None, finer: np.ndarray) -> list[tuple]:
+    """Rows and bytes of finer bins: key >> finer[0] over all keys, or key >> finer[k] within each bin k whose finer is not -1.
+
+    A task sums its own counts first. The tasks get the bins' starts, of which there are few (see `splitters`).
+    """
+    if bins is None:
+        at = F.shiftleft(F.shiftrightunsigned("_key", int(finer[0])), int(finer[0]))
+        got = keys.groupBy(at.alias("b")).agg(F.sum("_size"), F.count("*")).collect()
+        return [(r[0], int(finer[0]), r[1], r[2]) for r in got]
+    starts = bins.start.astype(np.int64)
+
+    @F.pandas_udf("long")
+    def place(k: pd.Series) -> pd.Series:
+        key = k.to_numpy()
+        by = finer[np.searchsorted(starts, key, side="right") - 1]
+        return pd.Series(np.where(by >= 0, key >> np.maximum(by, 0) << np.maximum(by, 0), -1))
+
+    got = keys.groupBy(place("_key").alias("b")).agg(F.sum("_size"), F.count("*")).where("b >= 0").collect()
+    return [(r[0], int(finer[np.searchsorted(starts, r[0], side="right") - 1]), r[1], r[2]) for r in got]
 
 
 def splitters(keys: DataFrame, shards: int, ranges: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of key ranges, their shard, and the rows of that shard before each range.
 
-    keys: (_key, _size). Round by round the bins that hold a wanted cut, or more than half a range's share of rows or
-    bytes, are counted again in 2**NEXT_BITS finer bins; the others keep their counts. Only counts reach the driver:
-    2**FIRST_BITS rows at first, then 2**NEXT_BITS for each refined bin, of which there are at most 4 * ranges + shards.
+    keys: (_key, _size). Round by round the bins that hold a wanted cut beyond the tolerance are counted again in
+    2**NEXT_BITS finer bins, and those with more than a range's share of rows or bytes in about four finer bins for each
+    share; the others keep their counts. Only counts reach the driver: 2**FIRST_BITS rows at first, then in each round at
+    most 16 * ranges + 2**NEXT_BITS * shards, however many rows there are.
     """
-    shift = KEY_BITS - FIRST_BITS
-    bins = _Bins(_count(keys, shift, {}))
+    bins = _Bins(_count(keys, None, np.array([KEY_BITS - FIRST_BITS])))
     if not len(bins.rows):
         return np.array([0], np.int64), np.zeros(1, np.int32), np.zeros(1, np.int64)
     total, n = int(bins.bytes.sum()), int(bins.rows.sum())
@@ -51,20 +60,18 @@ def splitters(keys: DataFrame, shards: int, ranges: int, tolerance: float) -> tu
     slack = tolerance * total / shards
     while True:
         ends = np.cumsum(bins.bytes)
-        fine = set()
+        shares = np.maximum(bins.rows / max(1, n / ranges), bins.bytes / max(1, total / ranges))
+        bits = np.where(shares > 1, np.ceil(np.log2(4 * np.maximum(shares, 1))), 0).astype(np.int64)
         for g in goals:
             k = int(np.searchsorted(ends, g))
             if min(abs(ends[k] - g), abs(ends[k] - bins.bytes[k] - g)) > slack:
-                fine.add(k)
-        heavy = np.nonzero((bins.rows > max(1, n / ranges / 2)) | (bins.bytes > total / ranges / 2))[0]
-        fine = {k for k in fine | set(heavy.tolist()) if bins.shift[k] > 0 and bins.rows[k] > 1}
-        if not fine:
+                bits[k] = max(bits[k], NEXT_BITS)
+        bits[(bins.shift == 0) | (bins.rows <= 1)] = 0
+        if not bits.any():
             break
-        shift = int(max(bins.shift[k] for k in fine))
-        now = [k for k in fine if bins.shift[k] == shift]
-        finer = max(0, shift - NEXT_BITS)
-        deeper = _count(keys, finer, {shift: [bins.start[k] >> shift for k in now]})
-        bins = _Bins([x for k, x in enumerate(bins.list()) if k not in set(now)] + deeper)
+        finer = np.where(bits > 0, np.maximum(bins.shift - bits, 0), -1)
+        deeper = _count(keys, bins, finer)
+        bins = _Bins([x for k, x in enumerate(bins.list()) if bits[k] == 0] + deeper)
     ends = np.cumsum(bins.bytes)
     cuts = set()  # a cut after bin k - 1
     for g in goals:
@@ -100,14 +107,14 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = docs.select(
-        F.col(id_col),
+        F.struct(*[F.col(c) for c in dict.fromkeys([id_col, *(carry or [])])]).alias("_row"),
         (F.octet_length(text).cast("long") + overhead).alias("_size"),
         F.crc32(text).alias("_crc"),
         F.xxhash64(text).alias("_h"),
         F.monotonically_increasing_id().alias("_uid"),
-        *[F.col(c) for c in carry or [] if c != id_col],
     )
-    key = F.shiftleft(F.shiftrightunsigned("_h", 44), 43).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(id_col), "_uid"), 21))
+    id_ = F.col(f"_row.`{id_col}`")
+    key = F.shiftleft(F.shiftrightunsigned("_h", 44), 43).bitwiseOR(F.shiftrightunsigned(F.xxhash64(id_, "_uid"), 21))
     kept = materialise(kept.withColumn("_key", key).drop("_h"), "shard-keys")
     ranges = max(4 * shards, min(16384, 4 * n_partitions(spark)))
     starts, shard, before = splitters(kept, shards, ranges, tolerance)
@@ -127,12 +134,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     order = Window.partitionBy("_range").orderBy("_key", "_uid")
     placed = kept.withColumn("_range", range_of("_key")).withColumn("_rank", F.row_number().over(order) - 1)
     return placed.select(
-        F.col(id_col),
+        id_.alias(id_col),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         shard_of("_range").alias("shard"),
         (rows_before("_range") + F.col("_rank")).alias("slot"),
-        *[F.col(c) for c in carry or [] if c != id_col],
+        *[F.col(f"_row.`{c}`").alias(c) for c in carry or [] if c != id_col],
     )
 
 
