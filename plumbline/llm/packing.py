@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -31,8 +33,24 @@ BROADCAST_COUNTS = 500_000
 _TOKENIZERS: dict[str, _WordTokenizer] = {}
 
 
+#: Normaliser and splitter of the tokenizers whose words can be encoded one by one (fixed values).
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class _WordTokenizer(dict):
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, for a byte-level tokenizer that drops white space.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, as `tokenizers` gives them without adding special tokens.
+
+    Words are encoded one by one for a tokenizer of WORD_RULES; with other rules, and where a text holds an added token of
+    the file (which the library cuts out as such), the whole text goes through the library.
 
     The tokenizer's normaliser turns white space into one space and its splitter never crosses a space, so that a text's
     ids are those of its words one after another. Words repeat: their ids are kept here, up to CACHE words. A new word that is
@@ -47,7 +65,9 @@ class _WordTokenizer(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_word = all(rules[k] == v for k, v in WORD_RULES.items()) and rules["post_processor"] is None
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250)}
         self.model = self.tokenizer.model
@@ -73,12 +93,17 @@ class _WordTokenizer(dict):
             if tail := low[len(letters) :]:
                 got += self.pieces.get(tail) or self._piece(tail)
         else:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            got = self._whole(word)
         if len(word) < 100:
             self[word] = got
         return got
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if not self.by_word or self.added.search(text):
+            return self._whole(text)
         # str.split also splits at U+001C to U+001F, which the tokenizer keeps: such a text counts as one word
         words = [text] if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else text.split()
         return b"".join(map(self.__getitem__, words))

@@ -28,7 +28,6 @@ def test_packing(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array([*e.ids, 0], "<u4") for i, e in zip(docs, t.encode_batch(list(docs.values()), add_special_tokens=False), strict=True)}
     seqs, cut = collections.defaultdict(list), collections.defaultdict(list)
     for r in op1_configuration_packing(spark, sf_dir).collect():
