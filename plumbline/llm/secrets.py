@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import join_groups, materialise, table
 from .spans import count_of, listed, none, ordered, spans
 
 #: The base patterns (fixed values of the contract, stated so that Java's engine takes linear time).
@@ -53,9 +53,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = rows.where((F.size("base") > 0) | (F.size("token") > 0))
     each = some.select("u", "owner", "repo", F.explode(F.concat("base", "token")).alias("s"))
     each = each.select("u", "owner", "repo", "s", F.sha2(secret_of(F.col("s")), 256).alias("h"), (F.col("s.kind") != "token").alias("is_base"))
-    held = each.groupBy("h", "owner", "repo").agg(F.max("is_base").alias("is_base")).groupBy("h", "owner").agg(F.count("*").alias("n"), F.max("is_base").alias("is_base"))
-    owned = materialise(held.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"), F.max("is_base").alias("in_base")), "secret-owners")
-    judged = each.join(owned, "h")
+    held = each.groupBy("h", "owner", "repo").agg(F.max("is_base").alias("is_base"), F.count("*").alias("m"))
+    held = held.groupBy("h", "owner").agg(F.count("*").alias("n"), F.max("is_base").alias("is_base"), F.sum("m").alias("m"))
+    owned = held.groupBy(F.col("h").alias("hash")).agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"), F.max("is_base").alias("in_base"), F.sum("m").alias("m"))
+    judged = join_groups(each, materialise(owned, "secret-owners"), F.col("h") == F.col("hash"), how="inner")
     verdict = F.when(F.col("n_owners") > owners, "example").otherwise("owned")
     value = F.col("s.value")
     mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARACTERS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches that are placed one after another before their array is closed.
+CHUNK = 256
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -19,7 +21,6 @@ def spans(text: Column, pattern: str, kind: str, rank: int, gate: Column | None
     after the pieces and matches before it. gate: a cheap condition without which no text can match.
     """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
@@ -27,9 +28,17 @@ def spans(text: Column, pattern: str, kind: str, rank: int, gate: Column | None
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(SPAN).alias("out"))
 
+    def add_chunk(acc: Column, chunk: Column) -> Column:
+        begin = F.struct(F.element_at(acc, -1)["at"].alias("at"), none().alias("out"))
+        return F.concat(acc, F.array(F.aggregate(chunk, begin, add)))
+
+    # matches are added to arrays of CHUNK at most, as each addition copies the array
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
+    chunks = F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(CHUNK)), lambda k: F.slice(p, k + 1, F.lit(CHUNK))))[0]
+    first = F.array(F.struct(F.lit(0).alias("at"), none().alias("out")))
+    placed = F.aggregate(chunks, first, add_chunk, lambda acc: F.flatten(F.transform(acc, lambda x: x["out"])))
     hit = text.rlike(pattern)
-    return F.when(hit if gate is None else gate & hit, F.aggregate(pairs, zero, add, lambda acc: acc["out"])).otherwise(none())
+    return F.when(hit if gate is None else gate & hit, placed).otherwise(none())
 
 
 def ordered(*kinds: Column) -> Column:
