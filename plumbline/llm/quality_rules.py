@@ -63,7 +63,7 @@ def target_model(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     """One row: `model`, the log ratio of target and raw probability by bucket, both with add-one smoothing.
 
     Raw counts cover all documents, target counts all documents whose id is in `trusted`. Each task sums its own counts
-    first, so that at most `buckets` rows leave it.
+    first, so that at most `buckets` rows leave it. Without a target n-gram all ratios are 0.
     """
     ids = materialise(trusted.select(F.col(trusted.columns[0]).alias("_tid")).where("_tid is not null").distinct(), "trusted")
     small = ids.count() <= BROADCAST_IDS
@@ -78,7 +78,8 @@ def target_model(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0)
     sums = every.agg(F.sum("raw").alias("n"), F.sum("target").alias("m"), F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("c"))
     ratio = F.transform("c", lambda x: F.log((x["target"] + 1.0) / (F.col("m") + buckets)) - F.log((x["raw"] + 1.0) / (F.col("n") + buckets)))
-    return materialise(sums.select(ratio.alias("model")), "ngram-ratio")
+    flat = F.array_repeat(F.lit(0.0), buckets)
+    return materialise(sums.select(F.when(F.col("m") > 0, ratio).otherwise(flat).alias("model")), "ngram-ratio")
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -86,8 +87,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
     row holds all columns of the document, so that none can clash. base_failed: fewer than 20 words, or over 30 % of the
     words in repeated eight-word windows. llr: the mean over the text's word unigrams and bigrams of
-    log(p_target / p_raw); kept: not base_failed and llr >= threshold. With no trusted document, every ratio is the
-    smoothing's and long corpora lose texts: give a target. Words lie between white space of the ASCII range.
+    log(p_target / p_raw); kept: not base_failed and llr >= threshold. With no trusted document, every llr is 0
+    and the base rules decide alone. Words lie between white space of the ASCII range.
     Nulls: a null text has no words, llr null, fails the base rule; a null id is judged but is never trusted. Repeated rows
     are judged alike. An empty table gives no rows. Only DataFrame functions are used.
     """
