@@ -14,10 +14,9 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from plumbline.session import build_session
-    from pyspark.sql import SparkSession
 
-    SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "3g").config("spark.sql.autoBroadcastJoinThreshold", "1m")
-    s = build_session("tests", "local[4]", 4)
+    more = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g", "spark.sql.autoBroadcastJoinThreshold": "1m"}
+    s = build_session("tests", "local[8]", 4, more)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

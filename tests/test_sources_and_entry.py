@@ -79,4 +79,5 @@ def test_entry(spark, sf_dir):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert ("pipeline" in e.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    whole = all(importlib.util.find_spec(m) for m in ("plumbline.llm", "corpus_pipeline"))
+    assert ("pipeline" in e.queries()) == whole
