@@ -18,6 +18,8 @@ REGISTERS, BAND_ROWS, MANTISSA_BITS = 128, 4, 10
 SLACK = 0.22
 #: Members of a bucket that one task compares with one another; a larger bucket is cut in blocks and all pairs of blocks.
 BLOCK = 1024
+#: Partners of one class that a task confirms; its set goes once to each such block.
+PARTNERS = 64
 #: Share of register collisions between sets of equal size, at one register (Yu and Weber, HyperMinHash, algorithm 4).
 COLLISION = 0.169919487159739093975315012348
 
@@ -165,7 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The partners of each a are cut in blocks; the set of a goes once to each block, not once to each pair.
     """
     partners = materialise(pairs.groupBy(F.col("a").alias("lead")).agg(F.count("*").alias("m")), "partners")
-    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).cast("int")
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PARTNERS)).cast("int")
     theirs = join_groups(pairs, partners, F.col("a") == F.col("lead"), how="inner").select("a", F.col("b").alias("c"), block.alias("block"))
     own = theirs.select("a", F.col("a").alias("c"), "block").distinct()
     asked = theirs.union(own).join(sets.select("c", "shingles"), "c")
