@@ -20,8 +20,8 @@ from .common import materialise, table
 
 _LOG = logging.getLogger(__name__)
 
-#: Entries that a worker's token cache holds before it is emptied; about 200 bytes each.
-CACHE = 600_000
+#: Entries that each of a worker's two token caches holds before it is emptied; about 200 bytes each.
+CACHE = 150_000
 #: The plan may use this share of sequences more than the dual bound; else it is made again with the next smaller step.
 GAP = 0.01
 #: Share of a pattern's scarcest length that is placed at once, before lengths are priced anew.
