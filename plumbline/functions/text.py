@@ -107,7 +107,8 @@ def or_default(x: Column, default: str = "Nao informado") -> Column:
 
 def number_text(x: Column, digits: int = 1) -> Column:
     """Half-up decimal text with point for thousands and comma for decimals; "-" for null and non-finite numbers."""
-    return F.coalesce(F.translate(F.format_string(f"%,.{digits}f", finite(x)), ",.", ".,"), F.lit("-")) if digits else F.coalesce(F.translate(F.format_string("%,.0f", finite(x)), ",", "."), F.lit("-"))
+    n = finite(x)
+    return F.when(n.isNotNull(), F.translate(F.format_string(f"%,.{digits}f", n), ",.", ".,")).otherwise("-")
 
 
 def signed_text(x: Column, digits: int = 1) -> Column:
@@ -133,6 +134,11 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(x)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def file_label(x: Column) -> Column:
+    """A name as part of a file name: lower case without accents."""
+    return F.lower(strip_accents(x))
+
+
 def numeric_order(x: Column) -> Column:
     """A sort key in which digit runs compare as numbers: leading number, then text."""
     return F.struct(F.coalesce(F.regexp_extract(x, "^([0-9]{1,9})", 1).try_cast("long"), F.lit(1 << 40)).alias("n"), x.alias("t"))

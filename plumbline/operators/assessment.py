@@ -6,7 +6,7 @@ which settles every tie). Every function takes and returns DataFrames and leaves
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import finite, or_default
@@ -69,10 +69,22 @@ def paid_years(df: DataFrame) -> DataFrame:
     return df.where("prof2024 is not null or prof2025 is not null")
 
 
+def _paired(raw: DataFrame, scope: list[str], keys: list[str], scores: list[Column]) -> DataFrame:
+    """Scores by scope and keys, with variation and the scope's latest identity, in one pass over the raw rows.
+
+    Every group carries the identity of its own latest row; a window over the groups, not the rows, picks the scope's.
+    """
+    when = F.struct("year", (-F.col("ord")).alias("_before"))
+    who = F.max_by(F.struct("unit_name", "network", "region"), when)
+    pairs = raw.groupBy(*scope, *keys).agg(*scores, who.alias("_who"), F.max(when).alias("_when"))
+    latest = F.max_by("_who", "_when").over(Window.partitionBy(*scope))
+    out = with_variation(paid_years(pairs.withColumn("_latest", latest)))
+    return out.select(*[c for c in out.columns if c not in ("_who", "_when", "_latest")], "_latest.*")
+
+
 def detail_comparison(raw: DataFrame) -> DataFrame:
     """One row per unit, grade, period and subject with both years' scores (the last row of a year wins) and variation."""
-    pairs = raw.groupBy("unit", "grade", "period", "subject").agg(*[one_of_year(y, F.col("ord")).alias(f"prof{y}") for y in YEARS])
-    return with_variation(paid_years(pairs)).join(latest_identity(raw), "unit")
+    return _paired(raw, ["unit"], ["grade", "period", "subject"], [one_of_year(y, F.col("ord")).alias(f"prof{y}") for y in YEARS])
 
 
 def period_score(year: int | None = None) -> Column:
@@ -90,20 +102,21 @@ def period_dedup(raw: DataFrame) -> DataFrame:
 def executive(raw: DataFrame, period: str | None = None) -> DataFrame:
     """One row per unit, grade and subject: periods reduced, years paired, latest identity, variation.
 
-    period keeps only that period's rows before anything else. Both years come from one aggregation over raw rows: one
-    shuffle on (unit, grade, subject), and a second, of identities, on unit.
+    period keeps only that period's rows before anything else. One aggregation over raw rows on (unit, grade, subject), then
+    one exchange of its groups on unit.
     """
     rows = raw if period is None else raw.where(F.col("period") == period)
-    pairs = rows.groupBy("unit", "grade", "subject").agg(*[period_score(y).alias(f"prof{y}") for y in YEARS])
-    return with_variation(paid_years(pairs)).join(latest_identity(rows), "unit")
+    return _paired(rows, ["unit"], ["grade", "subject"], [period_score(y).alias(f"prof{y}") for y in YEARS])
 
 
 def executive_variants(raw: DataFrame, periods: list[str]) -> DataFrame:
-    """The executive rows of all periods and of each single one, told apart by `variant`, for a table partitioned by it."""
-    out = executive(raw).withColumn("variant", F.lit("all"))
-    for p in periods:
-        out = out.unionByName(executive(raw, p).withColumn("variant", F.lit(p)))
-    return out
+    """The executive rows of all periods and of each single one, told apart by `variant`, for a table partitioned by it.
+
+    A raw row counts for "all" and, if its period is asked for, for that: one aggregation for all variants.
+    """
+    variant = F.array_compact(F.array(F.lit("all"), F.when(F.col("period").isin(periods), F.col("period"))))
+    rows = raw.withColumn("variant", F.explode(variant))
+    return _paired(rows, ["variant", "unit"], ["grade", "subject"], [period_score(y).alias(f"prof{y}") for y in YEARS])
 
 
 def state_filter(grade: str = "", subject: str = "", network: str = "") -> Column:
@@ -214,6 +227,17 @@ def rehydrate(detail: DataFrame, identities: DataFrame) -> DataFrame:
     return out.na.fill("", ["unit_name", "network", "region"])
 
 
+def series(rows: DataFrame, key: str) -> DataFrame:
+    """Chart series: the means by one column that have a year at all, with their place in the alphabet of names."""
+    means = paid_years(group_average(rows, key))
+    return means.withColumn("place", F.row_number().over(Window.orderBy(F.expr("name COLLATE pt"), "name")))  # a row for each name
+
+
+def table_rows(detail: DataFrame, bench: DataFrame, n: int = 300) -> DataFrame:
+    """The first rows of the detail table, in order of unit, grade, period and subject, with the gap to the benchmark."""
+    return table_gap(detail.orderBy("unit", "grade", "period", "subject").limit(n), bench)
+
+
 def match_units(index: DataFrame, query: str, cap: int = 30) -> tuple[DataFrame, DataFrame]:
     """(first matches by name, one row of total and hidden); an empty query matches nothing."""
     from plumbline.functions.text import fold
@@ -222,3 +246,10 @@ def match_units(index: DataFrame, query: str, cap: int = 30) -> tuple[DataFrame,
     hits = index.where(F.contains(F.col("search_key"), F.lit(key))) if key else index.where(F.lit(False))
     counts = hits.agg(F.count("*").alias("total")).withColumn("hidden", F.greatest(F.col("total") - cap, F.lit(0)))
     return hits.orderBy(F.expr("unit_name COLLATE pt"), "unit").limit(cap), counts
+
+
+def match_state(index: DataFrame, query: str, cap: int = 30) -> DataFrame:
+    """One row: how many units match, and whether that is one, several within the cap, or more than the cap."""
+    total = F.col("total")
+    _, counts = match_units(index, query, cap)
+    return counts.select("total", (total == 1).alias("single"), total.between(2, cap).alias("within_cap"), (total > cap).alias("over_cap"), total.between(1, cap).alias("detailed"))

@@ -7,12 +7,106 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import catalog_key, numeric_order, parse_query, slug
 
 
+#: Grade keys of codes, in order: single years, then ranges from the first digit to the second (fixed values).
+GRADE_KEYS = ["01", "02", "03", "04", "05", "06", "07", "08", "09", "12", "35", "15", "67", "89", "69"]
+#: Kinds of records (fixed values).
+GENERAL, SPECIFIC, SKILL = "competencia_geral", "competencia_especifica", "habilidade"
+
+
+def grade_years(key: str) -> list[str]:
+    first, last = int(key[0]) or int(key[1]), int(key[1])
+    return [f"{y}º ano" for y in range(first, last + 1)]
+
+
+def grade_label(key: str) -> str:
+    """One year, two years joined by "e", or a range by "ao"."""
+    first, last = int(key[0]), int(key[1])
+    return f"{last}º ano" if first == 0 else f"{first}º {'e' if last == first + 1 else 'ao'} {last}º ano"
+
+
+def grade_dimension(spark: SparkSession) -> DataFrame:
+    """(grade_key, label, years) of all grade keys."""
+    return spark.createDataFrame([(k, grade_label(k), grade_years(k)) for k in GRADE_KEYS], "grade_key string, grade_label string, grade_years array<string>")
+
+
+def with_grades(records: DataFrame, code: str = "code") -> DataFrame:
+    """Records with the label and years that their code's third and fourth characters stand for; null where they stand for none."""
+    key = F.substring(F.col(code), 3, 2)
+    return records.join(F.broadcast(grade_dimension(records.sparkSession)), key == F.col("grade_key"), "left")  # fifteen rows
+
+
+def dataset_order() -> list[Column]:
+    """The order of a written dataset: specific competences before skills, then by code, then by number."""
+    return [F.when(F.col("kind") == SPECIFIC, 0).otherwise(1), F.coalesce("code", F.lit("")), F.coalesce("number", F.lit(0))]
+
+
+def of_kind(records: DataFrame, *kinds: str) -> DataFrame:
+    return records.where(F.col("kind").isin(*kinds))
+
+
+def object_label() -> Column:
+    """The object's lines on one line."""
+    return F.replace(F.col("object"), F.lit("\n"), F.lit(" · "))
+
+
+def object_lines() -> Column:
+    return F.split("object", "\n")
+
+
+def mapped_slug(x: Column, known: dict[str, str]) -> Column:
+    """The known slug of a name, else one made of the name."""
+    table = F.create_map(*[F.lit(v) for pair in known.items() for v in pair]) if known else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(table, x), slug(x))
+
+
+def record_label() -> Column:
+    """What a record is, by its kind and stage (texts are fixed values)."""
+    number = F.col("number").cast("string")
+    parts = lambda *xs: F.concat(*[y for i, x in enumerate(xs) for y in ([F.lit(" · ")] if i else []) + [F.coalesce(x, F.lit(""))]])
+    return (
+        F.when(F.col("kind") == GENERAL, F.concat(F.lit("Competência geral · Competência "), number, F.lit(" de 10")))
+        .when(F.col("kind") == SPECIFIC, parts(F.lit("Competência específica"), F.col("area"), F.concat(F.lit("Competência "), number)))
+        .when(F.col("stage") == "Ensino Médio", parts(F.lit("Habilidade"), F.col("stage"), F.col("area"), F.col("subject")))
+        .otherwise(parts(F.lit("Habilidade"), F.col("stage"), F.col("year"), F.col("subject")))
+    )
+
+
+def record_href(root: str, area_slugs: dict[str, str]) -> Column:
+    """The link of a record, by its kind; an area without a slug leaves its place empty."""
+    anchor = F.concat(F.lit("#competencia-"), F.col("number").cast("string"))
+    table = F.create_map(*[F.lit(v) for pair in area_slugs.items() for v in pair]) if area_slugs else F.create_map().cast("map<string,string>")
+    area = F.coalesce(F.try_element_at(table, F.col("area")), F.lit(""))
+    return (
+        F.when(F.col("kind") == GENERAL, F.concat(F.lit(f"{root}/competencias-gerais"), anchor))
+        .when(F.col("kind") == SPECIFIC, F.concat(F.lit(f"{root}/ensino-medio/"), area, anchor))
+        .otherwise(F.concat(F.lit(f"{root}/"), F.lower("code")))
+    )
+
+
+def dependent_facets(records: DataFrame, year: str = "", unit: str = "") -> DataFrame:
+    """(facet, value): years of all records, units of the records of the year, objects of those of the year and unit.
+
+    One pass: every record offers its values, with the facets that it may serve.
+    """
+    in_year = F.array_contains(F.coalesce("years", F.array("year")), year) if year else F.lit(True)
+    in_unit = F.coalesce(unit_of() == unit, F.lit(False)) if unit else F.lit(True)
+    pair = lambda name, x: F.struct(F.lit(name).alias("facet"), x.alias("value"))
+    years = F.transform(F.coalesce("years", F.array("year")), lambda y: pair("year", y))
+    units = F.when(in_year, F.array(pair("unit", unit_of()))).otherwise(F.array().cast(_FACETS))
+    objects = F.when(in_year & in_unit, F.array(pair("object", F.col("object")))).otherwise(F.array().cast(_FACETS))
+    offered = records.select(F.explode(F.concat(years, units, objects)).alias("f")).select("f.*")
+    return offered.where("value is not null and value <> ''").distinct()
+
+
+_FACETS = "array<struct<facet:string,value:string>>"
+
+
 def union_records(*sources: DataFrame) -> DataFrame:
     """All records of all sources, in the order given; a column that a source lacks is null."""
     tagged = [s.withColumn("source_no", F.lit(i)) for i, s in enumerate(sources)]
@@ -62,11 +156,11 @@ def related_by_group(records: DataFrame, keys: list[str], n: int = 4) -> DataFra
     Candidates come down to a few per group before any join: of its own object a record can need the n + 1 first codes; of
     other objects the n first, and these are among the group's 2n first once each object offers n at most.
     """
-    base = records.select("code", "object", *keys)
-    ranked = base.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "object").orderBy("code")))
-    near = ranked.where(F.col("k") <= n + 1)
-    far = ranked.where(F.col("k") <= n).withColumn("g", F.row_number().over(Window.partitionBy(*keys).orderBy("code"))).where(F.col("g") <= 2 * n)
-    same_keys = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    base = records.select("code", "object", F.struct(*keys).alias("_g"))
+    ranked = base.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "object").orderBy("code")))
+    near = ranked.where(F.col("_k") <= n + 1)
+    far = ranked.where(F.col("_k") <= n).withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy("code"))).where(F.col("_n") <= 2 * n)
+    same_keys = F.col("a._g").eqNullSafe(F.col("b._g"))
     same_object = F.col("a.object").eqNullSafe(F.col("b.object"))
 
     def pairs(others: DataFrame, cond: Column, same: bool) -> DataFrame:
@@ -83,10 +177,10 @@ def related_by_overlap(records: DataFrame, within: list[str], array: str, n: int
 
     Each (group, element) keeps its n + 1 first codes before the join: of more, none could be among a record's first n.
     """
-    each = records.select("code", *within, F.explode(F.array_distinct(array)).alias("e"))
-    first = each.withColumn("k", F.row_number().over(Window.partitionBy(*within, "e").orderBy("code"))).where(F.col("k") <= n + 1).drop("k")
-    other = first.withColumnRenamed("code", "related")
-    pairs = each.join(other, [*within, "e"]).where("code <> related").select("code", "related").distinct()
+    each = records.select("code", F.struct(*within).alias("_g"), F.explode(F.array_distinct(array)).alias("_e"))
+    first = each.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_e").orderBy("code"))).where(F.col("_k") <= n + 1)
+    other = first.select(F.col("code").alias("related"), F.col("_g").alias("_og"), F.col("_e").alias("_oe"))
+    pairs = each.join(other, F.col("_g").eqNullSafe(F.col("_og")) & (F.col("_e") == F.col("_oe"))).where("code <> related").select("code", "related").distinct()
     w = Window.partitionBy("code").orderBy("related")
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

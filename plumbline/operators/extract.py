@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def forward_fill(rows: DataFrame, scope: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """The last non-empty value at or before each row of its scope; a scope (section, page, cycle) resets the fill."""
     w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return rows.withColumn(name, F.last(F.when(value.cast("string") != "", value), ignorenulls=True).over(w))
 
 
 def first_in_row_then_carry(lines: DataFrame, scope: list[str], row: str, order: list[str], value: Column, name: str) -> DataFrame:
@@ -50,6 +50,21 @@ def boundary_pairs(edges: DataFrame, scope: list[str], at: str) -> DataFrame:
     return edges.select(*scope, F.col(at).alias("top"), F.lead(at).over(w).alias("bottom")).where("bottom is not null")
 
 
+def with_edges(edges: DataFrame, scope: list[str], at: str, lead: float | None = None, closing: DataFrame | None = None) -> DataFrame:
+    """Boundaries with a lead-in before each scope's first one and a closing edge after its last.
+
+    closing: (scope..., at), at most one row per scope; it is added where it lies beyond the scope's last boundary, which
+    itself stays. A scope without boundaries gets neither.
+    """
+    out = edges.select(*scope, at)
+    last = edges.groupBy(*scope).agg(F.max(at).alias("_last"))
+    if closing is not None:
+        out = out.unionByName(closing.join(last, scope).where(F.col(at) > F.col("_last")).select(*scope, at))
+    if lead is not None:
+        out = out.unionByName(last.select(*scope, F.lit(lead).cast(dict(edges.dtypes)[at]).alias(at)))
+    return out
+
+
 def in_intervals(rows: DataFrame, bounds: DataFrame, scope: list[str], at: str) -> DataFrame:
     """Rows inside the intervals of their scope: an equi-join on the scope with the range as its condition."""
     same = [F.col(f"r.{k}") == F.col(f"b.{k}") for k in scope]
@@ -57,11 +72,11 @@ def in_intervals(rows: DataFrame, bounds: DataFrame, scope: list[str], at: str)
     return rows.alias("r").join(bounds.alias("b"), cond).select("r.*", "b.top", "b.bottom")
 
 
-def facing_pages(pages: DataFrame, start: int) -> DataFrame:
-    """Page n beside page n + 1 from `start` on, in steps of two; a last page without a partner is left out."""
+def facing_pages(pages: DataFrame, start: int, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Page n beside page n + 1 of its scope from `start` on, in steps of two; a last page without a partner is left out."""
     left = pages.where((F.col("page") >= start) & ((F.col("page") - start) % 2 == 0))
-    right = pages.select((F.col("page") - 1).alias("page"), F.col("text").alias("facing_text"))
-    return left.join(right, "page")
+    right = pages.select(*scope, (F.col("page") - 1).alias("page"), F.col("text").alias("facing_text"))
+    return left.join(right, [*scope, "page"])
 
 
 def all_matches(rows: DataFrame, text: str, pattern: str, groups: list[str]) -> DataFrame:

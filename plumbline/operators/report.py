@@ -74,6 +74,14 @@ def priorities(compared: DataFrame) -> DataFrame:
     return rows.select("unit", "grade", "subject", "priority", F.coalesce(rank, F.lit(len(ORDER) + 1)).cast("int").alias("rank"), F.col("position_label").alias("situation"), evidence.alias("evidence"), F.col("position_tone").alias("tone"))
 
 
+def badge(position: Column) -> Column:
+    """The style class of a position; null for an unknown one."""
+    out = F.lit(None).cast("string")
+    for key, tone in BADGES.items():
+        out = F.when(position == key, tone).otherwise(out)
+    return out
+
+
 def value_domain(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Chart domain over several columns: least, greatest, and both with a padding of 18 % of the range, 6 at least."""
     out = rows.agg(F.least(*[F.min(c) for c in columns]).alias("low"), F.greatest(*[F.max(c) for c in columns]).alias("high"))

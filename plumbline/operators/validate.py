@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_LOG = logging.getLogger(__name__)
+
 VALID, REVIEW = "valido", "revisao_necessaria"
 
 
@@ -106,18 +109,55 @@ def status(records: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     return out.withColumn("status", F.when((F.col("rejected") == 0) & (F.col("gaps") == 0), VALID).otherwise(REVIEW))
 
 
-def write_if_valid(records: DataFrame, gaps: DataFrame | None, dataset_path: str, report_path: str) -> bool:
-    """Write the status report always and the accepted records only if the status is valid."""
+def summary(records: DataFrame, facets: list[str]) -> DataFrame:
+    """(facet, value, n): counts by each facet and, as facet "total", of all, in one pass; nulls of a facet are not counted by it."""
+    out = records.groupingSets([[f] for f in facets] + [[]], *facets).agg(F.count("*").alias("n"), *[F.grouping(f).alias(f"_{f}") for f in facets])
+    facet, value = F.lit("total"), F.lit(None).cast("string")
+    for f in facets:
+        facet, value = F.when(F.col(f"_{f}") == 0, f).otherwise(facet), F.when(F.col(f"_{f}") == 0, F.col(f).cast("string")).otherwise(value)
+    return out.select(facet.alias("facet"), value.alias("value"), "n").where("facet = 'total' or value is not null")
+
+
+def overall_status(reports: DataFrame) -> DataFrame:
+    """One row: scopes, and "valido" if every scope's status is; without scopes it is."""
+    every = F.coalesce(F.bool_and(F.coalesce(F.col("status") == VALID, F.lit(False))), F.lit(True))
+    return reports.agg(F.count("*").alias("scopes"), F.when(every, VALID).otherwise(REVIEW).alias("status"))
+
+
+def distinct_check(rows: DataFrame, key: str) -> DataFrame:
+    """One row: rows, distinct keys (null counts as one), and whether every row has a key of its own."""
+    out = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("distinct_keys"))
+    return out.withColumn("unique", F.col("n") == F.col("distinct_keys"))
+
+
+def key_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(side, key): keys that only one side has: two anti joins."""
+    a, b = left.select(F.col(key).alias("key")), right.select(F.col(key).alias("key"))
+    only = lambda x, y, side: x.join(y, "key", "left_anti").distinct().select(F.lit(side).alias("side"), "key")
+    return only(a, b, "left").union(only(b, a, "right"))
+
+
+def fixed_range_gaps(records: DataFrame, number: str, last: int) -> DataFrame:
+    """Numbers from 1 to `last` that no record has; all of them if there is no record."""
+    wanted = records.sparkSession.range(1, last + 1).select(F.col("id").cast("int").alias("missing"))
+    return wanted.join(records.select(F.col(number).alias("_have")), F.col("missing") == F.col("_have"), "left_anti")
+
+
+def write_if_valid(records: DataFrame, gaps: DataFrame | None, dataset_path: str, report_path: str, check_only: bool = False) -> bool:
+    """Write the status report always and the accepted records only if the status is valid; if check_only, write neither."""
     report = status(records, gaps)
-    report.write.mode("overwrite").json(report_path)
     ok = report.first()["status"] == VALID
-    if ok:
+    if not check_only:
+        report.write.mode("overwrite").json(report_path)
+    if ok and not check_only:
         accepted(records).drop("errors", "warnings").write.mode("overwrite").parquet(dataset_path)
     return ok
 
 
 def guarded_enrichment(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
-    """Join a column only if both sides have the same keys; else the column is null in every row."""
-    differ = left.select(key).join(right, key, "left_anti").limit(1).union(right.select(key).join(left, key, "left_anti").limit(1)).isEmpty()
+    """Join a column only if both sides have the same keys; else warn and leave the column null in every row."""
     joined = left.join(right.select(key, column), key, "left")
-    return joined if differ else joined.withColumn(column, F.lit(None).cast(dict(right.dtypes)[column]))
+    if key_mismatches(left, right, key).isEmpty():
+        return joined
+    _LOG.warning("%s: the sides have different keys, see key_mismatches", column)
+    return joined.withColumn(column, F.lit(None).cast(dict(right.dtypes)[column]))

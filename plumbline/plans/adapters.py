@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.catalog import GRADE_KEYS, grade_label, grade_years
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,9 +20,10 @@ def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     period = F.when(F.col("p_type").startswith("ECONOMY"), "MANHA").when(F.col("p_type").startswith("SMALL"), "TARDE").otherwise("NOITE")
     lines = lines.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", (year + 24).alias("year"), F.col("l_returnflag").alias("grade"), F.col("l_linestatus").alias("subject"), period.alias("period"), "l_quantity")
     # partial sums by supplier before any dimension is joined
-    by_period = lines.groupBy("l_suppkey", "year", "grade", "subject", "period").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
-    whole = by_period.where("l_suppkey % 3 <> 0").groupBy("l_suppkey", "year", "grade", "subject").agg(F.sum("q").alias("q"), F.sum("n").alias("n")).withColumn("period", F.lit("GERAL"))
-    rows = by_period.unionByName(whole)
+    keys = ["l_suppkey", "year", "grade", "subject"]
+    by_period = lines.groupBy(*keys, "period").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
+    rows = by_period.groupingSets([[*keys, "period"], keys], *keys, "period").agg(F.sum("q").alias("q"), F.sum("n").alias("n"), F.grouping("period").alias("whole"))
+    rows = rows.where("whole = 0 or l_suppkey % 3 <> 0").withColumn("period", F.when(F.col("whole") == 1, "GERAL").otherwise(F.col("period")))
     units = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "s_name", "s_nationkey", "r_name")
     rows = rows.join(units, F.col("l_suppkey") == F.col("s_suppkey"))
     renamed = (F.col("year") == 2025) & (F.col("l_suppkey") % 10 == 3)
@@ -54,19 +57,11 @@ raw AS (
   FROM scored JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-#: Grade keys in order: single years 1 to 9, then the ranges (fixed values).
-GRADE_KEYS = [*[[y] for y in range(1, 10)], [1, 2], [3, 4, 5], [1, 2, 3, 4, 5], [6, 7], [8, 9], [6, 7, 8, 9]]
-
-
-def _label(years: list[int]) -> str:
-    return f"{years[0]}º ano" if len(years) == 1 else f"{years[0]}º ao {years[-1]}º ano"
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue records over `part`."""
     gk = (F.col("p_size") % 15 + 1).cast("int")
-    labels = F.array(*[F.lit(_label(g)) for g in GRADE_KEYS])
-    years = F.array(*[F.array(*[F.lit(f"{y}º ano") for y in g]) for g in GRADE_KEYS])
+    labels = F.array(*[F.lit(grade_label(g)) for g in GRADE_KEYS])
+    years = F.array(*[F.array(*[F.lit(y) for y in grade_years(g)]) for g in GRADE_KEYS])
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("code"), F.lit("habilidade").alias("kind"), F.col("p_type").alias("subject"), F.element_at(labels, gk).alias("year"), F.element_at(years, gk).alias("years"),
         F.col("p_brand").alias("unit"), F.col("p_size").cast("string").alias("object"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("area"),
@@ -74,8 +69,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LABELS = ", ".join(f"'{_label(g)}'" for g in GRADE_KEYS)
-_YEARS = ", ".join("[" + ", ".join(f"'{y}º ano'" for y in g) + "]" for g in GRADE_KEYS)
+_LABELS = ", ".join(f"'{grade_label(g)}'" for g in GRADE_KEYS)
+_YEARS = ", ".join("[" + ", ".join(f"'{y}'" for y in grade_years(g)) + "]" for g in GRADE_KEYS)
 CATALOG_SQL = f"""
 catalog AS (
   SELECT CAST(p_partkey AS VARCHAR) AS code, p_type AS subject, ([{_LABELS}])[p_size % 15 + 1] AS year, ([{_YEARS}])[p_size % 15 + 1] AS years, p_brand AS unit, CAST(p_size AS VARCHAR) AS object,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -272,8 +272,8 @@ def route_enumeration(spark, sf_dir):
 @query("SELECT 'orders without lines' AS fault, o_orderkey AS key FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) UNION ALL SELECT DISTINCT 'lines without order', l_orderkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
 def referential_anti(spark, sf_dir):
     orders, lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
-    left = orders.join(lines, "key", "left_anti").select(F.lit("orders without lines").alias("fault"), "key")
-    return left.union(lines.join(orders, "key", "left_anti").distinct().select(F.lit("lines without order"), "key"))
+    side = F.when(F.col("side") == "left", "orders without lines").otherwise("lines without order")
+    return ov.key_mismatches(orders, lines, "key").select(side.alias("fault"), "key")
 
 
 @query(f"{_E} SELECT unit, grade, subject, status FROM executive WHERE unit IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 5000)")
@@ -333,7 +333,7 @@ def guarded_enrichment(spark, sf_dir):
     return ov.guarded_enrichment(lines, table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "key"), "key", "p_brand")
 
 
-@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
+@query("SELECT conv_id, turn, role, last_value(nullif(CASE WHEN role = 'user' THEN text END, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
 def forward_fill(spark, sf_dir):
     return ox.forward_fill(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "asked").select("conv_id", "turn", "role", "asked")
 
@@ -394,9 +394,7 @@ def content_hash(spark, sf_dir):
 @query("WITH t AS (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, doc_id FROM documents) SELECT a.doc_id, a.n AS page, b.line AS facing_text FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.n = a.n + 1 WHERE a.n % 2 = 1")
 def facing_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", (F.col("page") + 1).cast("long"))
-    left = lines.where("page % 2 = 1").select("doc_id", "page")
-    right = lines.select("doc_id", (F.col("page") - 1).alias("page"), F.col("text").alias("facing_text"))
-    return left.join(right, ["doc_id", "page"])
+    return ox.facing_pages(lines, 1, ("doc_id",)).select("doc_id", "page", "facing_text")
 
 
 @query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
@@ -407,3 +405,200 @@ def first_items(spark, sf_dir):
 @query("SELECT min(page_id) AS page FROM pages WHERE page_id >= 10 AND contains(html, '<table')")
 def heading_page(spark, sf_dir):
     return ox.heading_page(table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("text")), "<table", 10)
+
+
+_CODED = """coded AS (
+  SELECT CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'EF' || key || 'LP' || right('0' || (p_partkey % 90), 2) END AS code, CASE WHEN p_partkey % 11 = 0 THEN 'competencia_especifica' WHEN p_partkey % 13 = 0 THEN 'competencia_geral' ELSE 'habilidade' END AS kind,
+         CASE WHEN p_partkey % 5 = 0 THEN 'Ensino Médio' ELSE 'Ensino Fundamental' END AS stage, p_type AS area, p_brand AS subject, CAST(p_size AS INTEGER) AS number, p_partkey AS ord
+  FROM (SELECT *, (['01', '12', '35', '89', '69', 'xx'])[CAST(p_partkey % 6 AS INTEGER) + 1] AS key FROM part))"""
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all kinds over `part`, with codes that name grades; specific competences have no code."""
+    key = F.element_at(F.array(*[F.lit(k) for k in ("01", "12", "35", "89", "69", "xx")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    n = F.col("p_partkey")
+    code = F.concat(F.lit("EF"), key, F.lit("LP"), F.lpad((n % 90).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "part").select(
+        F.when(n % 11 != 0, code).alias("code"), F.when(n % 11 == 0, oc.SPECIFIC).when(n % 13 == 0, oc.GENERAL).otherwise(oc.SKILL).alias("kind"),
+        F.when(n % 5 == 0, "Ensino Médio").otherwise("Ensino Fundamental").alias("stage"), F.col("p_type").alias("area"), F.col("p_brand").alias("subject"), F.col("p_size").cast("int").alias("number"), n.alias("ord"),
+    )
+
+
+@query(f"WITH {_CODED} SELECT ord, subject, row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN kind = 'competencia_especifica' THEN 0 ELSE 1 END, coalesce(code, ''), number, ord) AS place FROM coded")
+def dataset_order(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("subject").orderBy(*oc.dataset_order(), "ord"))
+    return _coded(spark, sf_dir).select("ord", "subject", place.cast("long").alias("place"))
+
+
+_GRADE_ROWS = ", ".join(f"('{k}', '{oc.grade_label(k)}', '{'|'.join(oc.grade_years(k))}')" for k in oc.GRADE_KEYS)
+
+
+@query(f"WITH {_CODED}, g(k, label, years) AS (VALUES {_GRADE_ROWS}) SELECT ord, label AS grade_label, years AS grade_years FROM coded LEFT JOIN g ON substring(code, 3, 2) = k")
+def grade_lookup(spark, sf_dir):
+    return oc.with_grades(_coded(spark, sf_dir)).select("ord", "grade_label", F.array_join("grade_years", "|").alias("grade_years"))
+
+
+@query(f"WITH {_CODED}, g(k, label, years) AS (VALUES {_GRADE_ROWS}) SELECT ord FROM coded LEFT JOIN g ON substring(code, 3, 2) = k WHERE label IS DISTINCT FROM CASE WHEN stage = 'Ensino Médio' THEN '1º ano' ELSE label END")
+def grade_label_rule(spark, sf_dir):
+    expected = F.when(F.col("stage") == "Ensino Médio", "1º ano").otherwise(F.col("grade_label"))
+    return ov.rejected(ov.checked(oc.with_grades(_coded(spark, sf_dir)), [ov.equals_lookup("grade_label", expected)])).select("ord")
+
+
+@query(f"""WITH {_CODED} SELECT ord,
+  CASE kind WHEN 'competencia_geral' THEN 'Competência geral · Competência ' || number || ' de 10' WHEN 'competencia_especifica' THEN 'Competência específica · ' || area || ' · Competência ' || number
+       ELSE CASE WHEN stage = 'Ensino Médio' THEN 'Habilidade · Ensino Médio · ' || area || ' · ' || subject ELSE 'Habilidade · ' || stage || ' · 6º ano · ' || subject END END AS label,
+  CASE kind WHEN 'competencia_geral' THEN '/c/competencias-gerais#competencia-' || number WHEN 'competencia_especifica' THEN '/c/ensino-medio/' || CASE area WHEN 'ECONOMY' THEN 'um' ELSE '' END || '#competencia-' || number ELSE '/c/' || lower(code) END AS href FROM coded""")
+def record_labels(spark, sf_dir):
+    records = _coded(spark, sf_dir).withColumn("year", F.lit("6º ano"))
+    return records.select("ord", oc.record_label().alias("label"), oc.record_href("/c", {"ECONOMY": "um"}).alias("href"))
+
+
+@query(f"WITH {_CODED} SELECT kind, count(*) AS n FROM coded WHERE kind <> 'competencia_geral' GROUP BY kind")
+def kind_filter(spark, sf_dir):
+    return oc.of_kind(_coded(spark, sf_dir), oc.SPECIFIC, oc.SKILL).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, replace(text, chr(10), ' · ') AS label, len(string_split(text, chr(10))) AS n_lines FROM documents")
+def object_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("text", "object")
+    return docs.select("doc_id", oc.object_label().alias("label"), F.size(oc.object_lines()).cast("long").alias("n_lines"))
+
+
+@query(f"WITH {_CODED} SELECT DISTINCT subject, CASE subject WHEN 'Brand#1' THEN 'first' ELSE lower(replace(subject, '#', '-')) END AS slug FROM coded")
+def mapped_slugs(spark, sf_dir):
+    return _coded(spark, sf_dir).select("subject", oc.mapped_slug(F.col("subject"), {"Brand#1": "first"}).alias("slug")).distinct()
+
+
+@query(f"WITH {CATALOG_SQL} SELECT 'year' AS facet, unnest(years) AS value FROM catalog UNION SELECT 'unit', unit FROM catalog WHERE list_contains(years, '7º ano') UNION SELECT 'object', object FROM catalog WHERE list_contains(years, '7º ano') AND unit = 'Brand#2'")
+def facets_all(spark, sf_dir):
+    return oc.dependent_facets(catalog(spark, sf_dir), "7º ano", "Brand#2")
+
+
+@query("SELECT 'total' AS facet, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM orders UNION ALL SELECT 'status', nullif(o_orderstatus, 'O'), count(*) FROM orders WHERE o_orderstatus <> 'O' GROUP BY ALL UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY ALL")
+def summary_totals(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.nullif("o_orderstatus", F.lit("O")).alias("status"), F.col("o_orderpriority").alias("priority"))
+    return ov.summary(orders, ["status", "priority"])
+
+
+@query("WITH s AS (SELECT o_orderpriority, CASE WHEN count(*) FILTER (o_totalprice > 400000) > 0 THEN 'revisao_necessaria' ELSE 'valido' END AS status FROM orders GROUP BY 1) SELECT count(*) AS scopes, CASE WHEN coalesce(bool_and(status = 'valido'), true) THEN 'valido' ELSE 'revisao_necessaria' END AS status FROM s")
+def overall_status(spark, sf_dir):
+    scopes = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.when(F.count_if(F.col("o_totalprice") > 400000) > 0, ov.REVIEW).otherwise(ov.VALID).alias("status"))
+    return ov.overall_status(scopes)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT l_orderkey) AS distinct_keys, count(*) = count(DISTINCT l_orderkey) AS \"unique\" FROM lineitem")
+def distinct_check(spark, sf_dir):
+    return ov.distinct_check(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query("SELECT CAST(g AS INTEGER) AS missing FROM range(1, 61) AS r(g) WHERE g NOT IN (SELECT p_size FROM part WHERE p_size % 4 <> 0)")
+def fixed_range_gaps(spark, sf_dir):
+    return ov.fixed_range_gaps(table(spark, sf_dir, "part").where("p_size % 4 <> 0"), "p_size", 60)
+
+
+@query("WITH a AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_quantity < 3), b AS (SELECT p_partkey AS key FROM part WHERE p_size < 40) SELECT 'left' AS side, key FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT 'right', key FROM b WHERE key NOT IN (SELECT key FROM a)")
+def mapping_mismatch(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("key"))
+    return ov.key_mismatches(lines, table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("key")), "key")
+
+
+@query("WITH s AS (SELECT user_id, event_type, date_diff('second', TIMESTAMP '2024-01-01', ts) / 1.0 AS pos FROM events), e AS (SELECT user_id, pos FROM s WHERE event_type = 'signup'), m AS (SELECT user_id, max(pos) AS last FROM e GROUP BY 1), c AS (SELECT user_id, max(pos) AS pos FROM s WHERE event_type = 'error' GROUP BY 1) SELECT user_id, pos FROM e UNION ALL SELECT c.user_id, c.pos FROM c JOIN m ON m.user_id = c.user_id WHERE c.pos > m.last UNION ALL SELECT user_id, -1.0 FROM m")
+def boundary_edges(spark, sf_dir):
+    pos = (F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))).cast("double")
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", pos.alias("pos"))
+    closing = events.where("event_type = 'error'").groupBy("user_id").agg(F.max("pos").alias("pos"))
+    return ox.with_edges(events.where("event_type = 'signup'"), ["user_id"], "pos", -1.0, closing)
+
+
+@query(f"WITH {ASSESSMENT_SQL} SELECT DISTINCT 'Período ' || period AS period, 'periodo ' || lower(period) AS file FROM raw")
+def file_labels(spark, sf_dir):
+    period = F.concat(F.lit("Período "), F.col("period"))
+    return assessment(spark, sf_dir).select(period.alias("period"), tx.file_label(period).alias("file")).distinct()
+
+
+@query(f"{_B}, p AS (SELECT unit, grade, period, subject, max(CASE WHEN year = 2024 THEN score END) AS a, max(CASE WHEN year = 2025 THEN score END) AS b FROM raw GROUP BY ALL ORDER BY unit, grade, period, subject LIMIT 300) SELECT p.unit, p.grade, p.period, p.subject, round(p.b - b.state2025, 6) AS gap2025 FROM p LEFT JOIN bench b ON b.grade = p.grade AND b.subject = p.subject")
+def table_cap(spark, sf_dir):
+    raw = assessment(spark, sf_dir)
+    return rounded(oa.table_rows(oa.detail_comparison(raw), oa.benchmark(oa.executive(raw))).select("unit", "grade", "period", "subject", "gap2025"))
+
+
+@query(f"{_E}, s AS (SELECT grade AS name, avg(prof2024) AS a, avg(prof2025) AS b FROM executive GROUP BY grade) SELECT name, round(a, 6) AS prof2024, round(b, 6) AS prof2025, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS place FROM s")
+def series_order(spark, sf_dir):
+    return rounded(oa.series(oa.executive(assessment(spark, sf_dir)), "grade").select("name", "prof2024", "prof2025", "place"))
+
+
+@query(f"WITH {ASSESSMENT_SQL}, {_LATEST.format('raw')}, t AS (SELECT count(*) AS total FROM latest WHERE contains(lower(unit_name), 'supplier')) SELECT total, total = 1 AS single, total BETWEEN 2 AND 30 AS within_cap, total > 30 AS over_cap, total BETWEEN 1 AND 30 AS detailed FROM t")
+def match_flags(spark, sf_dir):
+    return oa.match_state(oa.search_index(assessment(spark, sf_dir)), "Supplier")
+
+
+@query(f"{_C} SELECT unit, grade, subject, CASE position WHEN 'DESTAQUE' THEN 'tone-destaque' WHEN 'RECUPERACAO' THEN 'tone-recuperacao' WHEN 'ATENCAO' THEN 'tone-atencao' WHEN 'PRIORIDADE' THEN 'tone-prioridade' ELSE 'tone-sem-referencia' END AS badge FROM compared")
+def badges(spark, sf_dir):
+    return _compared(spark, sf_dir).select("unit", "grade", "subject", orp.badge(F.col("position")).alias("badge"))
+
+
+_VARIANTS = "WITH " + ASSESSMENT_SQL + ", v AS (SELECT *, 'all' AS variant FROM raw UNION ALL SELECT *, period FROM raw WHERE period IN ('MANHA', 'NOITE')), who AS (SELECT variant, unit, unit_name FROM (SELECT *, row_number() OVER (PARTITION BY variant, unit ORDER BY year DESC, ord) AS k FROM v) WHERE k = 1)"
+
+
+@query(f"{_VARIANTS}, p AS (SELECT variant, unit, grade, subject, {_PAIR} FROM v GROUP BY ALL) SELECT variant, unit, unit_name, grade, subject, round(prof2024, 6) AS prof2024, round(prof2025, 6) AS prof2025 FROM p JOIN who USING (variant, unit)")
+def executive_variants(spark, sf_dir):
+    return rounded(oa.executive_variants(assessment(spark, sf_dir), ["MANHA", "NOITE"]).select("variant", "unit", "unit_name", "grade", "subject", "prof2024", "prof2025"))
+
+
+@query(f"""WITH n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN s_acctbal END AS x FROM supplier), t AS (SELECT s_suppkey, x, CAST(floor(abs(x) * 10 + 0.5) AS BIGINT) AS t FROM n),
+f AS (SELECT s_suppkey, x, CASE WHEN x IS NULL THEN '-' ELSE CASE WHEN x < 0 THEN '-' ELSE '' END || replace(format('{{:,}}', t // 10), ',', '.') || ',' || (t % 10) END AS number FROM t) SELECT s_suppkey, number, CASE WHEN x > 0 THEN '+' ELSE '' END || number AS signed FROM f""")
+def number_formats(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal")).alias("x"))
+    return rows.select("s_suppkey", tx.number_text(F.col("x")).alias("number"), tx.signed_text(F.col("x")).alias("signed"))
+
+
+@query(f"WITH {CATALOG_SQL}, p AS (SELECT a.code, b.code AS related, row_number() OVER (PARTITION BY a.code ORDER BY (a.object = b.object) DESC, b.code) AS place FROM catalog a JOIN catalog b ON a.subject = b.subject AND a.year = b.year AND nullif(a.unit, 'Brand#3') IS NOT DISTINCT FROM nullif(b.unit, 'Brand#3') AND a.code <> b.code) SELECT code, related, CAST(place AS INTEGER) AS place FROM p WHERE place <= 4")
+def related_clashing(spark, sf_dir):
+    """`related_group` where the keys have the names of helpers, and one is null."""
+    records = catalog(spark, sf_dir).withColumnsRenamed({"subject": "g", "year": "k"}).withColumn("same", F.nullif("unit", F.lit("Brand#3")))
+    return oc.related_by_group(records, ["g", "k", "same"])
+
+
+@query(f"WITH {CATALOG_SQL} SELECT code FROM catalog ORDER BY ord LIMIT 36")
+def load_more(spark, sf_dir):
+    return oc.page(catalog(spark, sf_dir), 2).select("code")
+
+
+@query(f"WITH {CATALOG_SQL} SELECT count(unit) > 0 AS any_unit, count(object) > 0 AS any_object, false AS any_field FROM catalog")
+def existence_flags(spark, sf_dir):
+    return oc.existence_flags(catalog(spark, sf_dir))
+
+
+@query(f"WITH {CATALOG_SQL} SELECT subject, count(*) AS n FROM catalog GROUP BY subject")
+def hub_totals(spark, sf_dir):
+    return oc.hub_totals(catalog(spark, sf_dir))
+
+
+@query(f"WITH {ASSESSMENT_SQL} SELECT unit, grade, period, subject, round(score, 6) AS score FROM raw WHERE network = 'ASIA' AND period = 'TARDE' AND year = 2025")
+def row_filters(spark, sf_dir):
+    return rounded(assessment(spark, sf_dir).where(oa.row_filter(network="ASIA", period="TARDE", year="2025")).select("unit", "grade", "period", "subject", "score"))
+
+
+@query(f"WITH {ASSESSMENT_SQL}, {_LATEST.format('raw')} SELECT r.unit, r.period, r.year, round(r.score, 6) AS score, coalesce(l.unit_name, '') AS unit_name, coalesce(l.network, '') AS network FROM raw r LEFT JOIN (SELECT * FROM latest WHERE network <> 'ASIA') l USING (unit)")
+def rehydrated(spark, sf_dir):
+    raw = assessment(spark, sf_dir)
+    known = oa.latest_identity(raw).where("network <> 'ASIA'")
+    return rounded(oa.rehydrate(raw.select("unit", "period", "year", "score"), known).select("unit", "period", "year", "score", "unit_name", "network"))
+
+
+@query("SELECT o_orderkey, CASE WHEN len(string_split(o_orderpriority, '-')) < 2 THEN ['constant'] ELSE [] END AS errors FROM (SELECT * FROM orders WHERE o_orderpriority NOT IN ('2-HIGH') OR o_orderstatus <> 'F')")
+def constant_rules(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority <> '2-HIGH' or o_orderstatus <> 'F'")
+    return ov.checked(orders, [ov.Rule("constant", F.size(F.split("o_orderpriority", "-")) < 2)]).select("o_orderkey", "errors")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber < 2 OR l_linenumber > 5 OR l_quantity > 40")
+def array_range_rule(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("numbers", F.array(F.col("l_linenumber").cast("int"), F.when(F.col("l_quantity") <= 40, F.lit(3))))
+    return ov.rejected(ov.checked(rows, [ov.ints_between("numbers", 2, 5)])).select("l_orderkey", "l_linenumber")
+
+
+@query("WITH m AS (SELECT l_orderkey, list(DISTINCT l_linenumber ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_transform(n, lambda x: right('0' || x, 2)), ', ') AS numbers FROM m")
+def padded_lists(spark, sf_dir):
+    numbers = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
+    return numbers.select("l_orderkey", ov.padded_list(F.col("n")).alias("numbers"))

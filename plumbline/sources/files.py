@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.text import clean_text, or_default, parse_number
+from plumbline.functions.text import clean_text, file_label, or_default, parse_number
+from plumbline.operators.assessment import alias_lists, latest_identity
 
 #: Columns of the extract that are kept, and their names here (fixed values; the header is matched trimmed, in lower case).
 EXTRACT = {"nomedepbol": "network", "codrmet": "region", "codesc": "unit", "nomesc": "unit_name", "serie_ano": "grade", "periodo": "period", "ds_comp": "subject", "medprof": "score"}
@@ -32,7 +33,7 @@ def read_extract(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     """Raw assessment rows of yearly extracts {year: path}, as `operators.assessment` takes them.
 
     Semicolon-separated, quoted, header-driven; unknown columns are not read. Rows without unit, name or score go. ord
-    follows the years in the order given, then the place in the file.
+    follows the years in the order given, then the place in the file. A path is one file.
     """
     out = None
     for i, (year, path) in enumerate(paths.items()):
@@ -77,14 +78,27 @@ def source_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_variants(executive: DataFrame, path: str) -> None:
-    """The executive table, one folder per period variant."""
-    executive.write.mode("overwrite").partitionBy("variant").parquet(path)
+    """The executive table, one folder per period variant, named without accents in lower case."""
+    executive.withColumn("variant", file_label(F.col("variant"))).write.mode("overwrite").partitionBy("variant").parquet(path)
 
 
-def write_details(raw: DataFrame, path: str, files: int = 64) -> None:
-    """Detail rows clustered by unit in a fixed number of sorted files: a reader of few units skips by statistics."""
+def write_identities(raw: DataFrame, path: str) -> None:
+    """The dimension of units: latest identity of each."""
+    latest_identity(raw).write.mode("overwrite").parquet(path)
+
+
+def write_aliases(raw: DataFrame, path: str) -> None:
+    """Units with former names, and these in order of first appearance."""
+    alias_lists(raw).write.mode("overwrite").parquet(path)
+
+
+def write_details(raw: DataFrame, path: str) -> None:
+    """Detail rows clustered by unit in sorted files: a reader of few units skips by statistics.
+
+    Adaptive execution sets the number of files by their size, and splits a unit that is too large for one.
+    """
     kept = raw.select("unit", "year", "grade", "period", "subject", "score")
-    kept.repartition(files, "unit").sortWithinPartitions("unit", "year").write.mode("overwrite").parquet(path)
+    kept.hint("rebalance", F.col("unit")).sortWithinPartitions("unit", "year").write.mode("overwrite").parquet(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -92,8 +106,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv_export(lines: DataFrame, header: list[str], path: str) -> None:
-    """A download: byte order mark and header first, then the lines in order, as text in one file (an export is page-sized)."""
+    """A download: byte order mark and header first, then the lines in order, as text in part files whose names are in order."""
     spark = lines.sparkSession
-    head = spark.range(1).select(F.lit(0).alias("part"), F.lit("").alias("k"), F.lit("﻿" + ";".join(header)).alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit("").alias("k"), F.lit("\ufeff" + ";".join(header)).alias("value"))
     body = lines.select(F.lit(1).alias("part"), F.concat_ws("\n", "unit", "grade", "subject", "period").alias("k"), F.col("line").alias("value"))
-    head.union(body).orderBy("part", "k").select("value").coalesce(1).write.mode("overwrite").text(path)
+    head.union(body).orderBy("part", "k").select("value").write.mode("overwrite").text(path)
