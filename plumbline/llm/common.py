@@ -39,6 +39,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to a Python worker, where the application sets no number: texts are long, and the worker as
+#: well as its executor (outside the heap) hold whole batches.
+ARROW_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(key) and int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

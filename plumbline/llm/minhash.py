@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_NAMES, connected_components, join_groups, materialise, table
+from .common import BROADCAST_NAMES, bound_batches, connected_components, join_groups, materialise, table
 
 #: Registers of a sketch; a register holds 6 bits of leading zeros and 10 bits of mantissa.
 REGISTERS, BAND_ROWS, MANTISSA_BITS = 128, 4, 10
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     Nulls: a null text has no words, an empty group of its own; a null id is treated alike and is never a component id
     unless the group has no other. Repeated rows fall in one group. An empty table gives no rows. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = materialise(sketch_documents(docs, id_col, text_col).withColumn("u", F.monotonically_increasing_id()), "sketches")
     worded = rows.where("n_shingles > 0")
     classes = worded.groupBy("s1", "s2", "n_shingles").agg(F.min("u").alias("c"), F.min("id").alias("least_id"), F.count("*").alias("m"))

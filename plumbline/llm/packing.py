@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bound_batches, materialise, table
 
 _LOG = logging.getLogger(__name__)
 
@@ -267,6 +267,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
     Nulls: a null text is empty and becomes the one token 0; a null id is kept. Repeated rows are packed as rows of their
     own. An empty table gives no rows. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     pieces = materialise(tokenise_pieces(docs, tokenizer_path, capacity, id_col, text_col, with_ids), "pieces")
     counts = materialise(pieces.groupBy("_part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows

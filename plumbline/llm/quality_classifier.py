@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialise, table
+from .common import bound_batches, hashed_sample, materialise, table
 from .minhash import word_hashes, word_starts
 
 #: The model is fitted on at most this many labelled ids, those of the smallest hashes.
@@ -216,6 +216,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     score lies between 0 and 1, higher for label 1; it depends on the text alone. predicted is 1 from `cut` on. Null and
     empty texts are scored as texts without words. Repeated rows get equal scores. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, label_col, rows)
     out = docs.select(F.struct("*").alias("row"), score_column(model, F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))

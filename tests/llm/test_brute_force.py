@@ -46,6 +46,51 @@ def test_packing(spark, sf_dir, docs):
     assert len(seqs) <= 1.01 * -(-sum(map(len, ids.values())) // 2048) + 1
 
 
+def test_added_tokens_and_other_tokenizers(tmp_path):
+    import public_tokenizers
+    from plumbline.llm.packing import _WordTokenizer
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        mine, whole = _WordTokenizer(path), Tokenizer.from_file(path)
+        assert mine.by_word == (name == "word_bpe_49k.json")
+        for text in ("a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|>", "Don't  STOP\n\nÉté 42!", ""):
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def best_fit(sizes, capacity):
+    """Decreasing best fit, piece by piece, by the room left."""
+    rooms, n = collections.Counter(), 0
+    for size in sorted(sizes, reverse=True):
+        room = next((r for r in range(size, capacity) if rooms[r]), None)
+        if room is None:
+            n, room = n + 1, capacity
+        else:
+            rooms[room] -= 1
+        rooms[room - size] += 1
+    return n
+
+
+@pytest.mark.parametrize("times", [1, 25, 1000])
+def test_plan_is_as_good_as_best_fit_at_any_size(times):
+    import time
+
+    from plumbline.llm.packing import dual_bound, solve_configurations
+
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate([rng.lognormal(5.3, 1.0, 3000), rng.integers(1, 2049, 200), np.full(300, 2048)]).astype(int).clip(1, 2048).tolist()
+    h = {k: n * times for k, n in collections.Counter(sizes).items()}
+    began = time.perf_counter()
+    plan = solve_configurations(h, 2048)
+    assert time.perf_counter() - began < 60
+    n = sum(t for _, t in plan)
+    need = np.bincount(sizes, minlength=2049) * times
+    assert n <= np.ceil(1.01 * dual_bound(need, 2048))
+    if times == 1:
+        assert n <= 1.005 * best_fit(sizes, 2048) + 1
+
+
 def test_plan_covers_every_histogram():
     from plumbline.llm.packing import solve_configurations
 
@@ -138,6 +183,70 @@ def test_ownership_tells_examples_from_owned(spark):
     assert got[0] == [("assign", "example", 6)] and got[5] == [("assign", "owned", 1)] and got[6] == [("reused", "owned", 1)] and got[7] == []
 
 
+def test_ownership_counts(spark, sf_dir):
+    """Owners, repositories and verdicts of every base match, by plain counting over the whole small table."""
+    from plumbline.llm.secrets import ACCESS, ASSIGN, HEX, OWNERS, TOKEN, scan_secrets
+    from pyspark.sql import functions as F
+
+    docs = duckdb.sql(f"SELECT doc_id, text, source, lang FROM '{sf_dir}/documents.parquet'").fetchall()
+    plain = lambda p: p.replace("}+", "}").replace("++", "+")
+    owners, repos, hits = collections.defaultdict(set), collections.defaultdict(set), {}
+    for i, text, source, lang in docs:
+        base = [(m.start(), m.end(), m[2]) for m in re.finditer(ASSIGN, text) if len(m[2]) >= 6]
+        base += [(m.start(), m.end(), m[0]) for p in (ACCESS, HEX) for m in re.finditer(plain(p), text)]
+        loose = [(m.start(), m.end(), m[0]) for m in re.finditer(plain(TOKEN), text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        loose = [t for t in loose if not any(b[0] < t[1] and t[0] < b[1] for b in base)]
+        hits[i] = base
+        for _, _, value in base + loose:
+            owners[value].add(source)
+            repos[value].add((source, lang))
+    want = sorted((i, a, b, len(owners[v]), len(repos[v]), "example" if len(owners[v]) > OWNERS else "owned") for i, base in hits.items() for a, b, v in base)
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.explode("found").alias("s")).where("s.kind in ('assign', 'access', 'hex')")
+    got = sorted((r["doc_id"], *r["s"][0:3:2], r["s"]["n_owners"], r["s"]["n_repos"], r["s"]["verdict"]) for r in found.collect())
+    assert got == want and want
+
+
+def test_terms_by_their_definition(spark):
+    """Spans of kind "term" against PMI, information content and contexts counted in plain Python."""
+    from plumbline.llm.pii import CONTEXT, CONTEXTS, DISCLOSURE, MIN_LETTERS, find_personal_data
+
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    values = [f"user{k}@mail.example.com" for k in range(4)]
+    texts = []
+    for i in range(160):
+        words = list(rng.choice(vocabulary, 12))
+        if i % 3 == 0:
+            k = int(rng.integers(4))
+            words.insert(int(rng.integers(12)), values[k])
+            words += [f"Secret{'abcd'[k]}name"] * int(rng.random() < 0.9)
+        texts.append(" ".join(words))
+    texts += texts[:6]
+    held = collections.defaultdict(set)
+    n_e, n_t, n_te = collections.Counter(), collections.Counter(), collections.Counter()
+    seen = collections.defaultdict(set)
+    terms_of = lambda t: {w.lower() for w in re.findall(r"[a-zA-Z]+", re.sub(r"[a-z0-9]+@[a-z.]+", "\x01", t)) if len(w) >= MIN_LETTERS}
+    for text in texts:
+        for w in {w.lower() for w in re.findall(r"[a-zA-Z]+", text)}:
+            n_t[w] += 1
+        for m in re.finditer(r"user[0-9]@mail\.example\.com", text):
+            context = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
+            n_e[m[0]] += 1
+            held[text].add(m[0])
+            for w in terms_of(text):
+                n_te[m[0], w] += 1
+                seen[m[0], w].add(context)
+    n = len(texts)
+    tells = {(e, w) for (e, w), k in n_te.items() if len(seen[e, w]) >= CONTEXTS and np.log(n / n_e[e]) > 0 and np.log(n * k / (n_t[w] * n_e[e])) >= DISCLOSURE * np.log(n / n_e[e])}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["row"]["doc_id"]: {(s["start"], s["end"]) for s in r["found"] if s["kind"] == "term"} for r in find_personal_data(df).collect()}
+    for i, text in enumerate(texts):
+        gone = {w for e in held[text] for w in terms_of(text) if (e, w) in tells}
+        blank = re.sub(r"user[0-9]@mail\.example\.com", lambda m: "\x01" * len(m[0]), text)
+        assert got[i] == {m.span() for m in re.finditer(r"[a-zA-Z]+", blank) if m[0].lower() in gone}
+    assert any(got.values())
+
+
 def test_revealing_terms_go(spark):
     from plumbline.llm.pii import find_personal_data, sanitised
     from pyspark.sql import functions as F
@@ -189,6 +298,23 @@ def test_hot_copies_are_cut(spark):
     assert len(got) == 8 and all(abs(r["count"] - 375) < 80 for r in got)
 
 
+def test_refinement_is_bounded_by_the_ranges(spark, monkeypatch):
+    """With as many ranges as first bins no bin is counted anew for nothing; a carried column may have a helper's name."""
+    from plumbline.llm import sharding
+
+    counted = []
+    count = sharding._count
+    monkeypatch.setattr(sharding, "_count", lambda *a: counted.append(got := count(*a)) or got)
+    monkeypatch.setattr(sharding, "n_partitions", lambda _: 4096)
+    df = spark.range(60000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id AS _key", "id AS _rank")
+    got = sharding.shard_documents(df, 8, carry=["_key", "_rank"])
+    assert sum(map(len, counted)) < 300_000
+    assert got.where("_key <> doc_id or _rank <> doc_id").isEmpty()
+    sizes = got.groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    assert len(sizes) == 8 and all(r["max(slot)"] == r["count(1)"] - 1 for r in sizes)
+    assert max(r["sum(size)"] for r in sizes) - min(r["sum(size)"] for r in sizes) < 0.01 * sum(r["sum(size)"] for r in sizes)
+
+
 def components(n, links):
     root = list(range(n))
 
@@ -239,6 +365,34 @@ def test_loose_families(spark):
     assert sorted(r["doc_id"] for r in one_of_each_group(df).collect()) != [] and one_of_each_group(df).count() == len(set(root))
 
 
+def test_one_outlier_in_a_large_component(spark, monkeypatch):
+    """Small blocks, so that a bucket's largest component is cut; links and groups are those of brute force."""
+    from plumbline.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "PARTNERS", 3)
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if rng.random() > rate else f"x{rng.integers(10**9)}" for w in base) for rate in (0.01, 0.04, 0.08) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, root = minhash_expected(texts)
+    got = rows(minhash.near_duplicates(df))
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
+
+
+def test_names_meet_hot_groups(spark, monkeypatch):
+    from plumbline.llm import common
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(common, "BROADCAST_NAMES", 1)
+    monkeypatch.setattr(common, "HOT", 50)
+    df = spark.range(300).selectExpr("id", "if(id < 200, 0, id % 7) AS g")
+    names = df.groupBy(F.col("g").alias("k")).agg(F.min("id").alias("least"), F.count("*").alias("m")).where("k <> 3")
+    for how, n in (("left", 300), ("inner", 300 - df.where("g = 3").count())):
+        out = common.join_groups(df, common.materialise(names, "names"), F.col("g") == F.col("k"), how=how)
+        assert out.count() == n and out.where("g <> 3 and least is null").isEmpty()
+
+
 def test_registers_estimate():
     from plumbline.llm.minhash import REGISTERS, _estimates, registers
 
@@ -269,6 +423,24 @@ def test_vectors(spark, tmp_path):
     assert sum(got[k]["component_id"] == root[k] for k in range(700)) >= 0.95 * 700
 
 
+def test_vectors_of_the_table(spark, sf_dir):
+    """The query's links and groups against all pairs of `embeddings`; every link must be found here."""
+    from plumbline.llm.embeddings import op5_inverted_multi_index
+
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    data = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, v, label = [r[0] for r in data], np.array([r[1] for r in data], np.float64), np.array([-1 if r[2] is None else r[2] for r in data])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = (unit @ unit.T >= 0.93) & np.equal.outer(label, label) & (label >= 0)[:, None]
+    np.fill_diagonal(hit, False)
+    got = rows(op5_inverted_multi_index(spark, sf))
+    found = sum(r["n_links"] for r in got.values())
+    assert all(got[i]["n_links"] <= hit[k].sum() for k, i in enumerate(ids))
+    assert found >= 0.99 * hit.sum() > 0
+    root = components(len(ids), zip(*np.nonzero(hit), strict=True))
+    assert sum(got[i]["component_id"] == ids[root[k]] for k, i in enumerate(ids)) >= 0.99 * len(ids)
+
+
 def test_partners_outside_the_sample_set_the_cells(spark, monkeypatch):
     from plumbline.llm import embeddings
 
@@ -315,6 +487,32 @@ def test_bpe(spark, sf_dir, docs):
         assert r["ids"] == enc.encode_ordinary(odd[i]) and bytes(r["decoded"]) == odd[i].encode()
 
 
+def test_long_pieces_are_exact_and_fast():
+    import string
+    import time
+
+    import public_tokenizers
+    import tiktoken
+    from plumbline.llm.bpe import SPACED_PATTERN, _Encoder
+
+    assert SPACED_PATTERN == public_tokenizers.PATTERN
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mine, rng = _Encoder(path, public_tokenizers.PATTERN), np.random.default_rng(11)
+    made = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = [made(a, int(n)) for a in ("ab", "ACGT", "etaoinshrdlu", string.ascii_letters, "=-_*#", "日本a", "ÃÂƒ") for n in rng.integers(65, 400, 6)] + ["a" * 777, " " * 300 + "x", made("ACGT", 5000)]
+    for text, (ids, data) in zip(texts, mine(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text) and data == text.encode()
+    began, text = time.perf_counter(), made(string.ascii_letters, 100_000)
+    (ids, _), = mine([text])
+    assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text) and time.perf_counter() - began < 60
+    other = _Encoder(path, r"[a-z ]+|[^a-z ]+")  # a pattern that crosses spaces
+    plain = tiktoken.Encoding("other", pat_str=r"[a-z ]+|[^a-z ]+", mergeable_ranks=ranks, special_tokens={})
+    for text, (ids, _) in zip(["of the of the", "a b C d"], other(["of the of the", "a b C d"]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode_ordinary(text)
+
+
 def test_quality_rules(spark, sf_dir, docs):
     from plumbline.llm.quality_rules import op9_quality_rules
 
@@ -348,6 +546,14 @@ def test_ratio_matches_its_definition(spark):
         assert abs(got[i] - want) < 1e-9
 
 
+def test_no_target_leaves_the_base_rules(spark):
+    from plumbline.llm.quality_rules import quality_rules
+
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40))), (2, "short text"), (3, "one two three four five six seven eight nine ten " * 4)], "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in quality_rules(df, df.select("doc_id").limit(0)).select("row.doc_id", "llr", "kept").collect()}
+    assert got == {1: (0.0, True), 2: (0.0, False), 3: (0.0, False)}
+
+
 def test_classifier_holds_out(spark, sf_dir):
     from plumbline.llm.quality_classifier import op10_pairwise_additive
 
@@ -359,6 +565,44 @@ def test_classifier_holds_out(spark, sf_dir):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+def test_features_and_scores(spark, docs):
+    import pyarrow as pa
+    from plumbline.llm.quality_classifier import FEATURES, fit, score_column, text_features
+    from pyspark.sql import functions as F
+
+    texts = ["", None, "one", "Two two TWO three", "a | b # c\n9 8!", "x" * 500 + " y", *list(docs.values())[:60]]
+    x = text_features(pa.array(texts, pa.string()))
+    at = {name: k for k, name in enumerate(FEATURES)}
+    for row, text in zip(x, texts, strict=True):
+        data = (text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]+", lambda m: m[0].lower(), data))
+        n, letters = max(1, len(data)), max(1, sum(c >= 0x80 or chr(c).isalpha() for c in data))
+        want = {"upper_share": sum(65 <= c <= 90 for c in data) / letters, "digit_share": sum(48 <= c <= 57 for c in data) / n, "bar_share": data.count(b"|") / n, "newline_share": data.count(b"\n") / n, "high_byte_share": sum(c >= 0x80 for c in data) / n}
+        if w:
+            times = collections.Counter(w)
+            three = list(zip(w, w[1:], w[2:], strict=False))
+            want |= {"log_words": np.log(len(w)), "mean_word_bytes": len(data) / len(w), "distinct_share": len(times) / len(w) ** 0.9, "top_word_share": max(times.values()) / len(w), "longest_word": np.log(max(map(len, w)))}
+            want |= {"neighbour_repeats": np.mean([a == b for a, b in zip(w, w[1:], strict=False)]) if len(w) > 1 else 0, "trigram_repeats": 1 - len(set(three)) / len(three) if three else 0}
+        for name, value in want.items():
+            assert abs(row[at[name]] - value) < 1e-9, (name, text)
+    y = (np.arange(len(texts)) % 2).astype(float)
+    model = fit(x, y)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for i, got in df.select("i", score_column(model, F.col("t")).alias("s")).collect():
+        total = model.base + sum(t[int(np.sum(e <= x[i, k]))] for k, (e, t) in enumerate(zip(model.edges, model.tables, strict=True)))
+        total += sum(t[int(np.sum(model.coarse[a] <= x[i, a])), int(np.sum(model.coarse[b] <= x[i, b]))] for a, b, t in model.pairs)
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_samples_are_cut_before_they_are_sorted(spark):
+    from plumbline.llm.common import hashed_sample
+    from pyspark.sql import functions as F
+
+    n = hashed_sample(spark.range(100_000), F.col("id"), 100_000, 2_000, "sample").count()
+    assert 2_000 <= n <= 3_000
+    assert hashed_sample(spark.range(500), F.col("id"), 500, 2_000, "sample").count() == 500
+
+
 def test_additive_model_learns_an_interaction():
     from plumbline.llm.quality_classifier import fit
 
