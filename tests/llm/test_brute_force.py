@@ -188,6 +188,7 @@ def test_ownership_counts(spark, sf_dir):
     from plumbline.llm.secrets import ACCESS, ASSIGN, HEX, OWNERS, TOKEN, scan_secrets
     from pyspark.sql import functions as F
 
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     docs = duckdb.sql(f"SELECT doc_id, text, source, lang FROM '{sf_dir}/documents.parquet'").fetchall()
     plain = lambda p: p.replace("}+", "}").replace("++", "+")
     owners, repos, hits = collections.defaultdict(set), collections.defaultdict(set), {}
@@ -424,21 +425,27 @@ def test_vectors(spark, tmp_path):
 
 
 def test_vectors_of_the_table(spark, sf_dir):
-    """The query's links and groups against all pairs of `embeddings`; every link must be found here."""
-    from plumbline.llm.embeddings import op5_inverted_multi_index
+    """`embeddings` against all pairs: the query on the table as it is, and the operator on it beside near and equal copies."""
+    from plumbline.llm.embeddings import near_vectors, op5_inverted_multi_index
 
     sf = sf_dir.replace("sf0.001", "sf0.01")
     data = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()
-    ids, v, label = [r[0] for r in data], np.array([r[1] for r in data], np.float64), np.array([-1 if r[2] is None else r[2] for r in data])
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    hit = (unit @ unit.T >= 0.93) & np.equal.outer(label, label) & (label >= 0)[:, None]
-    np.fill_diagonal(hit, False)
-    got = rows(op5_inverted_multi_index(spark, sf))
-    found = sum(r["n_links"] for r in got.values())
-    assert all(got[i]["n_links"] <= hit[k].sum() for k, i in enumerate(ids))
-    assert found >= 0.99 * hit.sum() > 0
-    root = components(len(ids), zip(*np.nonzero(hit), strict=True))
-    assert sum(got[i]["component_id"] == ids[root[k]] for k, i in enumerate(ids)) >= 0.99 * len(ids)
+    rng = np.random.default_rng(14)
+    dim = len(data[0][1])
+    copies = [(1_000_000 + k, (np.array(v) + rng.normal(size=dim) * np.linalg.norm(v) * rng.choice([0, 0.2, 0.38]) / np.sqrt(dim)).tolist(), label) for k, (_, v, label) in enumerate(data[:300])]
+    more = spark.createDataFrame(copies, "vec_id long, embedding array<double>, label int").repartition(3)
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding", "cast(label AS int) AS label")
+    for vectors, out in ((data, op5_inverted_multi_index(spark, sf)), (data + copies, near_vectors(table.union(more)))):
+        ids, v, label = [r[0] for r in vectors], np.array([r[1] for r in vectors], np.float64), np.array([-1 if r[2] is None else r[2] for r in vectors])
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        hit = (unit @ unit.T >= 0.93) & np.equal.outer(label, label) & (label >= 0)[:, None]
+        np.fill_diagonal(hit, False)
+        got = rows(out)
+        assert all(got[i]["n_links"] <= hit[k].sum() for k, i in enumerate(ids))
+        assert sum(r["n_links"] for r in got.values()) >= 0.99 * hit.sum()
+        root = components(len(ids), zip(*np.nonzero(hit), strict=True))
+        assert sum(got[i]["component_id"] == ids[root[k]] for k, i in enumerate(ids)) >= 0.99 * len(ids)
+    assert hit.sum() > 200
 
 
 def test_partners_outside_the_sample_set_the_cells(spark, monkeypatch):
