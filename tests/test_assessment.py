@@ -112,3 +112,25 @@ def test_headline_is_not_the_mean_of_differences(spark):
     ex = oa.executive(raw(spark, {"score": 100.0}, {"year": 2025, "score": 110.0}, {"unit": "2", "score": 300.0}))
     assert oa.group_average(ex, "subject").first()["diff"] == 10
     assert oa.subject_headline(ex).first()["diff"] == -90
+
+
+def test_variants_are_those_of_each_period(spark):
+    rows = raw(spark, {"period": "MANHÃ", "score": 180.0, "unit_name": "OLD"}, {"period": "TARDE", "score": 220.0}, {"period": "TARDE", "score": 230.0, "year": 2025, "unit_name": "NEW"}, {"score": 205.0})
+    got = {r["variant"]: (r["prof2024"], r["prof2025"], r["unit_name"]) for r in oa.executive_variants(rows, ["MANHÃ", "TARDE"]).collect()}
+    assert got == {"all": (205.0, 230.0, "NEW"), "MANHÃ": (180.0, None, "OLD"), "TARDE": (220.0, 230.0, "NEW")}
+
+
+def test_flagship_scans_the_facts_twice(spark, sf_dir):
+    from plumbline.plans.queries import QUERIES
+
+    plan = QUERIES["flagship_position"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("lineitem.parquet") <= 2
+
+
+def test_series_and_cap_flags(spark):
+    rows = spark.createDataFrame([("b", 1.0, None, None), ("a", 2.0, 3.0, 1.0), ("", None, None, None)], "grade string, prof2024 double, prof2025 double, diff double")
+    assert [(r["name"], r["place"]) for r in oa.series(rows, "grade").orderBy("place").collect()] == [("a", 1), ("b", 2)]
+    index = spark.createDataFrame([(str(k), f"SCHOOL {k}", f"school {k}") for k in range(40)], "unit string, unit_name string, search_key string")
+    flags = lambda q: tuple(oa.match_state(index, q).first())
+    assert flags("school 39") == (1, True, False, False, True) and flags("school 3") == (11, False, True, False, True)
+    assert flags("school") == (40, False, False, True, False) and flags("") == (0, False, False, False, False)

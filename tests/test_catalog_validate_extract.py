@@ -107,3 +107,37 @@ def test_matches_digits_corrections(spark):
     assert spark.range(1).select(ox.digit_list(F.lit("3, 1 e 3")).alias("d")).first()["d"] == [1, 3]
     rules = spark.createDataFrame([("a", 1, "x", "y"), ("a", 2, "y", "z")], "k string, seq int, old string, new string")
     assert {r["t"] for r in ox.corrected(spark.createDataFrame([("a", "x"), ("b", "x")], "k string, t string"), rules, "k", "t").collect()} == {"z", "x"}
+
+
+def test_grades_of_codes(spark):
+    from plumbline.operators.catalog import GRADE_KEYS, grade_label, grade_years, with_grades
+
+    assert [grade_label(k) for k in ("01", "12", "35", "15", "67", "89", "69")] == ["1º ano", "1º e 2º ano", "3º ao 5º ano", "1º ao 5º ano", "6º e 7º ano", "8º e 9º ano", "6º ao 9º ano"]
+    assert grade_years("35") == ["3º ano", "4º ano", "5º ano"] and len(GRADE_KEYS) == 15
+    got = with_grades(spark.createDataFrame([("EF69LP01",), ("EFxxLP01",), (None,)], "code string")).select("code", "grade_label").collect()
+    assert {r[0]: r[1] for r in got} == {"EF69LP01": "6º ao 9º ano", "EFxxLP01": None, None: None}
+
+
+def test_edges_summary_and_checks(spark):
+    from plumbline.operators import extract as ox
+    from plumbline.operators import validate as ov
+
+    edges = spark.createDataFrame([(1, 10.0), (1, 20.0), (2, 5.0)], "page int, y double")
+    closing = spark.createDataFrame([(1, 15.0), (2, 9.0), (3, 9.0)], "page int, y double")
+    assert sorted(map(tuple, ox.with_edges(edges, ["page"], "y", 0.0, closing).collect())) == [(1, 0.0), (1, 10.0), (1, 20.0), (2, 0.0), (2, 5.0), (2, 9.0)]
+    rows = spark.createDataFrame([("a", None), ("a", "x"), (None, "x")], "f string, g string")
+    assert sorted(map(str, (tuple(r) for r in ov.summary(rows, ["f", "g"]).collect()))) == ["('f', 'a', 2)", "('g', 'x', 2)", "('total', None, 3)"]
+    reports = spark.createDataFrame([("valido",), (None,)], "status string")
+    assert ov.overall_status(reports).first()["status"] == ov.REVIEW and ov.overall_status(reports.limit(0)).first()["status"] == ov.VALID
+    assert tuple(ov.distinct_check(rows, "g").first()) == (3, 2, False)
+    numbers = spark.createDataFrame([(1,), (3,)], "n int")
+    assert [r[0] for r in ov.fixed_range_gaps(numbers, "n", 4).orderBy("missing").collect()] == [2, 4]
+    assert ov.fixed_range_gaps(numbers.limit(0), "n", 3).count() == 3
+
+
+def test_forward_fill_skips_empty_text(spark):
+    from plumbline.operators.extract import forward_fill
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, ""), (1, 3, None), (2, 1, "")], "s int, n int, v string")
+    assert [r["f"] for r in forward_fill(rows, ["s"], ["n"], F.col("v"), "f").orderBy("s", "n").collect()] == ["a", "a", "a", None]

@@ -36,11 +36,16 @@ def test_sinks(spark, tmp_path, sf_dir):
 
     raw = assessment(spark, sf_dir)
     files.write_variants(oa.executive_variants(raw, ["MANHA", "NOITE"]), f"{tmp_path}/v")
-    assert {r["variant"] for r in spark.read.parquet(f"{tmp_path}/v").select("variant").distinct().collect()} == {"all", "MANHA", "NOITE"}
-    files.write_details(raw, f"{tmp_path}/d", 2)
+    assert {r["variant"] for r in spark.read.parquet(f"{tmp_path}/v").select("variant").distinct().collect()} == {"all", "manha", "noite"}
+    files.write_details(raw, f"{tmp_path}/d")
     assert spark.read.parquet(f"{tmp_path}/d").count() == raw.count()
     files.write_csv_export(orp.csv_lines(oa.detail_comparison(raw)), orp.CSV_HEADERS, f"{tmp_path}/c")
-    first = next((tmp_path / "c").glob("part-*")).read_text(encoding="utf-8").split("\n")[0]
+    text = "".join(f.read_text(encoding="utf-8") for f in sorted((tmp_path / "c").glob("part-*")))
+    first = text.split("\n")[0]
+    assert text.count("\n") == oa.detail_comparison(raw).count() + 1
+    files.write_identities(raw, f"{tmp_path}/i")
+    files.write_aliases(raw, f"{tmp_path}/a")
+    assert spark.read.parquet(f"{tmp_path}/i").count() == raw.select("unit").distinct().count() and spark.read.parquet(f"{tmp_path}/a").columns == ["unit", "aliases"]
     assert first.startswith("﻿Escola;") and first.count(";") == 11
 
 
