@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op7_duckdb_bpe
+from .conversations import OP11_SQL, op11_prefix_trie
 from .embeddings import op5_inverted_multi_index
+from .manifest import OP12_SQL, op12_merkle_manifest
 from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
 from .pii import op2_information_theoretic
@@ -24,7 +26,9 @@ QUERIES = {
     "op3_secret_ownership": op3_secret_ownership,
     "op4_histogram_sort": op4_histogram_sort,
     "op10_pairwise_additive": op10_pairwise_additive,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: DuckDB statements for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_temporal_lists": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_temporal_lists": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
