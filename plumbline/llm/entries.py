@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_duckdb_bpe
 from .conversations import OP11_SQL, op11_prefix_trie
 from .embeddings import op5_inverted_multi_index
+from .lm import op13_gated_recurrent
 from .manifest import OP12_SQL, op12_merkle_manifest
 from .minhash import op8_hyperminhash
 from .packing import op1_configuration_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_pairwise_additive": op10_pairwise_additive,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_gated_recurrent": op13_gated_recurrent,
 }
 
 #: DuckDB statements for the queries that SQL can express.
