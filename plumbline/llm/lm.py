@@ -15,17 +15,19 @@ from .common import bound_batches, hashed_sample, materialise, table
 from .minhash import word_hashes, word_starts
 
 #: Units of the model: the most frequent words (and the end of a text) by themselves, all others by a hash of their ending.
-HEAD, ENDINGS = 1024, 1024
+HEAD, ENDINGS = 512, 512
 #: Classes of the output and units of a class; units are dealt to classes by frequency.
-CLASSES, MEMBERS = 64, 32
+CLASSES, MEMBERS = 32, 32
 UNITS = HEAD + ENDINGS
-STATE = 24
-#: Steps between gradients' cuts, and texts read side by side, in training and in scoring.
-WINDOW, LANES, SCORE_LANES = 16, 128, 512
+STATE = 16
+#: Steps between gradients' cuts; streams of texts read side by side, in training (fewer for few tokens) and in scoring.
+WINDOW, LANES, SCORE_LANES = 16, 256, 512
+#: Tokens of a stream that are worth another one.
+STREAM = 2048
 #: Tokens that a task gathers before it trains or scores them.
 GATHERED = 1_500_000
-#: The starting weights are fitted on about so many texts, and read no more than so many tokens of them at a time, in passes.
-WARM_TEXTS, WARM_TOKENS, WARM_PASSES = 1500, 800_000, 2
+#: The starting weights are fitted on about so many texts, and read no more than so many tokens of them, in so many passes and streams.
+WARM_TEXTS, WARM_TOKENS, WARM_PASSES, WARM_LANES = 1500, 800_000, 3, 48
 #: Counts of at most so many words, the most frequent ones, are sent to the tasks; texts meet the others by a shuffle.
 KNOWN = 500_000
 SMOOTH = 0.1
@@ -75,24 +77,38 @@ class Vocabulary:
     total: float
     end_count: int
 
-    def read(self, text: pa.Array) -> tuple[np.ndarray, ...]:
-        """(units, counts, hashes, endings, first) of all tokens, ends included; counts are -1 where not known, ends have ending -1."""
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words stand among the known, and which do: from a table by their low bits, which frequent words hold, else by search."""
+        if not hasattr(self, "slots"):
+            by_count = np.argsort(self.counts, kind="stable")
+            self.slots = np.zeros(1 << 20, np.int32)
+            self.slots[(self.known[by_count] & np.uint64((1 << 20) - 1)).astype(np.int64)] = by_count
+            self.slot_words = self.known[self.slots]
+        slot = (words & np.uint64((1 << 20) - 1)).astype(np.int64)
+        at = self.slots[slot]
+        rest = np.flatnonzero(self.slot_words[slot] != words)
+        at[rest] = np.minimum(np.searchsorted(self.known, words[rest]), len(self.known) - 1)
+        hit = np.ones(len(words), bool)
+        hit[rest] = self.known[at[rest]] == words[rest]
+        return at, hit
+
+    def read(self, text: pa.Array, whole: bool = True) -> tuple[np.ndarray, ...]:
+        """(first, units, counts, hashes, endings) of all tokens, ends included, or the first two of these.
+
+        Counts are -1 where not known; endings are -1 for ends and for words that are units.
+        """
         words, endings, first = tokens(text)
         c, unit = np.full(len(words), -1, np.int64), self.ending_unit[endings]
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
-            hit = self.known[at] == words
-            c[hit] = self.counts[at[hit]]
+            at, hit = self.places(words)
             own = hit & (self.unit[at] >= 0)
             unit[own] = self.unit[at[own]]
-            endings = np.where(own, -1, endings)
-        ends = first[1:]
-        return np.insert(unit, ends, self.end_unit), np.insert(c, ends, self.end_count), np.insert(words, ends, 0), np.insert(endings, ends, -1), first + np.arange(len(first))
-
-
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+            if whole:
+                c[hit] = self.counts[at[hit]]
+                endings[own] = -1
+        ends, all_first = first[1:], first + np.arange(len(first))
+        units = np.insert(unit, ends, self.end_unit)
+        return (all_first, units, np.insert(c, ends, self.end_count), np.insert(words, ends, 0), np.insert(endings, ends, -1)) if whole else (all_first, units)
 
 
 class Network:
@@ -113,50 +129,65 @@ class Network:
 
     def _run(self, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray | None, kept: list | None = None) -> np.ndarray:
         """States after each step of a window: inputs (steps, lanes); keep is 0 where a new text begins."""
-        x, u, n = self.p["x"][inputs], self.p["u"], 2 * STATE
-        x[:, :, :n] *= 0.5
-        half = u * np.repeat(np.float32([0.5, 0.5, 1]), STATE)
-        out = np.empty((*inputs.shape, STATE), np.float32)
-        for t in range(len(inputs)):
-            if keep is not None:
+        x, u, n = self.p["x"].take(inputs, axis=0), self.p["u"], 2 * STATE
+        out = np.empty((*inputs.shape, STATE), x.dtype)
+        with np.errstate(over="ignore"):
+            for t in range(len(inputs)):
                 h = h * keep[t][:, None]
-            a = h @ half
-            gates = np.tanh(x[t, :, :n] + a[:, :n])
-            gates += 1
-            gates *= 0.5
-            new = np.tanh(x[t, :, n:] + gates[:, STATE:] * a[:, n:])
-            if kept is not None:
-                kept.append((h, gates, new, a[:, n:]))
-            h = new + gates[:, :STATE] * (h - new)
-            out[t] = h
+                a = h @ u
+                gates = x[t, :, :n] + a[:, :n]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.divide(1, gates, out=gates)
+                new = np.tanh(x[t, :, n:] + gates[:, STATE:] * a[:, n:])
+                if kept is not None:
+                    kept.append((h, gates, new, a[:, n:]))
+                h = new + gates[:, :STATE] * (h - new)
+                out[t] = h
         return out
 
+    def _outputs(self, states: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, their exponentials, the sums of these) of one softmax."""
+        logits = states @ w
+        logits += b
+        if not self.bounded:
+            logits -= logits.max(1, keepdims=True)
+        e = np.exp(logits)
+        return logits, e, e @ np.ones(e.shape[1], e.dtype)
+
     def log_probability(self, states: np.ndarray, units: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None) -> np.ndarray:
         """Natural logs of the units' probabilities after the states; with grads, adds gradients there ("h": the states')."""
-        c, m = units // MEMBERS, units % MEMBERS
+        # states are within -1 and 1, so small weights cannot overflow
+        self.bounded = all(float(np.abs(self.p[w]).sum(-2).max() + np.abs(self.p[b]).max()) < 80 for w, b in (("wc", "bc"), ("wm", "bm")))
+        c, m = np.divmod(units, MEMBERS)
         every = np.arange(len(units))
-        lp = _log_softmax(states @ self.p["wc"] + self.p["bc"])
-        out = lp[every, c]
+        logits, e, total = self._outputs(states, self.p["wc"], self.p["bc"])
+        out = logits[every, c] - np.log(total)
         if grads is not None:
-            d = np.exp(lp)
-            d[every, c] -= 1
-            d *= weight[:, None]
-            grads["wc"], grads["bc"], grads["h"] = states.T @ d, d.sum(0), d @ self.p["wc"].T
+            e *= (weight / total)[:, None]
+            e[every, c] -= weight
+            grads["wc"], grads["bc"], grads["h"] = states.T @ e, e.sum(0), e @ self.p["wc"].T
             grads["wm"], grads["bm"] = np.zeros_like(self.p["wm"]), np.zeros_like(self.p["bm"])
-        order = np.argsort(c, kind="stable")
+        # members class by class, so that each class is one product
+        order = np.argsort(c.astype(np.int16), kind="stable")
         cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        sorted_states, sorted_members, picked = states.take(order, axis=0), m[order], np.empty(len(units), states.dtype)
+        back = np.empty_like(sorted_states) if grads is not None else None
         for k in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[k] : cuts[k + 1]]
-            s, mine = states[rows], m[rows]
-            lp = _log_softmax(s @ self.p["wm"][k] + self.p["bm"][k])
-            some = np.arange(len(rows))
-            out[rows] += lp[some, mine]
+            rows = slice(cuts[k], cuts[k + 1])
+            s, mine, some = sorted_states[rows], sorted_members[rows], every[: cuts[k + 1] - cuts[k]]
+            logits, e, total = self._outputs(s, self.p["wm"][k], self.p["bm"][k])
+            picked[rows] = logits[some, mine] - np.log(total)
             if grads is not None:
-                d = np.exp(lp)
-                d[some, mine] -= 1
-                d *= weight[rows][:, None]
-                grads["wm"][k], grads["bm"][k] = s.T @ d, d.sum(0)
-                grads["h"][rows] += d @ self.p["wm"][k].T
+                own = weight[order[rows]]
+                e *= (own / total)[:, None]
+                e[some, mine] -= own
+                grads["wm"][k], grads["bm"][k] = s.T @ e, e.sum(0)
+                back[rows] = e @ self.p["wm"][k].T
+        out[order] += picked
+        if grads is not None:
+            grads["h"][order] += back
         return out
 
     def _update(self, grads: dict, rate: float) -> None:
@@ -168,14 +199,14 @@ class Network:
             second += 0.01 * (g * g - second)
             self.p[k] -= (rate * fix) * first / (np.sqrt(second) + 1e-6)
 
-    def train(self, units: np.ndarray, firsts: np.ndarray, rate: float) -> int:
+    def train(self, units: np.ndarray, firsts: np.ndarray, rate: float, most: int = LANES) -> int:
         """One pass over texts that lie one after another: cut in lanes, read in windows; the state goes on, gradients stop.
 
         Returns the number of windows.
         """
         if not len(units):
             return 0
-        lanes = max(1, min(LANES, len(units) // (4 * WINDOW)))
+        lanes = max(1, min(most, len(units) // STREAM))
         steps = -(-len(units) // (lanes * WINDOW)) * WINDOW
         inputs, begins = np.empty_like(units), np.zeros(len(units), bool)
         inputs[1:] = units[:-1]
@@ -206,11 +237,14 @@ class Network:
             dx[t, :, : 2 * STATE], dx[t, :, 2 * STATE :] = da[:, : 2 * STATE], dn
             du += before.T @ da
             dh = (dh * z + da @ self.p["u"].T) * keep[t][:, None]
-        ids = inputs.ravel()
+        # a unit's gradient is the sum over its places: differences of running sums over sorted places
+        ids = inputs.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
-        firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        ids = ids[order]
+        last = np.flatnonzero(np.diff(ids, append=-1))
+        sums = np.cumsum(dx.reshape(-1, 3 * STATE).take(order, axis=0), axis=0, dtype=np.float64)[last]
         gx = np.zeros_like(self.p["x"])
-        gx[ids[order][firsts]] = np.add.reduceat(dx.reshape(-1, 3 * STATE)[order], firsts)
+        gx[ids[last]] = np.diff(sums, axis=0, prepend=0)
         self._update({**grads, "u": du, "x": gx}, rate)
         return out[-1]
 
@@ -223,46 +257,52 @@ class Network:
             load, k = heapq.heappop(loads)
             lanes[k].append(i)
             heapq.heappush(loads, (load + int(sizes[i]), k))
-        places = sorted((np.concatenate([np.arange(first[i], first[i + 1]) for i in lane]) for lane in lanes if lane), key=lambda a: -len(a))
-        length = np.array([len(a) for a in places])
+        length = np.array([int(sizes[lane].sum()) for lane in lanes])
+        by_length = np.argsort(-length, kind="stable")
+        length = length[by_length]
+        texts = np.array([i for k in by_length for i in lanes[k]])
+        # the tokens in the order of the lanes, and where each lane begins among them
+        places = np.repeat(first[texts] - np.cumsum(sizes[texts]) + sizes[texts], sizes[texts]) + np.arange(len(units))
+        begin = np.cumsum(length) - length
         inputs = np.empty_like(units)
         inputs[1:] = units[:-1]
         inputs[first[:-1]] = START
         keep = (inputs != START).astype(np.float32)
-        out, h = np.zeros(len(units)), np.zeros((len(places), STATE), np.float32)
-        for t in range(0, length[0] if len(places) else 0, WINDOW):
-            places = places[: np.count_nonzero(length > t)]
-            length, h = length[: len(places)], h[: len(places)]
+        out, h = np.zeros(len(units)), np.zeros((len(length), STATE), np.float32)
+        for t in range(0, length[0], WINDOW):
+            lanes_left = np.count_nonzero(length > t)
+            length, begin, h = length[:lanes_left], begin[:lanes_left], h[:lanes_left]
             # a lane that ends within the window reads its last token again, and that isn't counted
-            at = np.stack([a[np.minimum(np.arange(t, t + WINDOW), len(a) - 1)] for a in places], 1)
+            steps = np.arange(t, t + WINDOW)[:, None]
+            at = places[begin + np.minimum(steps, length - 1)]
             states = self._run(inputs[at], h, keep[at])
             h = states[-1]
-            real = np.arange(t, t + WINDOW)[:, None] < length
+            real = steps < length
             out[at[real]] = self.log_probability(states[real], units[at[real]])
         return np.add.reduceat(out, first[:-1])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: int, read: Vocabulary) -> Iterator[tuple[list[pa.RecordBatch], list[tuple]]]:
-    """Batches and what was read of them, in lots of about GATHERED tokens."""
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, vocabulary: Vocabulary, whole: bool) -> Iterator[tuple]:
+    """(batches, what the vocabulary read of them), in lots of about GATHERED tokens."""
     held, got, n = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             rows = batch.slice(at, 256)
             held.append(rows)
-            got.append(read.read(rows.column(column)))
-            n += len(got[-1][0])
+            got.append(vocabulary.read(rows.column(column), whole))
+            n += len(got[-1][1])
             if n >= GATHERED:
-                yield held, got
+                yield held, *_joined(got)
                 held, got, n = [], [], 0
     if held:
-        yield held, got
+        yield held, *_joined(got)
 
 
 def _joined(got: list[tuple]) -> tuple[np.ndarray, ...]:
     """What was read of several batches as one: arrays one after another, firsts shifted."""
-    shift = np.cumsum([0, *[g[4][-1] for g in got]])
-    first = np.concatenate([*[g[4][:-1] + s for g, s in zip(got, shift, strict=False)], shift[-1:]])
-    return (*[np.concatenate([g[k] for g in got]) for k in range(4)], first)
+    shift = np.cumsum([0, *[g[0][-1] for g in got]])
+    first = np.concatenate([*[g[0][:-1] + k for g, k in zip(got, shift, strict=False)], shift[-1:]])
+    return (first, *[np.concatenate([g[k] for g in got]) for k in range(1, len(got[0]))])
 
 
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
@@ -333,16 +373,15 @@ def _vocabulary(counts: DataFrame, n_texts: int) -> tuple[Vocabulary, DataFrame,
     return vocabulary, counts.where(F.col("c") < enough).select("word", "c"), total
 
 
-def _fitted(texts: DataFrame, vocabulary, weights: np.ndarray | None, rate: float, passes: int, limit: int | None) -> np.ndarray | None:
+def _fitted(texts: DataFrame, vocabulary, weights: np.ndarray | None, rate: float, passes: int, lanes: int, limit: int | None) -> np.ndarray | None:
     """Weights trained in every task from the same ones, averaged by the number of windows that each task has read."""
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, windows, left = Network(weights), 0, limit
-        for _, got in _gathered(batches, 0, vocabulary.value):
-            units, _, _, _, first = _joined(got)
+        for _, first, units in _gathered(batches, 0, vocabulary.value, whole=False):
             units = units if left is None else units[:left]
             for _ in range(passes):
-                windows += net.train(units, first[:-1][first[:-1] < len(units)], rate)
+                windows += net.train(units, first[:-1][first[:-1] < len(units)], rate, lanes)
             left = left if left is None else left - len(units)
             if left == 0:
                 break
@@ -374,8 +413,8 @@ def fit_language_model(docs: DataFrame, trained_on: Column, id_col: str, text_co
     shared = spark.sparkContext.broadcast(vocabulary)
     key = F.concat_ws(":", F.col("id").cast("string"), "text")
     sample = hashed_sample(texts, key, n, WARM_TEXTS, "first-texts").repartition(1).sortWithinPartitions(F.xxhash64(key), "text")
-    weights = _fitted(sample.select("text"), shared, None, 0.01, WARM_PASSES, WARM_TOKENS)
-    weights = _fitted(texts.select("text"), shared, weights, 0.003, 1, None)
+    weights = _fitted(sample.select("text"), shared, None, 0.006, WARM_PASSES, WARM_LANES, WARM_TOKENS)
+    weights = _fitted(texts.select("text"), shared, weights, 0.003, 1, LANES, None)
     return LanguageModel(vocabulary, Network().weights() if weights is None else weights, rare, total)
 
 
@@ -393,8 +432,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, id_col: str, text_col: st
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = shared.value, Network(weights.value)
-        for held, got in _gathered(batches, 1, v):
-            units, c, words, endings, first = _joined(got)
+        for held, first, units, c, words, endings in _gathered(batches, 1, v, whole=True):
             owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
             per_text = lambda x, of: np.bincount(of, x, len(first) - 1)
             n = np.diff(first)
