@@ -127,25 +127,33 @@ class Network:
     def weights(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in SHAPES]).astype(np.float64)
 
-    def _run(self, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray | None, kept: list | None = None) -> np.ndarray:
-        """States after each step of a window: inputs (steps, lanes); keep is 0 where a new text begins."""
-        x, u, n = self.p["x"].take(inputs, axis=0), self.p["u"], 2 * STATE
-        out = np.empty((*inputs.shape, STATE), x.dtype)
+    def _run(self, inputs: np.ndarray, h: np.ndarray, keep: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """States (steps, lanes, STATE) of a window of inputs (steps, lanes) after h (STATE, lanes); keep is 0 where a new text begins.
+
+        Lanes lie next to each other in memory, so that gates are whole rows.
+        """
+        x = self.p["x"].T.take(inputs, axis=1).transpose(1, 0, 2)
+        u, n = np.ascontiguousarray(self.p["u"].T), 2 * STATE
+        out = np.empty((len(inputs), *h.shape), x.dtype)
         with np.errstate(over="ignore"):
             for t in range(len(inputs)):
-                h = h * keep[t][:, None]
-                a = h @ u
-                gates = x[t, :, :n] + a[:, :n]
+                h = h * keep[t]
+                a = u @ h
+                gates = x[t, :n] + a[:n]
                 np.negative(gates, out=gates)
                 np.exp(gates, out=gates)
                 gates += 1
                 np.divide(1, gates, out=gates)
-                new = np.tanh(x[t, :, n:] + gates[:, STATE:] * a[:, n:])
+                new = gates[STATE:] * a[n:]
+                new += x[t, n:]
+                np.tanh(new, out=new)
                 if kept is not None:
-                    kept.append((h, gates, new, a[:, n:]))
-                h = new + gates[:, :STATE] * (h - new)
+                    kept.append((h, gates, new, a[n:]))
+                h = h - new
+                h *= gates[:STATE]
+                h += new
                 out[t] = h
-        return out
+        return np.ascontiguousarray(out.transpose(0, 2, 1))
 
     def _outputs(self, states: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits, their exponentials, the sums of these) of one softmax."""
@@ -160,35 +168,34 @@ class Network:
         """Natural logs of the units' probabilities after the states; with grads, adds gradients there ("h": the states')."""
         # states are within -1 and 1, so small weights cannot overflow
         self.bounded = all(float(np.abs(self.p[w]).sum(-2).max() + np.abs(self.p[b]).max()) < 80 for w, b in (("wc", "bc"), ("wm", "bm")))
+        # places sorted by class, so that the members of each class are one product
         c, m = np.divmod(units, MEMBERS)
-        every = np.arange(len(units))
+        order, every = np.argsort(c.astype(np.int16), kind="stable"), np.arange(len(units))
+        place = np.empty_like(order)
+        place[order] = every
+        states, c, m = states.take(order, axis=0), c[order], m[order]
+        cuts = np.searchsorted(c, np.arange(CLASSES + 1))
         logits, e, total = self._outputs(states, self.p["wc"], self.p["bc"])
         out = logits[every, c] - np.log(total)
         if grads is not None:
+            weight = weight[order]
             e *= (weight / total)[:, None]
             e[every, c] -= weight
             grads["wc"], grads["bc"], grads["h"] = states.T @ e, e.sum(0), e @ self.p["wc"].T
             grads["wm"], grads["bm"] = np.zeros_like(self.p["wm"]), np.zeros_like(self.p["bm"])
-        # members class by class, so that each class is one product
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        sorted_states, sorted_members, picked = states.take(order, axis=0), m[order], np.empty(len(units), states.dtype)
-        back = np.empty_like(sorted_states) if grads is not None else None
         for k in np.flatnonzero(np.diff(cuts)):
             rows = slice(cuts[k], cuts[k + 1])
-            s, mine, some = sorted_states[rows], sorted_members[rows], every[: cuts[k + 1] - cuts[k]]
+            s, mine, some = states[rows], m[rows], every[: cuts[k + 1] - cuts[k]]
             logits, e, total = self._outputs(s, self.p["wm"][k], self.p["bm"][k])
-            picked[rows] = logits[some, mine] - np.log(total)
+            out[rows] += logits[some, mine] - np.log(total)
             if grads is not None:
-                own = weight[order[rows]]
-                e *= (own / total)[:, None]
-                e[some, mine] -= own
+                e *= (weight[rows] / total)[:, None]
+                e[some, mine] -= weight[rows]
                 grads["wm"][k], grads["bm"][k] = s.T @ e, e.sum(0)
-                back[rows] = e @ self.p["wm"][k].T
-        out[order] += picked
+                grads["h"][rows] += e @ self.p["wm"][k].T
         if grads is not None:
-            grads["h"][order] += back
-        return out
+            grads["h"] = grads["h"].take(place, axis=0)
+        return out[place]
 
     def _update(self, grads: dict, rate: float) -> None:
         self.updates += 1
@@ -214,7 +221,7 @@ class Network:
         inputs[begins] = START
         grid = lambda a, fill: np.concatenate([a, np.full(lanes * steps - len(a), fill, a.dtype)]).reshape(lanes, steps).T
         inputs, begins, units, there = grid(inputs, START), grid(begins, True), grid(units, 0), grid(np.ones(len(units), np.float32), 0)
-        h = np.zeros((lanes, STATE), np.float32)
+        h = np.zeros((STATE, lanes), np.float32)
         for t in range(0, steps, WINDOW):
             at = slice(t, t + WINDOW)
             h = self._window(inputs[at], units[at], h, 1 - begins[at].astype(np.float32), there[at], rate)
@@ -226,27 +233,35 @@ class Network:
         grads: dict = {}
         weight = there.ravel() / max(float(there.sum()), 1.0)
         self.log_probability(out.reshape(-1, STATE), units.ravel(), grads, weight)
-        back = grads.pop("h").reshape(out.shape)
-        dx, du, dh = np.empty((*inputs.shape, 3 * STATE), np.float32), np.zeros_like(self.p["u"]), np.zeros_like(h)
+        back = np.ascontiguousarray(grads.pop("h").reshape(out.shape).transpose(0, 2, 1))
+        n, dh, du = 2 * STATE, np.zeros_like(h), np.zeros_like(self.p["u"])
+        dx = np.empty((len(inputs), 3 * STATE, inputs.shape[1]), back.dtype)
         for t in range(len(inputs) - 1, -1, -1):
             before, gates, new, a = kept[t]
-            dh = dh + back[t]
-            z, r = gates[:, :STATE], gates[:, STATE:]
-            dn = dh * (1 - z) * (1 - new * new)
-            da = np.concatenate([dh * (before - new) * z * (1 - z), dn * a * r * (1 - r), dn * r], 1)
-            dx[t, :, : 2 * STATE], dx[t, :, 2 * STATE :] = da[:, : 2 * STATE], dn
-            du += before.T @ da
-            dh = (dh * z + da @ self.p["u"].T) * keep[t][:, None]
-        # a unit's gradient is the sum over its places: differences of running sums over sorted places
+            dh += back[t]
+            slope = gates * (1 - gates)
+            da, z = dx[t], gates[:STATE]
+            np.multiply(before - new, slope[:STATE], out=da[:STATE])
+            da[:STATE] *= dh
+            dn = (1 - z) * dh
+            dn *= 1 - new * new
+            np.multiply(dn, a, out=da[STATE:n])
+            da[STATE:n] *= slope[STATE:]
+            np.multiply(dn, gates[STATE:], out=da[n:])
+            du += before @ da.T
+            dh *= z
+            dh += self.p["u"] @ da
+            dh *= keep[t]
+            da[n:] = dn
+        # a unit's gradient is the sum over its places
         ids = inputs.ravel().astype(np.int16)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        last = np.flatnonzero(np.diff(ids, append=-1))
-        sums = np.cumsum(dx.reshape(-1, 3 * STATE).take(order, axis=0), axis=0, dtype=np.float64)[last]
+        firsts = np.flatnonzero(np.diff(ids, prepend=-1))
         gx = np.zeros_like(self.p["x"])
-        gx[ids[last]] = np.diff(sums, axis=0, prepend=0)
+        gx[ids[firsts]] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * STATE).take(order, axis=0), firsts)
         self._update({**grads, "u": du, "x": gx}, rate)
-        return out[-1]
+        return np.ascontiguousarray(out[-1].T)
 
     def score(self, units: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Each text's natural log probability. Whole texts are dealt to lanes, longest first; a lane reads text after text."""
@@ -268,15 +283,15 @@ class Network:
         inputs[1:] = units[:-1]
         inputs[first[:-1]] = START
         keep = (inputs != START).astype(np.float32)
-        out, h = np.zeros(len(units)), np.zeros((len(length), STATE), np.float32)
+        out, h = np.zeros(len(units)), np.zeros((STATE, len(length)), np.float32)
         for t in range(0, length[0], WINDOW):
             lanes_left = np.count_nonzero(length > t)
-            length, begin, h = length[:lanes_left], begin[:lanes_left], h[:lanes_left]
+            length, begin, h = length[:lanes_left], begin[:lanes_left], h[:, :lanes_left]
             # a lane that ends within the window reads its last token again, and that isn't counted
             steps = np.arange(t, t + WINDOW)[:, None]
             at = places[begin + np.minimum(steps, length - 1)]
             states = self._run(inputs[at], h, keep[at])
-            h = states[-1]
+            h = np.ascontiguousarray(states[-1].T)
             real = steps < length
             out[at[real]] = self.log_probability(states[real], units[at[real]])
         return np.add.reduceat(out, first[:-1])

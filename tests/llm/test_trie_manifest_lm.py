@@ -291,7 +291,7 @@ def test_gradients_are_those_of_the_window():
     keep[3, 1], inputs[3, 1], there[4, 2] = 0, START, 0
     net = Network()
     net.p = {k: (x * 3).astype(np.float64) for k, x in net.p.items()}
-    h = rng.normal(0, 0.5, (3, STATE)).astype(np.float32)
+    h = rng.normal(0, 0.5, (STATE, 3)).astype(np.float32)
 
     def loss():
         states = net._run(inputs, h, keep).reshape(-1, STATE)
