@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .spans import SPAN, count_of, digits_of, listed, luhn, none, ordered, spans
+from .spans import SPAN, between, blocks_of, bound, count_of, digits_of, listed, luhn, none, ordered, reached, spans
 
 #: The base patterns (fixed values of the contract, stated so that Java's engine takes linear time: a match starts where
 #: its run of characters starts, or where the match before it ended).
@@ -29,38 +31,79 @@ MASK = "\x01"
 BROADCAST_TEXTS = 50_000
 
 
+def _kinds(text: Column) -> list[tuple[str, str, Column | None, Callable[[Column], Column]]]:
+    """(kind, pattern, a condition without which no text matches, what else a match must be), in the contract's order."""
+    return [
+        ("email", EMAIL, text.contains("@"), lambda v: F.lit(True)),
+        ("ip", IP, None, lambda v: v.rlike(rf"^(?:{BYTE}\.){{3}}{BYTE}$")),
+        ("card", CARD, None, lambda v: F.length(digits_of(v)).between(12, 19) & luhn(digits_of(v))),
+        ("phone", PHONE, text.contains("+"), lambda v: F.length(digits_of(v)).between(9, 15)),
+    ]
+
+
 def base_spans(text: Column) -> Column:
     """The personal data of a text column, by start and then as email, ip, card, phone."""
-    return ordered(
-        spans(text, EMAIL, "email", 0, text.contains("@")),
-        F.filter(spans(text, IP, "ip", 1), lambda s: s["value"].rlike(rf"^(?:{BYTE}\.){{3}}{BYTE}$")),
-        F.filter(spans(text, CARD, "card", 2), lambda s: F.length(digits_of(s["value"])).between(12, 19) & luhn(digits_of(s["value"]))),
-        F.filter(spans(text, PHONE, "phone", 3, text.contains("+")), lambda s: F.length(digits_of(s["value"])).between(9, 15)),
-    )
+
+    def right(found: Column, ok: Callable[[Column], Column]) -> Column:
+        return F.filter(found, lambda s: ok(s["value"]))
+
+    return ordered(*[right(spans(text, pattern, kind, rank, gate), ok) for rank, (kind, pattern, gate, ok) in enumerate(_kinds(text))])
+
+
+def _touched(text: Column, pattern: str, ok: Callable[[Column], Column]) -> Column:
+    """The text with MASK for each letter of a match and of the words that touch one; all else stays in its place.
+
+    The text is cut at the matches; of each piece the letters at its ends are replaced where a match stands there.
+    """
+
+    def masked(x: Column) -> Column:
+        return F.regexp_replace(x, r"\p{L}", MASK)
+
+    def piece(p: Column, before: Column, behind: Column) -> Column:
+        left = F.when(before, F.length(F.regexp_extract(p, r"^\p{L}*+", 0))).otherwise(0)
+        right = F.when(behind & (left < F.length(p)), F.length(F.regexp_extract(F.reverse(p), r"^\p{L}*+", 0))).otherwise(0)
+        mid = F.substring(p, left + 1, F.length(p) - left - right)
+        return bound(F.struct(left.alias("l"), right.alias("r"), mid.alias("m")), lambda x: F.concat(F.repeat(F.lit(MASK), x["l"]), x["m"], F.repeat(F.lit(MASK), x["r"])))
+
+    def joined(x: Column) -> Column:
+        # with a match of its own before and behind, every piece has two neighbours
+        at = lambda i: F.coalesce(F.get(x["ok"], i), F.lit(False))
+        pieces = F.transform(x["between"], lambda p, i: F.concat(piece(p, (i > 0) & at(i - 1), at(i)), F.coalesce(F.when(at(i), masked(F.get(x["found"], i))).otherwise(F.get(x["found"], i)), F.lit(""))))
+        return F.array_join(pieces, "")
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = bound(found, lambda f: F.struct(F.split(text, pattern, -1).alias("between"), f.alias("found"), F.transform(f, ok).alias("ok")))
+    return bound(parts, joined)
 
 
 def _masked(text: Column, base: Column) -> Column:
-    """The text with each character of a base match replaced by MASK; all places stay."""
+    """The text's words in their places, one character apart; a word that touches a base match is MASK, as long as the word.
+
+    Copies of the text, one for each kind of match, are masked by themselves; their words stand in the same places.
+    """
     text = F.translate(text, MASK, " ")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = rf"[^\p{{L}}{MASK}]"
 
-    def add(acc: Column, s: Column) -> Column:
-        gap, end = F.greatest(s["start"] - acc["at"], F.lit(0)), F.greatest(acc["at"], s["end"])
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), F.repeat(F.lit(MASK), end - acc["at"] - gap))
-        return F.struct(end.alias("at"), out.alias("out"))
+    def without(words: Column, kind: str, pattern: str, ok: Callable[[Column], Column]) -> Column:
+        copy = F.split(_touched(text, pattern, ok), cut)
+        masked = lambda all_: F.zip_with(all_, copy, lambda w, c: F.when(c.contains(MASK), F.repeat(F.lit(MASK), F.length(w))).otherwise(w))
+        return bound(words, lambda all_: F.when(F.exists(base, lambda s: s["kind"] == kind), masked(all_)).otherwise(all_))
 
-    return F.aggregate(base, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    words = F.split(text, cut)
+    for kind, pattern, _, ok in _kinds(text):
+        words = without(words, kind, pattern, ok)
+    return F.array_join(words, " ")
 
 
 def _values(text: Column, base: Column) -> Column:
     """Hashes of the base matches, each with the hash of its context."""
 
-    def value(s: Column) -> Column:
-        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        context = F.xxhash64(F.substring(text, left + 1, s["start"] - left), F.substring(text, s["end"] + 1, F.lit(CONTEXT)))
+    def value(s: Column, blocks: Column) -> Column:
+        near = lambda a, b: between(blocks, a, b)
+        context = F.xxhash64(near(F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"]), near(s["end"], s["end"] + CONTEXT))
         return F.struct(F.xxhash64(s["kind"], s["value"]).alias("e"), context.alias("context"))
 
-    return F.transform(base, value)
+    return bound(blocks_of(text), lambda blocks: F.transform(base, lambda s: value(s, blocks)))
 
 
 def revealing_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,15 +171,19 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def sanitised(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; spans that overlap are replaced as one, by the first kind."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span replaced by its kind in brackets; spans that overlap are replaced as one, by the first kind.
+
+    The parts, text before a span and its kind, are one array that is joined at the end.
+    """
 
-    def add(acc: Column, s: Column) -> Column:
-        tag = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), tag.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def parts(x: Column) -> Column:
+        tag = lambda s, at: F.concat(between(x["blocks"], at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        tags = F.zip_with(found, x["reached"], lambda s, at: F.when(s["start"] >= at, tag(s, at)).otherwise(""))
+        rest = between(x["blocks"], F.greatest(F.array_max(x["reached"]), F.element_at(found, -1)["end"]), x["size"])
+        return F.concat(F.array_join(tags, ""), rest)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, add, rest)).otherwise(text)
+    given = F.struct(blocks_of(text).alias("blocks"), reached(found).alias("reached"), F.length(text).alias("size"))
+    return F.when(F.size(found) > 0, bound(given, parts)).otherwise(text)
 
 
 def op2_information_theoretic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Matches that are placed one after another before their array is closed.
 CHUNK = 256
+#: Code points of the blocks that a text is cut in, so that a place in it is found without reading all that stands before.
+BLOCK = 1024
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -41,6 +45,38 @@ def spans(text: Column, pattern: str, kind: str, rank: int, gate: Column | None
     return F.when(hit if gate is None else gate & hit, placed).otherwise(none())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once: inside use it is a variable, and not the expression again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points; the last one may be shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text in blocks; reads the blocks that hold them."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.greatest(F.ceil(end / BLOCK).cast("int") - first, F.lit(0)))
+    return F.when(end > start, F.substring(F.array_join(some, ""), start - first * BLOCK + 1, end - start)).otherwise("")
+
+
+def reached(found: Column) -> Column:
+    """For each span the greatest end of the spans before it, 0 for the first; found is an array by start.
+
+    Maxima are taken in chunks of CHUNK spans, and over the chunks before.
+    """
+    ends = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["end"]))
+    chunks = bound(ends, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 1, F.lit(CHUNK)), lambda k: F.slice(e, k + 1, F.lit(CHUNK))))
+
+    def all_of(c: Column) -> Column:
+        tops = F.transform(c, F.array_max)
+        return bound(tops, lambda top: F.flatten(F.transform(c, lambda chunk, k: bound(F.coalesce(F.array_max(F.slice(top, F.lit(1), k)), F.lit(0)), lambda low: F.transform(chunk, lambda _, i: F.greatest(low, F.array_max(F.slice(chunk, F.lit(1), i + 1))))))))
+
+    return F.slice(bound(chunks, all_of), F.lit(1), F.size(found))
+
+
 def ordered(*kinds: Column) -> Column:
     """One array of all spans, by start and then by rank."""
     return F.array_sort(F.concat(*kinds))
