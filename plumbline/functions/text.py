@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -14,33 +15,57 @@ from pyspark.sql import functions as F
 DAMAGED = [("MANH�", "MANHÃ"), ("L�NGUA", "LÍNGUA"), ("MATEM�TICA", "MATEMÁTICA"), ("�", "º")]
 
 
-@cache
-def _folding() -> tuple[str, str]:
-    """Accented letters of U+00C0 to U+024F and their base letters, where NFD gives a base and marks only."""
-    src, dst = [], []
-    for code in range(0xC0, 0x250):
-        base = [c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0] != chr(code):
-            src.append(chr(code))
-            dst.append(base[0])
-    return "".join(src), "".join(dst)
+#: White space as JavaScript's \\s and trim see it, and as Python's \\s does (fixed values), as the inside of a character class.
+JS_SPACE = "\\t\\n\\x0B\\f\\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+PYTHON_SPACE = "\\t\\n\\x0B\\f\\r\x1c-\x1f \x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The normaliser among the libraries that the engine's own collations use.
+_NORMALISER = "com.ibm.icu.text.Normalizer"
+
+
+def _normalised(x: Column, form: str) -> Column:
+    return F.when(x.isNotNull(), F.reflect(F.lit(_NORMALISER), F.lit(form), F.coalesce(x, F.lit("")), F.lit(False)))
+
+
+def decomposed(x: Column) -> Column:
+    """Canonical decomposition (NFD) of any text."""
+    return _normalised(x, "decompose")
+
+
+def composed(x: Column) -> Column:
+    """Canonical composition (NFC) of any text."""
+    return _normalised(x, "compose")
+
+
+def trimmed(x: Column, space: str = JS_SPACE) -> Column:
+    return F.regexp_replace(x, f"^[{space}]+|[{space}]+$", "")
 
 
 def strip_accents(x: Column) -> Column:
-    """The text without accents and combining marks: a translate table, for which no engine function is needed."""
-    src, dst = _folding()
-    marks = "".join(chr(c) for c in range(0x300, 0x370))
-    return F.translate(x, src + marks, dst)
+    """The decomposed text without its non-spacing marks."""
+    return F.regexp_replace(decomposed(x), r"\p{Mn}+", "")
+
+
+@cache
+def _diacritics() -> str:
+    """All code points with the Unicode property Diacritic, as the inside of a character class."""
+    import regex
+
+    has = regex.compile(r"\p{Diacritic}").fullmatch
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and has(chr(c))]
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i == len(codes) - 1 or codes[i + 1] != c + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
 
 
 def search_key(x: Column) -> Column:
-    """Accent-free lower-case text, trimmed; inner white space stays. Spacing diacritics go too."""
-    return F.trim(F.lower(F.translate(strip_accents(x), "^`´¨¯·¸", "")))
+    """Lower-case text without diacritics of any kind, spacing ones as well, trimmed; inner white space stays."""
+    return trimmed(F.lower(F.regexp_replace(decomposed(x), f"[{_diacritics()}]+", "")))
 
 
 def catalog_key(x: Column) -> Column:
-    """Accent-free lower-case text with each run of white space as one space."""
-    return F.trim(F.regexp_replace(F.lower(strip_accents(x)), r"\s+", " "))
+    """Lower-case text without the combining marks U+0300 to U+036F, each run of white space as one space, trimmed."""
+    plain = F.lower(F.regexp_replace(decomposed(x), "[\u0300-\u036F]+", ""))
+    return F.trim(F.regexp_replace(plain, f"[{JS_SPACE}]+", " "))
 
 
 @dataclass(frozen=True)
@@ -50,9 +75,21 @@ class ParsedQuery:
 
 
 def fold(value: str) -> str:
-    """`catalog_key` of a Python literal, for query strings."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", value) if not "̀" <= c <= "ͯ")
-    return re.sub(r"\s+", " ", plain.lower()).strip()
+    """`catalog_key` of a Python literal, for query strings; the engine folds it once more, so that both sides agree."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", value) if not "\u0300" <= c <= "\u036f")
+    return re.sub(f"[{JS_SPACE}]+", " ", plain.lower()).strip(" ")
+
+
+def search_fold(value: str) -> str:
+    """`search_key` of a Python literal."""
+    import regex
+
+    return regex.sub(f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "", regex.sub(r"\p{Diacritic}", "", unicodedata.normalize("NFD", value)).lower())
+
+
+def holds(hay: Column, key: Callable[[Column], Column], query: str) -> Column:
+    """Whether a text holds a literal once both have the same key."""
+    return F.contains(key(hay), key(F.lit(query)))
 
 
 def parse_query(value: str) -> ParsedQuery:
@@ -69,12 +106,25 @@ def parsed_grade(x: Column) -> Column:
     return F.when(digit != "", F.concat(digit, F.lit("º ano")))
 
 
+def _whole(digits: Column, base: int) -> Column:
+    """The number that digits of a base stand for."""
+    each = F.regexp_extract_all(F.lower(digits), F.lit("([0-9a-f])"), F.lit(1))
+    return F.aggregate(each, F.lit(0.0), lambda n, d: n * base + (F.position(d, F.lit("0123456789abcdef")) - 1))
+
+
 def parse_number(x: Column) -> Column:
-    """A double from text with a decimal comma: with a comma, points are thousands marks. Else null, also for infinity."""
-    t = F.trim(x)
+    """A double from text as the site reads it; else null, also for infinity.
+
+    With a comma, points are thousands marks and the first comma is the decimal point. Decimal and exponent forms, and
+    unsigned 0x, 0o and 0b numbers. Text of white space alone is 0, empty text is null.
+    """
+    t = trimmed(x)
     comma = F.regexp_replace(F.replace(t, F.lit("."), F.lit("")), "^([^,]*),", "$1.")
     plain = F.when(F.contains(t, F.lit(",")), comma).otherwise(t)
-    return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), finite(plain.try_cast("double")))
+    out = F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
+    for letter, base, digits in (("x", 16, "[0-9a-f]"), ("o", 8, "[0-7]"), ("b", 2, "[01]")):
+        out = out.when(plain.rlike(f"(?i)^0{letter}{digits}+$"), _whole(F.substring(plain, 3, 1 << 30), base))
+    return F.when(x != "", finite(out.when(plain == "", F.lit(0.0))))
 
 
 def finite(x: Column) -> Column:
@@ -91,8 +141,9 @@ def clean_text(x: Column) -> Column:
 
 
 def clean_lines(x: Column, keep_lines: bool = False) -> Column:
-    """Lines without soft hyphens and with single spaces; blank lines go; joined by a space or a line feed."""
-    lines = F.transform(F.split(F.replace(x, F.lit("­"), F.lit("")), "\n"), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
+    """Composed lines without soft hyphens and with single spaces; blank lines go; joined by a space or a line feed."""
+    lines = F.split(F.replace(composed(x), F.lit("\u00ad"), F.lit("")), "\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]")
+    lines = F.transform(lines, lambda line: F.trim(F.regexp_replace(line, f"[{PYTHON_SPACE}]+", " ")))
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n" if keep_lines else " ")
 
 
@@ -115,9 +166,29 @@ def signed_text(x: Column, digits: int = 1) -> Column:
     return F.when(x > 0, F.concat(F.lit("+"), number_text(x, digits))).otherwise(number_text(x, digits))
 
 
+def _shortest(x: Column) -> Column:
+    """A positive number's shortest digits in exponent form: of 15, 16 or 17 digits the fewest that read back as the number."""
+    forms = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+    return F.coalesce(*[F.when(f.cast("double") == x, f) for f in forms[:-1]], forms[-1])
+
+
 def plain_number(x: Column) -> Column:
-    """A number as a spreadsheet cell: no trailing ".0"."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """A number as a spreadsheet cell: shortest digits, no exponent from 0.000001 up to 10 ** 21, no ".0"."""
+    parts = F.split(_shortest(F.abs(x)), "e")
+    digits = F.regexp_replace(F.replace(parts[0], F.lit("."), F.lit("")), "(?<=[0-9])0+$", "")
+    given = F.struct(digits.alias("d"), parts[1].cast("int").alias("e"), F.length(digits).alias("n"))
+
+    def text(v: Column) -> Column:
+        rest = F.when(v["n"] > 1, F.concat(F.lit("."), F.substring(v["d"], F.lit(2), v["n"]))).otherwise("")
+        power = F.concat(F.substring(v["d"], 1, 1), rest, F.when(v["e"] < 0, "e-").otherwise("e+"), F.abs(v["e"]).cast("string"))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -v["e"] - 1), v["d"])
+        whole = F.concat(v["d"], F.repeat(F.lit("0"), v["e"] + 1 - v["n"]))
+        both = F.concat(F.substring(v["d"], F.lit(1), v["e"] + 1), F.lit("."), F.substring(v["d"], v["e"] + 2, v["n"]))
+        plain = F.when(v["e"] < 0, small).when(v["e"] + 1 >= v["n"], whole).otherwise(both)
+        return F.when(v["e"].between(-6, 20), plain).otherwise(power)
+
+    shown = F.concat(F.when(x < 0, "-").otherwise(""), F.transform(F.array(given), text)[0])
+    return F.when(x == 0, "0").when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.concat(F.when(x < 0, "-").otherwise(""), F.lit("Infinity"))).when(x.isNotNull(), shown)
 
 
 def title_case(x: Column) -> Column:
@@ -139,9 +210,23 @@ def file_label(x: Column) -> Column:
     return F.lower(strip_accents(x))
 
 
-def numeric_order(x: Column) -> Column:
-    """A sort key in which digit runs compare as numbers: leading number, then text."""
-    return F.struct(F.coalesce(F.regexp_extract(x, "^([0-9]{1,9})", 1).try_cast("long"), F.lit(1 << 40)).alias("n"), x.alias("t"))
+def collated(x: Column) -> Column:
+    """A sort key in the alphabet of the site's language."""
+    return F.collate(x, "pt")
+
+
+def natural_order(x: Column) -> Column:
+    """`collated` with each run of digits as a number: its length without leading zeros stands before it, so 9 comes before 10.
+
+    Values that differ in leading zeros alone are equal here; a second key must order them.
+    """
+    parts = F.regexp_extract_all(x, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def padded(part: Column) -> Column:
+        number = F.regexp_replace(part, "^0+(?=[0-9])", "")
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lpad(F.length(number).cast("string"), 6, "0"), number)).otherwise(part)
+
+    return collated(F.array_join(F.transform(parts, padded), ""))
 
 
 def csv_cell(x: Column) -> Column:

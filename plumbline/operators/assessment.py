@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import finite, or_default
+from plumbline.functions.text import collated, finite, or_default, search_fold, search_key
 
 #: The period whose row stands for a whole unit (fixed value).
 WHOLE = "GERAL"
@@ -54,8 +54,6 @@ def alias_lists(raw: DataFrame) -> DataFrame:
 
 def search_index(raw: DataFrame) -> DataFrame:
     """Identities with a search key over the current name and all aliases."""
-    from plumbline.functions.text import search_key
-
     joined = latest_identity(raw).join(alias_lists(raw), "unit", "left")
     return joined.withColumn("search_key", search_key(F.concat_ws(" ", F.array("unit_name"), F.coalesce("aliases", F.array()))))
 
@@ -73,10 +71,11 @@ def _paired(raw: DataFrame, scope: list[str], keys: list[str], scores: list[Colu
     """Scores by scope and keys, with variation and the scope's latest identity, in one pass over the raw rows.
 
     Every group carries the identity of its own latest row; a window over the groups, not the rows, picks the scope's.
+    ord is that of the group's first row: groups stand in the order in which the input first names them.
     """
     when = F.struct("year", (-F.col("ord")).alias("_before"))
     who = F.max_by(F.struct("unit_name", "network", "region"), when)
-    pairs = raw.groupBy(*scope, *keys).agg(*scores, who.alias("_who"), F.max(when).alias("_when"))
+    pairs = raw.groupBy(*scope, *keys).agg(*scores, F.min("ord").alias("ord"), who.alias("_who"), F.max(when).alias("_when"))
     latest = F.max_by("_who", "_when").over(Window.partitionBy(*scope))
     out = with_variation(paid_years(pairs.withColumn("_latest", latest)))
     return out.select(*[c for c in out.columns if c not in ("_who", "_when", "_latest")], "_latest.*")
@@ -210,11 +209,13 @@ def subject_headline(rows: DataFrame) -> DataFrame:
 
 
 def growth_ranking(rows: DataFrame, n: int = 8) -> DataFrame:
-    return rows.where("diff > 1").orderBy(F.desc("diff"), "unit", "grade", "subject").limit(n)
+    """The n rows that grew most, ties in input order."""
+    return rows.where("diff > 1").orderBy(F.desc("diff"), "ord").limit(n)
 
 
 def decline_ranking(rows: DataFrame, n: int = 8) -> DataFrame:
-    return rows.where("diff < -1").orderBy("diff", "unit", "grade", "subject").limit(n)
+    """The n rows that fell most, ties in input order."""
+    return rows.where("diff < -1").orderBy("diff", "ord").limit(n)
 
 
 def selected_units(rows: DataFrame, units: DataFrame) -> DataFrame:
@@ -230,22 +231,19 @@ def rehydrate(detail: DataFrame, identities: DataFrame) -> DataFrame:
 def series(rows: DataFrame, key: str) -> DataFrame:
     """Chart series: the means by one column that have a year at all, with their place in the alphabet of names."""
     means = paid_years(group_average(rows, key))
-    return means.withColumn("place", F.row_number().over(Window.orderBy(F.expr("name COLLATE pt"), "name")))  # a row for each name
+    return means.withColumn("place", F.row_number().over(Window.orderBy(collated(F.col("name")), "name")))  # a row for each name
 
 
 def table_rows(detail: DataFrame, bench: DataFrame, n: int = 300) -> DataFrame:
-    """The first rows of the detail table, in order of unit, grade, period and subject, with the gap to the benchmark."""
-    return table_gap(detail.orderBy("unit", "grade", "period", "subject").limit(n), bench)
+    """The first rows of the detail table, in input order, with the gap to the benchmark."""
+    return table_gap(detail.orderBy("ord").limit(n), bench)
 
 
 def match_units(index: DataFrame, query: str, cap: int = 30) -> tuple[DataFrame, DataFrame]:
     """(first matches by name, one row of total and hidden); an empty query matches nothing."""
-    from plumbline.functions.text import fold
-
-    key = fold(query)
-    hits = index.where(F.contains(F.col("search_key"), F.lit(key))) if key else index.where(F.lit(False))
+    hits = index.where(F.contains(F.col("search_key"), search_key(F.lit(query)))) if search_fold(query) else index.where(F.lit(False))
     counts = hits.agg(F.count("*").alias("total")).withColumn("hidden", F.greatest(F.col("total") - cap, F.lit(0)))
-    return hits.orderBy(F.expr("unit_name COLLATE pt"), "unit").limit(cap), counts
+    return hits.orderBy(collated(F.col("unit_name")), "unit").limit(cap), counts
 
 
 def match_state(index: DataFrame, query: str, cap: int = 30) -> DataFrame:

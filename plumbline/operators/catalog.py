@@ -5,12 +5,13 @@ Records: code, kind, subject, year (label), years array<string>, unit, object, f
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import catalog_key, numeric_order, parse_query, slug
+from plumbline.functions.text import catalog_key, collated, holds, natural_order, parse_query, slug
 
 
 #: Grade keys of codes, in order: single years, then ranges from the first digit to the second (fixed values).
@@ -135,7 +136,7 @@ def matches(query: str = "", year: str = "", skill: str = "", unit: str = "", ob
         out = out & (F.col("object") == obj)
     if parsed.text:
         hay = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("code", "text", "object", "unit", "field", "subject", "area")])
-        out = out & F.contains(catalog_key(hay), F.lit(parsed.text))
+        out = out & holds(hay, catalog_key, parsed.text)
     return F.coalesce(out, F.lit(False))
 
 
@@ -186,9 +187,21 @@ def related_by_overlap(records: DataFrame, within: list[str], array: str, n: int
 
 
 def facet(records: DataFrame, value: Column, where: Column | None = None) -> DataFrame:
-    """Distinct non-empty values of a facet among the records that satisfy a condition, digits in numeric order."""
+    """Distinct non-empty values of a facet among the records that satisfy a condition, in alphabetical order, numbers by value."""
     rows = records if where is None else records.where(where)
-    return rows.select(value.alias("value")).where("value is not null and value <> ''").distinct().orderBy(numeric_order(F.col("value")))
+    return rows.select(value.alias("value")).where("value is not null and value <> ''").distinct().orderBy(natural_order(F.col("value")), "value")
+
+
+def option_places(records: DataFrame, facets: dict[str, Column], numeric: bool = True) -> DataFrame:
+    """(facet, value, place): the distinct non-empty values of several facets, each with its place in its facet's list, from 1.
+
+    Alphabetical in the site's language; with `numeric`, runs of digits compare as numbers. Values that compare equal stand
+    by their code points. One pass over the records; after it a facet's list has each value once.
+    """
+    offered = F.explode(F.array(*[F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value")) for name, value in facets.items()]))
+    values = records.select(offered.alias("f")).select("f.*").where("value is not null and value <> ''").distinct()
+    order = (natural_order if numeric else collated)(F.col("value"))
+    return values.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(order, "value")))
 
 
 def routes(records: DataFrame, valid_years: list[str]) -> DataFrame:
@@ -205,9 +218,9 @@ def page(records: DataFrame, number: int, size: int = 18) -> DataFrame:
     return records.orderBy("ord").limit(size * number)
 
 
-def existence_flags(records: DataFrame) -> DataFrame:
-    """One row: whether any record has a unit, an object, a field."""
-    return records.agg(*[F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)).alias(f"any_{c}") for c in ("unit", "object", "field")])
+def existence_flags(records: DataFrame, within: Iterable[str] = ()) -> DataFrame:
+    """One row, or one of each group: whether any record has a unit, an object, a field."""
+    return records.groupBy(*within).agg(*[F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)).alias(f"any_{c}") for c in ("unit", "object", "field")])
 
 
 def hub_totals(records: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import clean_lines, strip_accents
+
 
 def forward_fill(rows: DataFrame, scope: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """The last non-empty value at or before each row of its scope; a scope (section, page, cycle) resets the fill."""
@@ -44,6 +46,24 @@ def gap_groups(rows: DataFrame, scope: list[str], order: str, gap: Column | floa
     return rows.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
+def paragraphs(lines: DataFrame, scope: list[str], order: str, gap: float, text: str, joiner: Column | None = None) -> DataFrame:
+    """(scope..., paragraph, top, text): lines folded into paragraphs, a new one where the order value leaps by more than `gap`.
+
+    A paragraph's lines are joined in order by line feeds, without trailing white space; a line that ends in "/" is a broken
+    word and takes the next line on directly. joiner: what stands before each line instead. Lines of one order value stand by
+    their text. Paragraphs are numbered from 0 in their scope; a null line is empty.
+    """
+    rows = gap_groups(lines.withColumn("_text", F.rtrim(F.coalesce(F.col(text), F.lit("")))), scope, order, gap, "paragraph")
+    each = rows.groupBy(*scope, "paragraph").agg(F.min(order).alias("top"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("_text").alias("line")))).alias("_lines"))
+
+    def with_joint(x: Column, i: Column) -> Column:
+        before = F.get(F.col("_lines"), i - 1)["line"]
+        usual = F.lit("\n") if joiner is None else joiner
+        return F.when((i == 0) | (before == ""), x["line"]).when(before.endswith("/"), F.ltrim(x["line"])).otherwise(F.concat(usual, x["line"]))
+
+    return each.select(*scope, "paragraph", "top", F.array_join(F.transform("_lines", with_joint), "").alias(text))
+
+
 def boundary_pairs(edges: DataFrame, scope: list[str], at: str) -> DataFrame:
     """Neighbouring boundaries as intervals [top, bottom); the last boundary of a scope opens none."""
     w = Window.partitionBy(*scope).orderBy(at)
@@ -72,6 +92,25 @@ def in_intervals(rows: DataFrame, bounds: DataFrame, scope: list[str], at: str)
     return rows.alias("r").join(bounds.alias("b"), cond).select("r.*", "b.top", "b.bottom")
 
 
+def in_boxes(points: DataFrame, boxes: DataFrame, scope: list[str], y: str, x: str, cell: tuple[float, float], margin: float = 0.0) -> DataFrame:
+    """Points inside the boxes (top, bottom, left, right) of their scope: top + margin <= y < bottom - margin, left <= x <= right.
+
+    The plane is cut in cells of the given height and width; a box stands for every cell that it covers, a point for one, so
+    the join is an equi-join on scope and cell, and a hot scope is spread over its cells. A cell of about a usual box's size
+    keeps both the copies of a box and the points beside it few. A point comes once for each box that holds it; points and
+    boxes with nulls meet nothing.
+    """
+    down, across = (lambda v, size: F.floor(v / size)), (lambda a, b, size: F.sequence(F.floor(a / size), F.floor(b / size)))
+    whole = (F.col("top") + margin <= F.col("bottom") - margin) & (F.col("left") <= F.col("right"))
+    cells = boxes.where(whole).withColumn("_cy", F.explode(across(F.col("top") + margin, F.col("bottom") - margin, cell[0]))).withColumn("_cx", F.explode(across(F.col("left"), F.col("right"), cell[1])))
+    placed = points.withColumns({"_cy": down(F.col(y), cell[0]), "_cx": down(F.col(x), cell[1])})
+    same = [F.col(f"p.{k}") == F.col(f"b.{k}") for k in [*scope, "_cy", "_cx"]]
+    inside = [F.col(f"p.{y}") >= F.col("b.top") + margin, F.col(f"p.{y}") < F.col("b.bottom") - margin, F.col(f"p.{x}") >= F.col("b.left"), F.col(f"p.{x}") <= F.col("b.right")]
+    out = placed.alias("p").join(cells.alias("b"), reduce(lambda a, b: a & b, same + inside))
+    extra = [c for c in boxes.columns if c not in scope]
+    return out.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"b.{c}") for c in extra])
+
+
 def facing_pages(pages: DataFrame, start: int, scope: tuple[str, ...] = ()) -> DataFrame:
     """Page n beside page n + 1 of its scope from `start` on, in steps of two; a last page without a partner is left out."""
     left = pages.where((F.col("page") >= start) & ((F.col("page") - start) % 2 == 0))
@@ -86,6 +125,34 @@ def all_matches(rows: DataFrame, text: str, pattern: str, groups: list[str]) ->
     return out.select(*[c for c in out.columns if c != "_m"], *[F.col(f"_m.{g}").alias(g) for g in groups])
 
 
+def matches_with_offsets(texts: DataFrame, key: list[str], text: str, pattern: str, groups: list[str] = ()) -> DataFrame:
+    """(key..., match_no, start, end, match, groups...): every match of a pattern in a text, offsets in code points, end exclusive.
+
+    A match starts behind the pieces and matches before it, whose lengths are added up over the rows of its text.
+    """
+    of = F.col(text)
+    found = [F.regexp_extract_all(of, F.lit(pattern), F.lit(i)).alias(g) for i, g in enumerate(["match", *groups])]
+    parts = F.arrays_zip(*found, F.slice(F.split(of, pattern, -1), F.lit(1), F.size(found[0])).alias("_piece"))
+    rows = texts.select(*key, F.posexplode(parts).alias("match_no", "_m")).select(*key, "match_no", "_m.*")
+    w = Window.partitionBy(*key).orderBy("match_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("_piece") + F.length("match")).over(w)
+    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).select(*key, "match_no", "start", "end", "match", *groups)
+
+
+def matches_on_pages(pages: DataFrame, scope: list[str], page: str, text: str, pattern: str, groups: list[str] = ()) -> DataFrame:
+    """Matches of a pattern in the pages of each scope joined in order by line feeds, each with the page on which it starts.
+
+    A match may run over a page's end. The page is that of the last page start at or before the match's offset: an as-of join.
+    """
+    joined = pages.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("_pages"))
+    texts = joined.select(*scope, F.array_join("_pages.text", "\n").alias("_text"))
+    w = Window.partitionBy(*scope).orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    each = joined.select(*scope, F.posexplode("_pages").alias("_no", "_p")).select(*scope, "_no", F.col("_p.page").alias("page"), F.length("_p.text").alias("_n"))
+    starts = each.select(*scope, F.coalesce(F.sum(F.col("_n") + 1).over(w), F.lit(0)).cast("long").alias("start"), "page")
+    found = matches_with_offsets(texts, scope, "_text", pattern, groups)
+    return asof_backward(found, starts, scope, "start", "page", clamp=True).withColumnRenamed("asof_page", "page")
+
+
 def digit_list(x: Column) -> Column:
     """Distinct numbers of a text, ascending."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit("([0-9]+)"), F.lit(1)), lambda d: d.cast("int"))))
@@ -110,9 +177,16 @@ def table_rules(drawings: DataFrame, low: float = 150.0, high: float = 790.0, wi
     return drawings.where(level).select("page", F.round("y0", 2).alias("y")).distinct()
 
 
-def heading_page(pages: DataFrame, heading: str, start: int = 0) -> DataFrame:
-    """The first page from `start` on that holds a heading; null if none does."""
-    return pages.where((F.col("page") >= start) & F.contains(F.col("text"), F.lit(heading))).agg(F.min("page").alias("page"))
+def heading_page(pages: DataFrame, heading: str, start: int = 0, folded: bool = False) -> DataFrame:
+    """The first page from `start` on that holds a heading, in either case and over line ends; the query fails if none does.
+
+    folded: pages are cleaned first and accents don't count.
+    """
+    key = (lambda x: F.upper(strip_accents(clean_lines(x)))) if folded else (lambda x: F.upper(F.replace(x, F.lit("\n"), F.lit(" "))))
+    wanted = F.upper(strip_accents(F.lit(heading))) if folded else F.upper(F.lit(heading))
+    none = F.raise_error(F.lit(f"heading {heading!r} not found from page {start}")).cast(dict(pages.dtypes)["page"])
+    held = pages.where((F.col("page") >= start) & F.contains(key(F.col("text")), wanted))
+    return held.agg(F.min("page").alias("_first")).select(F.coalesce("_first", none).alias("page"))
 
 
 def corrected(rows: DataFrame, corrections: DataFrame, key: str, column: str) -> DataFrame:

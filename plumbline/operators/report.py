@@ -59,11 +59,14 @@ def diagnosis(compared: DataFrame) -> DataFrame:
     rows = rows.withColumn("_key", F.when(F.col("has_reference"), F.col("position")).otherwise(own))
     bucket = F.when(F.col("_key").isin("DESTAQUE", "RECUPERACAO"), "destaques").otherwise("atencao")
     text = F.when(F.col("_key") == "ATENCAO", F.concat(sentence(), F.lit(LOOK))).otherwise(sentence())
-    return rows.select("unit", "grade", "subject", bucket.alias("bucket"), text.alias("sentence"))
+    return rows.select("unit", "grade", "subject", bucket.alias("bucket"), text.alias("sentence"), "ord")
 
 
 def priorities(compared: DataFrame) -> DataFrame:
-    """Rows with a benchmark and a variation, ranked ALTA, ATENÇÃO, MONITORAR, DESTAQUE; positions without a label last."""
+    """Rows with a benchmark and a variation, ranked ALTA, ATENÇÃO, MONITORAR, DESTAQUE; positions without a label last.
+
+    Rows of one rank stand in input order, by ord.
+    """
     label = F.lit(None).cast("string")
     for k, v in PRIORITIES.items():
         label = F.when(F.col("position") == k, v).otherwise(label)
@@ -71,7 +74,7 @@ def priorities(compared: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.col("priority"))
     gap = F.when(F.col("gap2025").isNotNull(), filled("Gap para o recorte: {} pts", signed_text(F.col("gap2025"))))
     evidence = F.concat_ws(" · ", filled("Variação: {} pts", signed_text(F.col("diff"))), gap)
-    return rows.select("unit", "grade", "subject", "priority", F.coalesce(rank, F.lit(len(ORDER) + 1)).cast("int").alias("rank"), F.col("position_label").alias("situation"), evidence.alias("evidence"), F.col("position_tone").alias("tone"))
+    return rows.select("unit", "grade", "subject", "priority", F.coalesce(rank, F.lit(len(ORDER) + 1)).cast("int").alias("rank"), F.col("position_label").alias("situation"), evidence.alias("evidence"), F.col("position_tone").alias("tone"), "ord")
 
 
 def badge(position: Column) -> Column:
@@ -105,12 +108,12 @@ def spread_labels(rows: DataFrame, group: list[str], y: str, order: list[str], g
 def csv_lines(detail: DataFrame) -> DataFrame:
     """One text line per detail row, every cell quoted, semicolons between; `CSV_HEADERS` is the header, unquoted."""
     cells = [F.col(c) for c in CSV_TEXTS] + [plain_number(F.col(c)) for c in CSV_NUMBERS] + [F.col("status")]
-    return detail.select("unit", "grade", "subject", "period", F.concat_ws(";", *[csv_cell(c) for c in cells]).alias("line"))
+    return detail.select("unit", "grade", "subject", "period", F.concat_ws(";", *[csv_cell(c) for c in cells]).alias("line"), "ord")
 
 
 def printed_reports(compared: DataFrame, title: str) -> DataFrame:
-    """(unit, text): each unit's plain report: title, label, results, both buckets and priorities, in order of grade and subject."""
-    said = diagnosis(compared).withColumnsRenamed({"bucket": "b", "sentence": "s"})
+    """(unit, text): each unit's plain report: title, label, results, both buckets and priorities, rows in input order."""
+    said = diagnosis(compared).select("unit", "grade", "subject", F.col("bucket").alias("b"), F.col("sentence").alias("s"))
     ranked = priorities(compared).select("unit", "grade", "subject", "priority", "rank", "evidence")
     keys = ["unit", "grade", "subject"]
     rows = compared.join(said, keys, "left").join(ranked, keys, "left")
@@ -118,7 +121,7 @@ def printed_reports(compared: DataFrame, title: str) -> DataFrame:
     urgent = filled("- [{}] {} ({}): {}", F.coalesce("priority", F.lit("")), F.col("subject"), F.col("grade"), F.coalesce("evidence", F.lit("")))
 
     def section(head: str, keep: Column, order: list[Column], text: Column, none: str) -> Column:
-        each = F.array_sort(F.collect_list(F.when(keep, F.struct(*order, F.col("grade"), F.col("subject"), text.alias("_text")))))
+        each = F.array_sort(F.collect_list(F.when(keep, F.struct(*order, F.col("ord"), text.alias("_text")))))
         lines = F.array_join(F.transform(each, lambda x: x["_text"]), "\n")
         return F.concat(F.lit(f"\n{head}\n"), F.when(F.size(each) > 0, lines).otherwise(none))
 

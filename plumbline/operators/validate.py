@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import logging
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOG = logging.getLogger(__name__)
-
 VALID, REVIEW = "valido", "revisao_necessaria"
 
 
@@ -57,6 +55,22 @@ def lost_superscript(column: str) -> Rule:
     return Rule(f"superscript:{column}", F.coalesce(F.col(column).rlike(r"(?i)\b(ax|x|m|cm|km)2\b"), F.lit(False)), "warn")
 
 
+def array_equals(column: str, expected: Column) -> Rule:
+    """The array has the expected elements in the expected order."""
+    return Rule(f"years:{column}", ~F.col(column).eqNullSafe(expected))
+
+
+def digit_equals(column: str, code: str, place: int) -> Rule:
+    """The digit at a place (from 1) of the code is the record's number."""
+    return Rule(f"digit:{column}", ~F.coalesce(F.substring(code, place, 1).try_cast("int") == F.col(column), F.lit(False)))
+
+
+def numbered_once(column: str, last: int, order: list[str], within: list[str] = ()) -> list[Rule]:
+    """The number is from 1 to `last`, and of each number only the first record of its group in this order stands."""
+    outside = Rule(f"number:{column}", ~F.coalesce(F.col(column).between(1, last), F.lit(False)))
+    return [outside, Rule(f"repeated:{column}", F.row_number().over(Window.partitionBy(*within, column).orderBy(*order)) > 1)]
+
+
 def duplicates(key: list[str], order: list[str]) -> Rule:
     """Every record but the first of its key, whether or not the first is otherwise valid."""
     return Rule("duplicate:" + ",".join(key), F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
@@ -84,10 +98,20 @@ def rule_totals(records: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(records: DataFrame, prefix: list[str], number: str, last: int | None = None) -> DataFrame:
-    """Numbers missing from 1 to each prefix's greatest (or to `last`); a prefix without numbers has none."""
-    upto = F.max(number) if last is None else F.lit(last)
-    missing = F.array_except(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), F.collect_set(number))
-    return records.where(F.col(number).isNotNull()).groupBy(*prefix).agg(missing.alias("m")).select(*prefix, F.explode("m").alias("missing"))
+    """Numbers missing from 1 to each prefix's greatest (or to `last`); a prefix without numbers has none.
+
+    Between neighbouring numbers only the hole is spelt out, so the work is that of the records and of what is missing.
+    """
+    numbers = records.where(F.col(number).isNotNull()).select(*prefix, F.col(number).alias("_n")).distinct()
+    inside = numbers.where(F.col("_n") >= 1 if last is None else F.col("_n").between(1, last))
+    before = F.coalesce(F.lag("_n").over(Window.partitionBy(*prefix).orderBy("_n")), F.lit(0))
+    holes = inside.select(*prefix, before.alias("_a"), F.col("_n").alias("_b"))
+    if last is not None:
+        # the hole behind the greatest number; a prefix whose numbers all lie outside misses everything
+        ends = numbers.groupBy(*prefix).agg(F.coalesce(F.max(F.when(F.col("_n").between(1, last), F.col("_n"))), F.lit(0)).alias("_a"))
+        holes = holes.unionByName(ends.withColumn("_b", F.lit(last + 1)))
+    holes = holes.where(F.col("_b") - F.col("_a") > 1)
+    return holes.select(*prefix, F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1).cast(f"array<{dict(records.dtypes)[number]}>")).alias("missing"))
 
 
 def padded_list(numbers: Column) -> Column:
@@ -143,21 +167,107 @@ def fixed_range_gaps(records: DataFrame, number: str, last: int) -> DataFrame:
     return wanted.join(records.select(F.col(number).alias("_have")), F.col("missing") == F.col("_have"), "left_anti")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a staged folder in the place of the one at path by renaming; a failure leaves the old one there."""
+    fs, at = _folder(spark, path)
+    old = at(f"{path}-old-{uuid.uuid4().hex}")
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(staged), at(path)):
+        if had:
+            fs.rename(old, at(path))
+        raise OSError(f"cannot publish {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def write_if_valid(records: DataFrame, gaps: DataFrame | None, dataset_path: str, report_path: str, check_only: bool = False) -> bool:
-    """Write the status report always and the accepted records only if the status is valid; if check_only, write neither."""
-    report = status(records, gaps)
-    ok = report.first()["status"] == VALID
-    if not check_only:
-        report.write.mode("overwrite").json(report_path)
-    if ok and not check_only:
-        accepted(records).drop("errors", "warnings").write.mode("overwrite").parquet(dataset_path)
-    return ok
+    """Publish the status report always and the accepted records only if the status is valid; if check_only, neither.
+
+    Records are evaluated once, into a staged table beside the dataset. The report and the dataset come from that table,
+    the dataset is counted against the report, and only then do both take the places of their predecessors, by renaming.
+    Whatever fails before leaves the published ones as they were; staged folders go in any case.
+    """
+    spark = records.sparkSession
+    mark = uuid.uuid4().hex
+    checked_, data, told = (f"{path}-staged-{name}-{mark}" for path, name in ((dataset_path, "checked"), (dataset_path, "accepted"), (report_path, "report")))
+    try:
+        records.write.parquet(checked_)
+        kept = spark.read.schema(records.schema).parquet(checked_)
+        status(kept, gaps).write.json(told)
+        report = spark.read.json(told).first()
+        ok = report["status"] == VALID
+        if ok and not check_only:
+            accepted(kept).drop("errors", "warnings").write.parquet(data)
+            if (n := spark.read.parquet(data).count()) != report["accepted"]:
+                raise OSError(f"{n} records were written, {report['accepted']} were accepted")
+        if not check_only:
+            publish(spark, told, report_path)
+        if ok and not check_only:
+            publish(spark, data, dataset_path)
+        return ok
+    finally:
+        for path in (checked_, data, told):
+            fs, at = _folder(spark, path)
+            fs.delete(at(path), True)
 
 
 def guarded_enrichment(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:
-    """Join a column only if both sides have the same keys; else warn and leave the column null in every row."""
-    joined = left.join(right.select(key, column), key, "left")
-    if key_mismatches(left, right, key).isEmpty():
-        return joined
-    _LOG.warning("%s: the sides have different keys, see key_mismatches", column)
-    return joined.withColumn(column, F.lit(None).cast(dict(right.dtypes)[column]))
+    """Join a column only if both sides have the same keys, else leave it null in every row; `key_mismatches` names the keys.
+
+    The guard is a scalar subquery of the same plan: nothing runs before the caller's action.
+    """
+    fits = key_mismatches(left, right, key).agg((F.count("*") == 0).alias("fits")).scalar()
+    return left.join(right.select(key, column), key, "left").withColumn(column, F.when(fits, F.col(column)))
+
+
+#: What a rule row's kind tests, given the value of its column as text, its parameters, and its record's values by column.
+RULE_KINDS = {
+    "required": lambda v, p, all_: F.coalesce(F.trim(v), F.lit("")) != "",
+    "pattern": lambda v, p, all_: F.rlike(v, p[0]),
+    "known": lambda v, p, all_: F.array_contains(p, v),
+    "constant": lambda v, p, all_: v == p[0],
+    "between": lambda v, p, all_: v.try_cast("double").between(p[0].try_cast("double"), p[1].try_cast("double")),
+    "ending": lambda v, p, all_: F.array_contains(p, F.substring(F.trim(v), -1, 1)),
+    "digit": lambda v, p, all_: F.substring(F.try_element_at(all_, p[0]), p[1].cast("int"), 1) == v,
+    "label": lambda v, p, all_: F.try_element_at(F.map_from_arrays(F.filter(p, lambda _, i: (i > 1) & (i % 2 == 0)), F.filter(p, lambda _, i: (i > 1) & (i % 2 == 1))), F.substring(F.try_element_at(all_, p[0]), p[1].cast("int"), 2)) == v,
+}
+
+
+def rules_by_scope(records: DataFrame, rules: DataFrame, scope: str, columns: list[str]) -> DataFrame:
+    """Records with the `errors` and `warnings` of the rules of their scope, all scopes in one pass.
+
+    rules: rows of (scope, seq, rule, kind, column, params array<string>, severity). kind is one of RULE_KINDS; column is one
+    of `columns`. A record breaks a rule unless its test is true; null fails. "label" looks two characters of a column
+    (params: column, place, key, value, key, value ...) up, "digit" takes one (params: column, place). The ids of the broken
+    rules come in order of seq. A scope without rules has no errors; an unknown kind fails the query.
+    """
+    each = rules.groupBy(F.col("scope").alias("_scope")).agg(F.array_sort(F.collect_list(F.struct("seq", "rule", "kind", "column", "params", "severity"))).alias("_rules"))
+    values = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
+
+    def broken(rule: Column) -> Column:
+        value = F.try_element_at(F.col("_values"), rule["column"])
+        test = F.lit(None).cast("boolean")
+        for kind, holds in RULE_KINDS.items():
+            test = F.when(rule["kind"] == kind, holds(value, rule["params"], F.col("_values"))).otherwise(test)
+        known = rule["kind"].isin(list(RULE_KINDS))
+        return F.when(~known, F.raise_error(F.concat(F.lit("no such kind of rule: "), rule["kind"])).cast("boolean")).otherwise(~F.coalesce(test, F.lit(False)))
+
+    out = records.withColumn("_values", values).join(each, F.col(scope) == F.col("_scope"), "left")
+    out = out.withColumn("_broken", F.filter(F.coalesce("_rules", F.array().cast(dict(each.dtypes)["_rules"])), broken))
+    named = lambda severity: F.transform(F.filter("_broken", lambda r: r["severity"] == severity), lambda r: r["rule"])
+    return out.withColumns({"errors": named("reject"), "warnings": named("warn")}).drop("_values", "_scope", "_rules", "_broken")
+
+
+def scope_totals(records: DataFrame, scope: str) -> DataFrame:
+    """(scope, total, accepted, rejected, warned, status) of checked records, all scopes in one pass."""
+    out = records.groupBy(F.col(scope).alias("scope")).agg(F.count("*").alias("total"), F.count_if(F.size("errors") == 0).alias("accepted"), F.count_if(F.size("errors") > 0).alias("rejected"), F.count_if(F.size("warnings") > 0).alias("warned"))
+    return out.withColumn("status", F.when(F.col("rejected") == 0, VALID).otherwise(REVIEW))

@@ -36,7 +36,8 @@ def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(renamed, F.concat("s_name", F.lit(" (NEW)"))).otherwise(F.col("s_name")).alias("unit_name"),
         "grade", "period", "subject",
         (F.col("q") / F.col("n")).alias("score"),
-        ((F.col("year") - 2024) * 4 + F.array_position(places, F.col("period"))).alias("ord"),
+        # input order: by year, then the last supplier first
+        ((F.col("year") - 2024).cast("long") * 10**12 + (10**9 - F.col("l_suppkey")) * 1000 + F.locate("A", "grade") * 100 + F.locate("N", "grade") * 200 + F.locate("R", "grade") * 300 + F.locate("O", "subject") * 10 + F.array_position(places, F.col("period"))).alias("ord"),
     )
 
 
@@ -53,7 +54,7 @@ scored AS (
 raw AS (
   SELECT year, r_name AS network, CAST(s_nationkey AS VARCHAR) AS region, CAST(l_suppkey AS VARCHAR) AS unit,
          CASE WHEN year = 2025 AND l_suppkey % 10 = 3 THEN s_name || ' (NEW)' ELSE s_name END AS unit_name, grade, period, subject, score,
-         (year - 2024) * 4 + list_position(['GERAL', 'MANHA', 'TARDE', 'NOITE'], period) AS ord
+         CAST(year - 2024 AS BIGINT) * 1000000000000 + (1000000000 - l_suppkey) * 1000 + list_position(['A', 'N', 'R'], grade) * 100 + (subject = 'O')::INT * 10 + list_position(['GERAL', 'MANHA', 'TARDE', 'NOITE'], period) AS ord
   FROM scored JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
@@ -69,10 +70,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LABELS = ", ".join(f"'{grade_label(g)}'" for g in GRADE_KEYS)
-_YEARS = ", ".join("[" + ", ".join(f"'{y}'" for y in grade_years(g)) + "]" for g in GRADE_KEYS)
+#: Labels and years of the fifteen grade keys, written out for the oracles (fixed values).
+GRADES_SQL = """(VALUES
+  ('01', '1º ano', ['1º ano']), ('02', '2º ano', ['2º ano']), ('03', '3º ano', ['3º ano']), ('04', '4º ano', ['4º ano']), ('05', '5º ano', ['5º ano']),
+  ('06', '6º ano', ['6º ano']), ('07', '7º ano', ['7º ano']), ('08', '8º ano', ['8º ano']), ('09', '9º ano', ['9º ano']),
+  ('12', '1º e 2º ano', ['1º ano', '2º ano']), ('35', '3º ao 5º ano', ['3º ano', '4º ano', '5º ano']),
+  ('15', '1º ao 5º ano', ['1º ano', '2º ano', '3º ano', '4º ano', '5º ano']), ('67', '6º e 7º ano', ['6º ano', '7º ano']),
+  ('89', '8º e 9º ano', ['8º ano', '9º ano']), ('69', '6º ao 9º ano', ['6º ano', '7º ano', '8º ano', '9º ano']))"""
 CATALOG_SQL = f"""
+grades AS (SELECT *, row_number() OVER () AS nth FROM {GRADES_SQL} AS g(k, label, years)),
 catalog AS (
-  SELECT CAST(p_partkey AS VARCHAR) AS code, p_type AS subject, ([{_LABELS}])[p_size % 15 + 1] AS year, ([{_YEARS}])[p_size % 15 + 1] AS years, p_brand AS unit, CAST(p_size AS VARCHAR) AS object,
+  SELECT CAST(p_partkey AS VARCHAR) AS code, p_type AS subject, label AS year, years, p_brand AS unit, CAST(p_size AS VARCHAR) AS object,
          list_distinct([p_partkey % 7 + 1, p_partkey % 5 + 1]) AS skills, p_name AS text, p_partkey AS ord
-  FROM part)"""
+  FROM part JOIN grades ON nth = p_size % 15 + 1)"""

@@ -14,7 +14,7 @@ from plumbline.operators import extract as ox
 from plumbline.operators import report as orp
 from plumbline.operators import validate as ov
 
-from .adapters import ASSESSMENT_SQL, CATALOG_SQL, assessment, catalog, table
+from .adapters import ASSESSMENT_SQL, CATALOG_SQL, GRADES_SQL, assessment, catalog, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,9 +43,9 @@ _PAIR = ", ".join(f"coalesce(max(CASE WHEN year = {y} AND period = 'GERAL' THEN
 
 def _executive(rows: str = "raw") -> str:
     return f"""{_LATEST.format(rows)},
-paired AS (SELECT unit, grade, subject, {_PAIR} FROM {rows} GROUP BY unit, grade, subject),
+paired AS (SELECT unit, grade, subject, min(ord) AS ord, {_PAIR} FROM {rows} GROUP BY unit, grade, subject),
 executive AS (
-  SELECT unit, grade, subject, prof2024, prof2025, diff, CASE WHEN prof2024 <> 0 THEN diff / prof2024 * 100 END AS percent, {_STATUS.format("diff")} AS status, {_TONE.format("diff")} AS tone, unit_name, network, region
+  SELECT unit, grade, subject, ord, prof2024, prof2025, diff, CASE WHEN prof2024 <> 0 THEN diff / prof2024 * 100 END AS percent, {_STATUS.format("diff")} AS status, {_TONE.format("diff")} AS tone, unit_name, network, region
   FROM (SELECT *, prof2025 - prof2024 AS diff FROM paired) JOIN latest USING (unit) WHERE prof2024 IS NOT NULL OR prof2025 IS NOT NULL)"""
 
 
@@ -158,11 +158,6 @@ def priorities(spark, sf_dir):
     return orp.priorities(_compared(spark, sf_dir)).select("unit", "grade", "subject", "priority", "rank")
 
 
-@query()
-def printed_reports(spark, sf_dir):
-    return orp.printed_reports(_compared(spark, sf_dir), "Relatório")
-
-
 @query(f"{_C} SELECT CASE WHEN position IN ('DESTAQUE', 'RECUPERACAO') THEN 'destaques' ELSE 'atencao' END AS bucket, count(*) AS n FROM compared WHERE diff IS NOT NULL GROUP BY ALL")
 def diagnosis_bucket(spark, sf_dir):
     return orp.diagnosis(_compared(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("n"))
@@ -181,7 +176,63 @@ SELECT unit, grade, subject, CASE WHEN position IN ('DESTAQUE', 'RECUPERACAO') T
        WHEN diff > state_diff THEN ' A evolução da escola foi superior à observada no recorte.' ELSE '' END
   || CASE WHEN position = 'ATENCAO' THEN ' Este resultado merece investigação.' ELSE '' END AS sentence FROM said""")
 def diagnosis_text(spark, sf_dir):
-    return orp.diagnosis(_compared(spark, sf_dir))
+    return orp.diagnosis(_compared(spark, sf_dir)).drop("ord")
+
+
+#: Raw rows with whole scores, so that many pairs of years differ by the same and means are short.
+_WHOLE = "whole AS (SELECT * REPLACE (round(score) AS score) FROM raw)"
+_WE = f"WITH {ASSESSMENT_SQL}, {_WHOLE}, {_executive('whole')}"
+_WC = f"{_WE}, {_BENCH.format('')}, {_COMPARED}"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessment(spark, sf_dir).withColumn("score", F.round("score"))
+
+
+def _whole_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = oa.executive(_whole(spark, sf_dir))
+    return oa.against_benchmark(rows, oa.benchmark(rows))
+
+
+@query(f"{_WE} SELECT 'growth' AS list, unit, grade, subject, round(diff, 6) AS diff, row_number() OVER (ORDER BY executive.diff DESC, ord) AS place FROM executive WHERE executive.diff > 1 QUALIFY place <= 8 UNION ALL SELECT 'decline', unit, grade, subject, round(diff, 6), row_number() OVER (ORDER BY executive.diff, ord) AS place FROM executive WHERE executive.diff < -1 QUALIFY place <= 8")
+def rankings_with_ties(spark, sf_dir):
+    rows = oa.executive(_whole(spark, sf_dir))
+    place = lambda df, name, by: df.select(F.lit(name).alias("list"), "unit", "grade", "subject", "diff", F.row_number().over(Window.orderBy(by, "ord")).cast("long").alias("place"))  # noqa: E731  eight rows
+    return rounded(place(oa.growth_ranking(rows), "growth", F.desc("diff")).union(place(oa.decline_ranking(rows), "decline", F.col("diff"))))
+
+
+@query(f"{_WC}, r AS (SELECT *, CASE position WHEN 'PRIORIDADE' THEN 1 WHEN 'ATENCAO' THEN 2 WHEN 'RECUPERACAO' THEN 3 WHEN 'DESTAQUE' THEN 4 ELSE 5 END AS rank FROM compared WHERE has_reference AND diff IS NOT NULL) SELECT unit, grade, subject, row_number() OVER (PARTITION BY unit ORDER BY rank, ord) AS place FROM r")
+def priorities_in_order(spark, sf_dir):
+    ranked = orp.priorities(_whole_compared(spark, sf_dir))
+    return ranked.select("unit", "grade", "subject", F.row_number().over(Window.partitionBy("unit").orderBy("rank", "ord")).cast("long").alias("place"))
+
+
+def _plain(x: str) -> str:
+    """SQL text of a number: DuckDB's shortest digits, exponents between -7 and 21 written out as zeros."""
+    return f"""(CASE WHEN {x} IS NULL THEN '' WHEN {x} = 0 THEN '0' WHEN contains({x}::VARCHAR, 'e') AND abs({x}) >= 0.000001
+      THEN CASE WHEN {x} < 0 THEN '-' ELSE '' END || '0.' || repeat('0', -CAST(split_part({x}::VARCHAR, 'e', 2) AS INTEGER) - 1) || replace(split_part(abs({x})::VARCHAR, 'e', 1), '.', '')
+      ELSE regexp_replace(regexp_replace({x}::VARCHAR, '\\.0(e|$)', '\\1'), 'e-0', 'e-') END)"""
+
+
+@query(f"""{_WC}, text AS (
+  SELECT *, {_plain('prof2024')} AS p24, {_plain('prof2025')} AS p25, CASE WHEN position IN ('DESTAQUE', 'RECUPERACAO') THEN 'destaques' ELSE 'atencao' END AS bucket,
+    CASE position WHEN 'PRIORIDADE' THEN 1 WHEN 'ATENCAO' THEN 2 WHEN 'RECUPERACAO' THEN 3 WHEN 'DESTAQUE' THEN 4 ELSE 5 END AS rank,
+    subject || ' no ' || grade || ' passou de ' || {_N('prof2024')} || ' para ' || {_N('prof2025')} || ' pontos, ' || CASE WHEN diff >= 0 THEN 'avanço' ELSE 'queda' END || ' de ' || {_N('diff')} || ' pontos.'
+    || CASE WHEN gap2024 < 0 AND gap2025 >= 0 THEN ' A escola passou de ' || {_N('gap2024')} || ' pontos abaixo da média das escolas do recorte em 2024 para ' || {_N('gap2025')} || ' pontos acima em 2025.'
+       WHEN gap2025 < 0 AND gap_change > 1 THEN ' A escola reduziu a distância para a média das escolas do recorte em ' || {_N('gap_change')} || ' pontos, mas o resultado permanece ' || {_N('gap2025')} || ' pontos abaixo da média das escolas do recorte.'
+       WHEN gap2025 < 0 THEN ' O resultado permanece ' || {_N('gap2025')} || ' pontos abaixo da média das escolas do recorte.'
+       WHEN diff > state_diff THEN ' A evolução da escola foi superior à observada no recorte.' ELSE '' END
+    || CASE WHEN position = 'ATENCAO' THEN ' Este resultado merece investigação.' ELSE '' END AS said,
+    CASE WHEN diff > 0 THEN '+' WHEN diff < 0 THEN '-' ELSE '' END || {_N('diff')} AS sdiff, CASE WHEN gap2025 > 0 THEN '+' WHEN gap2025 < 0 THEN '-' ELSE '' END || {_N('gap2025')} AS sgap
+  FROM compared)
+SELECT unit, 'Relatório' || chr(10) || 'Escola: ' || any_value(unit_name) || ' — ' || any_value(network) || ' · Região ' || any_value(region) || ' — Cód. ' || unit || chr(10)
+  || chr(10) || 'Resumo por componente e série:' || chr(10) || string_agg('- ' || subject || ' (' || grade || '): ' || coalesce(nullif(p24, ''), '-') || ' -> ' || coalesce(nullif(p25, ''), '-') || ' (' || status || ')', chr(10) ORDER BY ord) || chr(10)
+  || chr(10) || 'Destaques:' || chr(10) || coalesce(string_agg('- ' || said, chr(10) ORDER BY ord) FILTER (WHERE diff IS NOT NULL AND bucket = 'destaques'), '- Nenhum.') || chr(10)
+  || chr(10) || 'Pontos de atenção:' || chr(10) || coalesce(string_agg('- ' || said, chr(10) ORDER BY ord) FILTER (WHERE diff IS NOT NULL AND bucket = 'atencao'), '- Nenhum.') || chr(10)
+  || chr(10) || 'Prioridades para análise:' || chr(10) || coalesce(string_agg('- [' || CASE rank WHEN 1 THEN 'ALTA' WHEN 2 THEN 'ATENÇÃO' WHEN 3 THEN 'MONITORAR' WHEN 4 THEN 'DESTAQUE' ELSE '' END || '] ' || subject || ' (' || grade || '): Variação: ' || sdiff || ' pts · Gap para o recorte: ' || sgap || ' pts', chr(10) ORDER BY rank, ord) FILTER (WHERE has_reference AND diff IS NOT NULL), '- Nenhuma.') AS text
+FROM text GROUP BY unit""")
+def printed_reports(spark, sf_dir):
+    return orp.printed_reports(_whole_compared(spark, sf_dir), "Relatório")
 
 
 @query(f"{_E}, d AS (SELECT least(min(prof2024), min(prof2025)) AS low, greatest(max(prof2024), max(prof2025)) AS high FROM executive) SELECT round(low, 6) AS low, round(high, 6) AS high, round(low - greatest((high - low) * 0.18, 6.0), 6) AS axis_low, round(high + greatest((high - low) * 0.18, 6.0), 6) AS axis_high FROM d")
@@ -372,12 +423,18 @@ def line_clean(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.clean_lines(F.col("text")).alias("cleaned"))
 
 
-@query(f"""WITH {ASSESSMENT_SQL}, {_LATEST.format('raw')}, p AS (SELECT unit, grade, period, subject, max(CASE WHEN year = 2024 THEN score END) AS a, max(CASE WHEN year = 2025 THEN score END) AS b FROM raw GROUP BY ALL),
-c AS (SELECT *, unnest([unit_name, unit, region, grade, subject, period, network]) AS cell, generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS i FROM p JOIN latest USING (unit))
+#: Scores of very different sizes: some units' below 0.001, some above 10,000,000.
+_SIZES = "sized AS (SELECT * REPLACE (score * CASE CAST(unit AS INTEGER) % 5 WHEN 1 THEN 0.000015 WHEN 2 THEN 900000.5 ELSE 1.0 END AS score) FROM raw)"
+
+
+@query(f"""WITH {ASSESSMENT_SQL}, {_SIZES}, {_LATEST.format('sized')}, p AS (SELECT unit, grade, period, subject, max(CASE WHEN year = 2024 THEN score END) AS a, max(CASE WHEN year = 2025 THEN score END) AS b FROM sized GROUP BY ALL),
+d AS (SELECT *, b - a AS diff FROM p), v AS (SELECT *, diff / a * 100 AS percent, {_STATUS.format('diff')} AS status FROM d),
+c AS (SELECT *, unnest([unit_name, unit, region, grade, subject, period, network, {_plain('a')}, {_plain('b')}, {_plain('diff')}, {_plain('percent')}, status]) AS cell, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], 1) AS i FROM v JOIN latest USING (unit))
 SELECT unit, grade, subject, period, string_agg('"' || replace(cell, '"', '""') || '"', ';' ORDER BY i) AS line FROM c GROUP BY unit, grade, subject, period""")
 def csv_cells(spark, sf_dir):
-    lines = orp.csv_lines(oa.detail_comparison(assessment(spark, sf_dir)))
-    return lines.withColumn("line", F.substring_index("line", ";", 7))  # the text cells; engines print doubles differently
+    n = F.col("unit").cast("int") % 5
+    raw = assessment(spark, sf_dir).withColumn("score", F.col("score") * F.when(n == 1, 0.000015).when(n == 2, 900000.5).otherwise(1.0))
+    return orp.csv_lines(oa.detail_comparison(raw)).drop("ord")
 
 
 @query("SELECT doc_id, CASE lang WHEN 'fr' THEN replace(replace(text, 'eau', 'eaux'), 'xx', 'x') WHEN 'de' THEN replace(text, 'ung', 'UNG') ELSE text END AS text FROM documents")
@@ -402,9 +459,9 @@ def first_items(spark, sf_dir):
     return ox.first_items(table(spark, sf_dir, "orders"), [], "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT min(page_id) AS page FROM pages WHERE page_id >= 10 AND contains(html, '<table')")
+@query("SELECT min(page_id) AS page FROM pages WHERE page_id >= 10 AND contains(upper(replace(html, chr(10), ' ')), '<A HREF')")
 def heading_page(spark, sf_dir):
-    return ox.heading_page(table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("text")), "<table", 10)
+    return ox.heading_page(table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.col("html").alias("text")), "<a href", 10)
 
 
 _CODED = """coded AS (
@@ -430,15 +487,15 @@ def dataset_order(spark, sf_dir):
     return _coded(spark, sf_dir).select("ord", "subject", place.cast("long").alias("place"))
 
 
-_GRADE_ROWS = ", ".join(f"('{k}', '{oc.grade_label(k)}', '{'|'.join(oc.grade_years(k))}')" for k in oc.GRADE_KEYS)
+_GRADES = f"g AS (SELECT k, label, array_to_string(years, '|') AS years FROM {GRADES_SQL} AS v(k, label, years))"
 
 
-@query(f"WITH {_CODED}, g(k, label, years) AS (VALUES {_GRADE_ROWS}) SELECT ord, label AS grade_label, years AS grade_years FROM coded LEFT JOIN g ON substring(code, 3, 2) = k")
+@query(f"WITH {_CODED}, {_GRADES} SELECT ord, label AS grade_label, years AS grade_years FROM coded LEFT JOIN g ON substring(code, 3, 2) = k")
 def grade_lookup(spark, sf_dir):
     return oc.with_grades(_coded(spark, sf_dir)).select("ord", "grade_label", F.array_join("grade_years", "|").alias("grade_years"))
 
 
-@query(f"WITH {_CODED}, g(k, label, years) AS (VALUES {_GRADE_ROWS}) SELECT ord FROM coded LEFT JOIN g ON substring(code, 3, 2) = k WHERE label IS DISTINCT FROM CASE WHEN stage = 'Ensino Médio' THEN '1º ano' ELSE label END")
+@query(f"WITH {_CODED}, {_GRADES} SELECT ord FROM coded LEFT JOIN g ON substring(code, 3, 2) = k WHERE label IS DISTINCT FROM CASE WHEN stage = 'Ensino Médio' THEN '1º ano' ELSE label END")
 def grade_label_rule(spark, sf_dir):
     expected = F.when(F.col("stage") == "Ensino Médio", "1º ano").otherwise(F.col("grade_label"))
     return ov.rejected(ov.checked(oc.with_grades(_coded(spark, sf_dir)), [ov.equals_lookup("grade_label", expected)])).select("ord")
@@ -516,7 +573,7 @@ def file_labels(spark, sf_dir):
     return assessment(spark, sf_dir).select(period.alias("period"), tx.file_label(period).alias("file")).distinct()
 
 
-@query(f"{_B}, p AS (SELECT unit, grade, period, subject, max(CASE WHEN year = 2024 THEN score END) AS a, max(CASE WHEN year = 2025 THEN score END) AS b FROM raw GROUP BY ALL ORDER BY unit, grade, period, subject LIMIT 300) SELECT p.unit, p.grade, p.period, p.subject, round(p.b - b.state2025, 6) AS gap2025 FROM p LEFT JOIN bench b ON b.grade = p.grade AND b.subject = p.subject")
+@query(f"{_B}, p AS (SELECT unit, grade, period, subject, max(CASE WHEN year = 2024 THEN score END) AS a, max(CASE WHEN year = 2025 THEN score END) AS b FROM raw GROUP BY unit, grade, period, subject ORDER BY min(ord) LIMIT 300) SELECT p.unit, p.grade, p.period, p.subject, round(p.b - b.state2025, 6) AS gap2025 FROM p LEFT JOIN bench b ON b.grade = p.grade AND b.subject = p.subject")
 def table_cap(spark, sf_dir):
     raw = assessment(spark, sf_dir)
     return rounded(oa.table_rows(oa.detail_comparison(raw), oa.benchmark(oa.executive(raw))).select("unit", "grade", "period", "subject", "gap2025"))
@@ -602,3 +659,169 @@ def array_range_rule(spark, sf_dir):
 def padded_lists(spark, sf_dir):
     numbers = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
     return numbers.select("l_orderkey", ov.padded_list(F.col("n")).alias("numbers"))
+
+
+_LISTED = "listed AS (SELECT (['Ensino ', 'ensino ', 'Água ', 'agua ', 'Zebra ', 'Ênfase ', 'a 0', ''])[CAST(p_partkey % 8 AS INTEGER) + 1] || p_size || (['', 'º ano', ' a 10', 'b'])[CAST(p_partkey % 4 AS INTEGER) + 1] AS label, p_brand AS brand FROM part)"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> dict:
+    n = F.col("p_partkey")
+    start = F.element_at(F.array(*[F.lit(x) for x in ("Ensino ", "ensino ", "Água ", "agua ", "Zebra ", "Ênfase ", "a 0", "")]), (n % 8 + 1).cast("int"))
+    end = F.element_at(F.array(*[F.lit(x) for x in ("", "º ano", " a 10", "b")]), (n % 4 + 1).cast("int"))
+    return {"label": F.concat(start, F.col("p_size").cast("string"), end), "brand": F.col("p_brand")}
+
+
+@query(f"WITH {_LISTED}, v AS (SELECT DISTINCT 'label' AS facet, label AS value FROM listed UNION SELECT 'brand', brand FROM listed), k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(value, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN right('000000000000000' || ltrim(x, '0'), 15) ELSE x END), '') AS key FROM v) SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY key COLLATE pt, value) AS INTEGER) AS place FROM k")
+def facet_places(spark, sf_dir):
+    return oc.option_places(table(spark, sf_dir, "part"), _listed(spark, sf_dir))
+
+
+@query(f"WITH {_LISTED}, v AS (SELECT DISTINCT 'label' AS facet, label AS value FROM listed UNION SELECT 'brand', brand FROM listed) SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY value COLLATE pt, value) AS INTEGER) AS place FROM v")
+def option_places(spark, sf_dir):
+    return oc.option_places(table(spark, sf_dir, "part"), _listed(spark, sf_dir), numeric=False)
+
+
+#: A letter for each order, over the blocks of accented Latin, Greek, Cyrillic, extended Latin and extended Greek letters.
+_BLOCKS = [(0x00C0, 0x0250), (0x0386, 0x03D0), (0x0400, 0x0483), (0x048A, 0x0530), (0x1E00, 0x1F00), (0x1F00, 0x1FB0)]
+_LETTER_SQL = "CASE " + " ".join(f"WHEN k < {sum(b - a for a, b in _BLOCKS[: i + 1])} THEN k - {sum(b - a for a, b in _BLOCKS[:i])} + {a}" for i, (a, _) in enumerate(_BLOCKS)) + " END"
+_LETTERS = f"letters AS (SELECT o_orderkey, 'a' || chr(CAST({_LETTER_SQL} AS INTEGER)) || 'z ' || o_orderpriority AS t FROM (SELECT *, o_orderkey % {sum(b - a for a, b in _BLOCKS)} AS k FROM orders))"
+
+
+def _char(code):
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, code, done = F.col("o_orderkey") % sum(b - a for a, b in _BLOCKS), F.lit(None).cast("long"), 0
+    for a, b in _BLOCKS:
+        code = F.coalesce(code, F.when(k < done + b - a, k - done + a))
+        done += b - a
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("a"), _char(code), F.lit("z "), F.col("o_orderpriority")).alias("t"))
+
+
+@query(f"WITH {_LETTERS} SELECT o_orderkey, lower(strip_accents(t)) AS folded FROM letters")
+def fold_letters(spark, sf_dir):
+    return _letters(spark, sf_dir).select("o_orderkey", tx.catalog_key(F.col("t")).alias("folded"))
+
+
+@query(f"WITH {_LETTERS} SELECT o_orderkey, t = nfc_normalize(t) AND contains(lower(strip_accents(t)), lower(strip_accents(t))) AS found FROM letters")
+def literal_letters(spark, sf_dir):
+    """Every letter is found by the key of its text, and composed texts stay."""
+    rows = _letters(spark, sf_dir)
+    composed = F.col("t") == tx.composed(F.col("t"))
+    return rows.select("o_orderkey", (composed & F.contains(tx.search_key(F.col("t")), tx.search_key(tx.decomposed(F.col("t"))))).alias("found"))
+
+
+@query("WITH m AS (SELECT o_orderkey, chr(CAST(97 + o_orderkey % 26 AS INTEGER)) || chr(CAST(768 + o_orderkey // 26 % 112 AS INTEGER)) || chr(CAST(CASE WHEN o_orderkey % 3 = 0 THEN 803 ELSE 769 END AS INTEGER)) || '  x' AS t FROM orders) SELECT o_orderkey, replace(nfc_normalize(t), '  ', ' ') AS cleaned FROM m")
+def compose_marks(spark, sf_dir):
+    n = F.col("o_orderkey")
+    t = F.concat(_char(97 + n % 26), _char(768 + F.floor(n / 26) % 112), _char(F.when(n % 3 == 0, 803).otherwise(769)), F.lit("  x"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.clean_lines(t).alias("cleaned"))
+
+
+_MATCH = "(qu|er)[a-z]+"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{_MATCH}') AS m, string_split_regex(text, '{_MATCH}') AS p FROM documents),
+x AS (SELECT doc_id, unnest(m) AS match, unnest(p[1:len(m)]) AS piece, unnest(range(len(m))) AS match_no FROM t),
+o AS (SELECT doc_id, match_no, match, CAST(sum(length(piece) + length(match)) OVER (PARTITION BY doc_id ORDER BY match_no) - length(match) AS BIGINT) AS start FROM x),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS page FROM documents),
+s AS (SELECT doc_id, page, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM l)
+SELECT o.doc_id, CAST(match_no AS INTEGER) AS match_no, o.start, match, CAST(s.page AS INTEGER) AS page FROM o ASOF JOIN s ON o.doc_id = s.doc_id AND o.start >= s.start""")
+def matches_on_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line"))
+    return ox.matches_on_pages(lines, ["doc_id"], "page", "line", _MATCH).select("doc_id", "match_no", F.col("start").cast("long").alias("start"), "match", "page")
+
+
+_BOXES = "boxes AS (SELECT s_suppkey, (['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])[CAST(s_suppkey % 5 AS INTEGER) + 1] AS scope, CAST(s_suppkey * 71 % 2000 AS DOUBLE) AS top, CAST(s_suppkey * 71 % 2000 + s_suppkey % 90 AS DOUBLE) AS bottom, s_suppkey * 3701 % 300000 AS x0, s_suppkey * 3701 % 300000 + 40000 AS x1 FROM supplier)"
+
+
+@query(f"WITH {_BOXES}, p AS (SELECT o_orderkey, o_orderpriority AS scope, CAST(date_diff('day', DATE '1995-01-01', o_orderdate) AS DOUBLE) AS y, o_totalprice AS x FROM orders) SELECT o_orderkey, s_suppkey FROM p JOIN boxes b ON b.scope = p.scope AND y >= top + 1 AND y < bottom - 1 AND x >= x0 AND x <= x1")
+def boxes_join(spark, sf_dir):
+    n = F.col("s_suppkey")
+    scope = F.element_at(F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]), (n % 5 + 1).cast("int"))
+    top, left = (n * 71 % 2000).cast("double"), (n * 3701 % 300000).cast("double")
+    boxes = table(spark, sf_dir, "supplier").select("s_suppkey", scope.alias("scope"), top.alias("top"), (top + n % 90).alias("bottom"), left.alias("left"), (left + 40000).alias("right"))
+    day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
+    points = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("scope"), day.alias("y"), F.col("o_totalprice").alias("x"))
+    return ox.in_boxes(points, boxes, ["scope"], "y", "x", (60.0, 40000.0), 1.0).select("o_orderkey", "s_suppkey")
+
+
+_GAP = "CASE WHEN y - lag(y) OVER (PARTITION BY user_id ORDER BY y) > 86400 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH e AS (SELECT user_id, CAST(epoch(ts) AS DOUBLE) AS y, event_type || CASE WHEN event_id % 4 = 0 THEN '/' WHEN event_id % 4 = 1 THEN ' ' ELSE '' END AS line FROM events),
+i AS (SELECT user_id, y, rtrim(line) AS line, {_GAP} AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY y) AS paragraph FROM i)
+SELECT user_id, CAST(paragraph AS BIGINT) AS paragraph, min(y) AS top, replace(string_agg(line, chr(10) ORDER BY y, line), '/' || chr(10), '/') AS line FROM g GROUP BY user_id, paragraph""")
+def paragraph_fold(spark, sf_dir):
+    tail = F.when(F.col("event_id") % 4 == 0, "/").when(F.col("event_id") % 4 == 1, " ").otherwise("")
+    y = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    lines = table(spark, sf_dir, "events").select("user_id", y.alias("y"), F.concat("event_type", tail).alias("line"))
+    return ox.paragraphs(lines, ["user_id"], "y", 86400.0, "line")
+
+
+#: Twenty-three scopes, each with rules of its own: parameters follow the scope's number.
+_SCOPES = 23
+_SCOPE_RULES = [(f"s{i}", *rule) for i in range(_SCOPES) for rule in (
+    (1, "type", "required", "kind", [], "reject"), (2, "code", "pattern", "code", [f"^EF[0-9]{{2}}LP[0-{i % 10}][0-9]$"], "reject"), (3, "size", "between", "number", ["1", str(20 + i)], "reject"),
+    (4, "stage", "known", "stage", ["Ensino Médio"] if i % 4 == 0 else ["Ensino Médio", "Ensino Fundamental"], "warn"), (5, "skill", "constant", "kind", ["habilidade"], "warn" if i % 2 else "reject"),
+    (6, "grade", "label", "grade", ["code", "3", "01", "1º ano", "12", "1º e 2º ano", "35", "3º ao 5º ano"], "warn"), (7, "digit", "digit", "first", ["code", "3"], "reject"), (8, "end", "ending", "area", ["R", "L", "Y"], "warn"),
+)]
+_RULED = """ruled AS (SELECT *, 's' || (ord % 23) AS scope, ord % 23 AS i, CASE WHEN ord % 7 = 0 THEN '0' ELSE substring(code, 3, 1) END AS first,
+  CASE substring(code, 3, 2) WHEN '01' THEN '1º ano' WHEN '12' THEN '1º e 2º ano' WHEN '35' THEN '3º ano' WHEN '89' THEN '8º e 9º ano' END AS grade FROM coded),
+broken AS (SELECT *, [
+  CASE WHEN coalesce(trim(kind), '') = '' THEN 'type' END, CASE WHEN coalesce(regexp_matches(code, '^EF[0-9][0-9]LP[0-' || (i % 10) || '][0-9]$'), false) THEN NULL ELSE 'code' END,
+  CASE WHEN number BETWEEN 1 AND 20 + i THEN NULL ELSE 'size' END, CASE WHEN i % 2 = 0 AND kind IS DISTINCT FROM 'habilidade' THEN 'skill' END, CASE WHEN coalesce(substring(code, 3, 1) = first, false) THEN NULL ELSE 'digit' END] AS bad,
+  [CASE WHEN i % 4 = 0 AND stage <> 'Ensino Médio' THEN 'stage' END, CASE WHEN i % 2 = 1 AND kind IS DISTINCT FROM 'habilidade' THEN 'skill' END,
+  CASE WHEN coalesce(CASE substring(code, 3, 2) WHEN '01' THEN '1º ano' WHEN '12' THEN '1º e 2º ano' WHEN '35' THEN '3º ao 5º ano' END = grade, false) THEN NULL ELSE 'grade' END, CASE WHEN right(trim(area), 1) IN ('R', 'L', 'Y') THEN NULL ELSE 'end' END] AS odd FROM ruled),
+judged AS (SELECT *, list_filter(bad, lambda x: x IS NOT NULL) AS errors, list_filter(odd, lambda x: x IS NOT NULL) AS warnings FROM broken)"""
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.substring("code", 3, 2)
+    first = F.when(F.col("ord") % 7 == 0, "0").otherwise(F.substring("code", 3, 1))
+    grade = F.when(key == "01", "1º ano").when(key == "12", "1º e 2º ano").when(key == "35", "3º ano").when(key == "89", "8º e 9º ano")
+    records = _coded(spark, sf_dir).withColumns({"scope": F.concat(F.lit("s"), (F.col("ord") % _SCOPES).cast("string")), "first": first, "grade": grade})
+    rules = spark.createDataFrame(_SCOPE_RULES, "scope string, seq int, rule string, kind string, column string, params array<string>, severity string")
+    return ov.rules_by_scope(records, rules, "scope", ["kind", "code", "number", "stage", "grade", "first", "area"])
+
+
+@query(f"WITH {_CODED}, {_RULED} SELECT ord, scope, errors, warnings FROM judged")
+def rules_by_scope(spark, sf_dir):
+    return _ruled(spark, sf_dir).select("ord", "scope", "errors", "warnings")
+
+
+@query(f"WITH {_CODED}, {_RULED} SELECT scope, count(*) AS total, count(*) FILTER (len(errors) = 0) AS accepted, count(*) FILTER (len(errors) > 0) AS rejected, count(*) FILTER (len(warnings) > 0) AS warned, CASE WHEN count(*) FILTER (len(errors) > 0) = 0 THEN 'valido' ELSE 'revisao_necessaria' END AS status FROM judged GROUP BY scope")
+def scope_reports(spark, sf_dir):
+    return ov.scope_totals(_ruled(spark, sf_dir), "scope")
+
+
+@query(f"WITH {_CODED}, {_GRADES} SELECT ord, NOT coalesce(years = CASE WHEN ord % 3 = 0 THEN '1º ano|2º ano' ELSE years END, years IS NULL AND ord % 3 <> 0) AS wrong_years, NOT coalesce(TRY_CAST(substring(code, 3, 1) AS INTEGER) = number % 4, false) AS wrong_digit FROM coded LEFT JOIN g ON substring(code, 3, 2) = k")
+def code_rules(spark, sf_dir):
+    records = oc.with_grades(_coded(spark, sf_dir)).withColumn("digit", F.col("number") % 4)
+    records = records.withColumn("years", F.when(F.col("ord") % 3 == 0, F.array(F.lit("1º ano"), F.lit("2º ano"))).otherwise(F.col("grade_years")))
+    out = ov.checked(records, [ov.array_equals("years", F.col("grade_years")), ov.digit_equals("digit", "code", 3)])
+    return out.select("ord", F.array_contains("errors", "years:years").alias("wrong_years"), F.array_contains("errors", "digit:digit").alias("wrong_digit"))
+
+
+@query(f"WITH {_CODED}, n AS (SELECT *, row_number() OVER (PARTITION BY subject, number ORDER BY ord) AS k FROM coded) SELECT ord, coalesce(number NOT BETWEEN 1 AND 40, true) AS outside, k > 1 AS repeated FROM n")
+def numbered_once(spark, sf_dir):
+    out = ov.checked(_coded(spark, sf_dir), ov.numbered_once("number", 40, ["ord"], ["subject"]))
+    return out.select("ord", F.array_contains("errors", "number:number").alias("outside"), F.array_contains("errors", "repeated:number").alias("repeated"))
+
+
+@query("SELECT s_suppkey, s_name AS a, 'x;' || s_nationkey || '\"y' AS b, '' AS c, CAST(s_acctbal AS VARCHAR) AS d FROM supplier")
+def split_cells(spark, sf_dir):
+    """Lines with quotes that open inside cells, doubled quotes and semicolons inside quotes, cut into the cells they were made of."""
+    from plumbline.sources.files import split_cells as cut
+
+    line = F.concat_ws(";", F.concat(F.substring("s_name", 1, 3), F.lit('"'), F.expr("substring(s_name, 4)"), F.lit('"')), F.concat(F.lit('"x;'), F.col("s_nationkey").cast("string"), F.lit('""y"')), F.lit('""'), F.col("s_acctbal").cast("string"))
+    cells = table(spark, sf_dir, "supplier").select("s_suppkey", cut(line).alias("c"))
+    return cells.select("s_suppkey", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("abcd")])
+
+
+@query("WITH c AS (SELECT p_type, CASE WHEN p_size > 20 THEN p_brand END AS unit, CASE WHEN p_type LIKE 'ECONOMY%' THEN p_name END AS field FROM part) SELECT p_type, count(unit) > 0 AS any_unit, false AS any_object, count(field) > 0 AS any_field FROM c GROUP BY p_type")
+def existence_by_subject(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_type", F.when(F.col("p_size") > 20, F.col("p_brand")).alias("unit"), F.lit(None).cast("string").alias("object"), F.when(F.col("p_type").startswith("ECONOMY"), F.col("p_name")).alias("field"))
+    return oc.existence_flags(part, ["p_type"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,18 +29,37 @@ def damaged_files(spark: SparkSession, paths: list[str]) -> list[str]:
     return [r["f"] for r in lines.groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") > DAMAGE).collect()]
 
 
+def split_cells(line: Column) -> Column:
+    """The cells of a line between semicolons: a quote anywhere opens or closes quoting and is dropped, two inside quotes are one.
+
+    Pieces between quotes are outside and inside in turn. Semicolons inside are set aside before the line is cut; an empty
+    piece outside, between two quotes, is a quote that stands for itself.
+    """
+    pieces = F.split(F.replace(line, F.lit("\x01"), F.lit("\x01a")), '"', -1)
+
+    def read(all_: Column) -> Column:
+        inner = lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(";"), F.lit("\x01b"))).when((p == "") & (i > 0) & (i < F.size(all_) - 1), '"').otherwise(p)
+        cells = F.split(F.array_join(F.transform(all_, inner), ""), ";", -1)
+        return F.transform(cells, lambda c: F.replace(F.replace(c, F.lit("\x01b"), F.lit(";")), F.lit("\x01a"), F.lit("\x01")))
+
+    return F.transform(F.array(pieces), read)[0]
+
+
 def read_extract(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     """Raw assessment rows of yearly extracts {year: path}, as `operators.assessment` takes them.
 
-    Semicolon-separated, quoted, header-driven; unknown columns are not read. Rows without unit, name or score go. ord
+    Semicolon-separated, quoted (`split_cells`), header-driven; unknown columns are not read. Rows without unit, name or score go. ord
     follows the years in the order given, then the place in the file. A path is one file.
     """
     out = None
     for i, (year, path) in enumerate(paths.items()):
         encoding = "windows-1252" if damaged_files(spark, [path]) else "UTF-8"
-        raw = spark.read.options(sep=";", quote='"', escape='"', header=True, encoding=encoding).csv(path)
-        by_name = {c.strip().lower().lstrip("﻿"): c for c in raw.columns}
-        text = {name: clean_text(F.col(f"`{by_name[c]}`")) if c in by_name else F.lit("") for c, name in EXTRACT.items()}
+        # lines whole, as one column that the header line names; split_cells reads quotes as the site does
+        raw = spark.read.options(sep="\x1f", quote="", header=True, encoding=encoding).csv(path)
+        head = spark.range(1).select(split_cells(F.lit(raw.columns[0])).alias("c")).first()["c"]
+        raw = raw.withColumnRenamed(raw.columns[0], "line").where(F.trim("line") != "").select(split_cells(F.col("line")).alias("cells"))
+        place = {c.strip().lower().lstrip("\ufeff"): i for i, c in enumerate(head)}
+        text = {name: clean_text(F.get("cells", F.lit(place[c]))) if c in place else F.lit("") for c, name in EXTRACT.items()}
         rows = raw.select(
             F.lit(year).alias("year"),
             or_default(text["network"]).alias("network"),
@@ -77,6 +96,16 @@ def source_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_sources(spark: SparkSession, path: str, schema: str, root: str = "") -> DataFrame:
+    """(path, raw, data): each source's path below root with forward slashes, its whole text, and that parsed as JSON.
+
+    A document that is no JSON of this schema has null data.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    name = F.replace(F.replace("path", F.lit("\\"), F.lit("/")), F.lit(root), F.lit("")) if root else F.replace("path", F.lit("\\"), F.lit("/"))
+    return files.select(name.alias("path"), "raw", F.from_json("raw", schema).alias("data"))
+
+
 def write_variants(executive: DataFrame, path: str) -> None:
     """The executive table, one folder per period variant, named without accents in lower case."""
     executive.withColumn("variant", file_label(F.col("variant"))).write.mode("overwrite").partitionBy("variant").parquet(path)
@@ -106,8 +135,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv_export(lines: DataFrame, header: list[str], path: str) -> None:
-    """A download: byte order mark and header first, then the lines in order, as text in part files whose names are in order."""
+    """A download: byte order mark and header first, then the lines in input order, as text in part files whose names are in order."""
     spark = lines.sparkSession
-    head = spark.range(1).select(F.lit(0).alias("part"), F.lit("").alias("k"), F.lit("\ufeff" + ";".join(header)).alias("value"))
-    body = lines.select(F.lit(1).alias("part"), F.concat_ws("\n", "unit", "grade", "subject", "period").alias("k"), F.col("line").alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.lit("\ufeff" + ";".join(header)).alias("value"))
+    body = lines.select(F.lit(1).alias("part"), F.col("ord").alias("k"), F.col("line").alias("value"))
     head.union(body).orderBy("part", "k").select("value").write.mode("overwrite").text(path)

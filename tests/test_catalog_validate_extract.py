@@ -141,3 +141,108 @@ def test_forward_fill_skips_empty_text(spark):
 
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, ""), (1, 3, None), (2, 1, "")], "s int, n int, v string")
     assert [r["f"] for r in forward_fill(rows, ["s"], ["n"], F.col("v"), "f").orderBy("s", "n").collect()] == ["a", "a", "a", None]
+
+
+def test_options_have_places(spark):
+    df = spark.createDataFrame([("Ensino 10", "b"), ("Ensino 9", None), ("Água", ""), ("Zebra", "b"), ("Zebra", "a")], "v string, w string")
+    got = oc.option_places(df, {"v": F.col("v"), "w": F.col("w")}).orderBy("facet", "place").collect()
+    assert [(r["facet"], r["value"], r["place"]) for r in got] == [("v", "Água", 1), ("v", "Ensino 9", 2), ("v", "Ensino 10", 3), ("v", "Zebra", 4), ("w", "a", 1), ("w", "b", 2)]
+    assert oc.option_places(df.limit(0), {"v": F.col("v")}).count() == 0
+
+
+def test_gaps_beside_a_stray_number(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 4), ("a", 4), ("a", None), ("b", 2_000_000_000), ("b", 1_999_999_998), ("c", -3), ("d", None)], "p string, n int")
+    assert sorted(map(tuple, ov.sequence_gaps(rows.where("p <> 'b'"), ["p"], "n").collect())) == [("a", 2), ("a", 3)]
+    near = rows.where("p = 'b'").union(spark.range(1, 6).selectExpr("'b'", "cast(id as int)"))
+    upto = ov.sequence_gaps(near, ["p"], "n", 7).collect()
+    assert sorted(r["missing"] for r in upto) == [6, 7]
+    assert sorted(map(tuple, ov.sequence_gaps(rows.where("p in ('a', 'c')"), ["p"], "n", 2).collect())) == [("a", 2), ("c", 1), ("c", 2)]
+
+
+def test_numbers_once_years_and_digits(spark):
+    rows = spark.createDataFrame([(0, 1, ["a"], "EF1"), (1, 1, ["b"], "EF2"), (2, 9, None, "EF9"), (3, None, ["a"], None)], "i int, n int, y array<string>, c string")
+    out = ov.checked(rows, [*ov.numbered_once("n", 5, ["i"]), ov.array_equals("y", F.array(F.lit("a"))), ov.digit_equals("n", "c", 3)])
+    assert {r["i"]: r["errors"] for r in out.collect()} == {0: [], 1: ["repeated:n", "years:y", "digit:n"], 2: ["number:n", "years:y"], 3: ["number:n", "digit:n"]}
+
+
+def test_guard_runs_nothing_before_the_action(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a"), (3, "b")], "k int, v string")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    plan = ov.guarded_enrichment(left, right, "k", "v")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert {r["v"] for r in plan.collect()} == {None}
+
+
+def test_rules_by_scope(spark):
+    records = spark.createDataFrame([("a", "x1", 5), ("a", None, 5), ("b", "x1", 50), ("c", "zz", 1)], "s string, code string, n int")
+    rows = [("a", 1, "code", "pattern", "code", ["^x[0-9]$"], "reject"), ("a", 2, "n", "between", "n", ["1", "10"], "warn"), ("b", 1, "n", "between", "n", ["1", "10"], "warn"), ("b", 2, "code", "known", "code", ["y"], "reject"), ("b", 0, "none", "required", "other", [], "reject")]
+    schema = "scope string, seq int, rule string, kind string, column string, params array<string>, severity string"
+    out = ov.rules_by_scope(records, spark.createDataFrame(rows, schema), "s", ["code", "n"])
+    assert {(r["s"], r["code"]): (r["errors"], r["warnings"]) for r in out.collect()} == {("a", "x1"): ([], []), ("a", None): (["code"], []), ("b", "x1"): (["none", "code"], ["n"]), ("c", "zz"): ([], [])}
+    assert out.columns == ["s", "code", "n", "errors", "warnings"]
+    totals = {r["scope"]: (r["total"], r["rejected"], r["status"]) for r in ov.scope_totals(out, "s").collect()}
+    assert totals == {"a": (2, 1, ov.REVIEW), "b": (1, 1, ov.REVIEW), "c": (1, 0, ov.VALID)}
+    with pytest.raises(Exception, match="no such kind"):
+        ov.rules_by_scope(records, spark.createDataFrame([("a", 1, "q", "magic", "code", [], "warn")], schema), "s", ["code"]).collect()
+
+
+def test_publication_is_all_or_nothing(spark, tmp_path):
+    from pyspark.sql.functions import udf
+
+    good = ov.checked(spark.createDataFrame([("a",), ("b",)], "t string"), ov.required("t"))
+    data, report = f"{tmp_path}/d", f"{tmp_path}/r"
+    assert ov.write_if_valid(good, None, data, report) and spark.read.parquet(data).count() == 2
+    broken = ov.checked(spark.range(3).select(F.when(F.col("id") < 2, "x").otherwise(F.raise_error(F.lit("lost")).cast("string")).alias("t")), ov.required("t"))
+    with pytest.raises(Exception, match="lost"):
+        ov.write_if_valid(broken, None, data, report)
+    assert {r["t"] for r in spark.read.parquet(data).collect()} == {"a", "b"}
+    assert not ov.write_if_valid(good.union(ov.checked(spark.createDataFrame([("",)], "t string"), ov.required("t"))), None, data, report)
+    assert spark.read.parquet(data).count() == 2 and spark.read.json(report).first()["rejected"] == 1
+    assert ov.write_if_valid(good.limit(1), None, data, report, check_only=True) and spark.read.parquet(data).count() == 2
+    assert ov.write_if_valid(good.where("t = 'b'"), None, data, report) and [r["t"] for r in spark.read.parquet(data).collect()] == ["b"]
+    calls = spark.sparkContext.accumulator(0)
+    counted = udf(lambda t: calls.add(1) or t)
+    ov.write_if_valid(good.withColumn("t", counted.asNondeterministic()("t")), None, data, report)
+    assert calls.value == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["d", "r"]
+
+
+def test_points_in_boxes(spark):
+    import random
+
+    rng = random.Random(5)
+    points = [(i, i % 3, rng.uniform(-50, 900), rng.choice([rng.uniform(-50, 600), 100.0, 200.0])) for i in range(400)] + [(400, 1, None, 5.0)]
+    boxes = [(i, i % 3, a, a + rng.uniform(-5, 300), b, b + rng.uniform(-2, 250)) for i in range(60) for a, b in [(rng.choice([rng.uniform(-60, 800), 100.0]), rng.choice([rng.uniform(-60, 500), 100.0]))]] + [(60, 0, None, 1.0, 0.0, 1.0)]
+    p, b = spark.createDataFrame(points, "i int, s int, y double, x double"), spark.createDataFrame(boxes, "j int, s int, top double, bottom double, left double, right double")
+    want = {(i, j) for i, s, y, x in points for j, t, top, bottom, left, right in boxes if s == t and y is not None and top is not None and top + 1 <= y < bottom - 1 and left <= x <= right}
+    out = ox.in_boxes(p, b, ["s"], "y", "x", (70.0, 110.0), 1.0)
+    rows = [(r["i"], r["j"]) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 50
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paragraphs(spark):
+    lines = spark.createDataFrame([(1, 10.0, "Análise linguística/ "), (1, 20.0, " semiótica "), (1, 30.0, "fim"), (1, 60.0, "novo"), (2, 5.0, None), (2, 9.0, "b")], "p int, y double, t string")
+    got = [tuple(r) for r in ox.paragraphs(lines, ["p"], "y", 18.0, "t").orderBy("p", "paragraph").collect()]
+    assert got == [(1, 0, 10.0, "Análise linguística/semiótica\nfim"), (1, 1, 60.0, "novo"), (2, 0, 5.0, "b")]
+
+
+def test_matches_over_pages(spark):
+    import re
+
+    pages = spark.createDataFrame([(1, 1, "uma (EF01) é"), (1, 2, "😀 quebra (EF"), (1, 3, "02) e (EF03)"), (2, 7, None), (2, 9, "(EF04)")], "d int, p int, t string")
+    out = {(r["d"], r["match"]): (r["start"], r["end"], r["page"], r["n"]) for r in ox.matches_on_pages(pages, ["d"], "p", "t", r"\(EF\n?([0-9]+)\)", ["n"]).collect()}
+    text = "uma (EF01) é\n😀 quebra (EF\n02) e (EF03)"
+    want = {(1, m[0]): (m.start(), m.end()) for m in re.finditer(r"\(EF\n?([0-9]+)\)", text)} | {(2, "(EF04)"): (1, 7)}
+    assert {k: v[:2] for k, v in out.items()} == want
+    assert {k: v[2:] for k, v in out.items()} == {(1, "(EF01)"): (1, "01"), (1, "(EF\n02)"): (2, "02"), (1, "(EF03)"): (3, "03"), (2, "(EF04)"): (9, "04")}
+
+
+def test_headings(spark):
+    pages = spark.createDataFrame([(1, "LINGUAGENS E SUAS \nTECNOLOGIAS"), (2, "Matemática\ne suas"), (3, None)], "page int, text string")
+    assert ox.heading_page(pages, "linguagens e suas tecnologias", folded=True).first()["page"] == 1
+    assert ox.heading_page(pages, "MATEMÁTICA E", 2).first()["page"] == 2
+    assert ox.heading_page(pages, "matematica e", folded=True).first()["page"] == 2
+    for args in (("LINGUAGENS", 2), ("none", 0)):
+        with pytest.raises(Exception, match="not found from page"):
+            ox.heading_page(pages, *args).collect()

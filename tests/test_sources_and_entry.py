@@ -92,3 +92,62 @@ def test_entry(spark, sf_dir):
     assert set(e.oracle_sql()) <= set(e.queries())
     whole = all(importlib.util.find_spec(m) for m in ("plumbline.llm", "corpus_pipeline"))
     assert ("pipeline" in e.queries()) == whole
+
+
+def cells_by_hand(line):
+    """Character by character: a quote toggles, two inside quotes are one."""
+    out, cell, inside, i = [], "", False, 0
+    while i < len(line):
+        c = line[i]
+        if c == '"' and inside and line[i + 1 : i + 2] == '"':
+            cell += '"'
+            i += 1
+        elif c == '"':
+            inside = not inside
+        elif c == ";" and not inside:
+            out.append(cell)
+            cell = ""
+        else:
+            cell += c
+        i += 1
+    return [*out, cell]
+
+
+def test_cells_of_lines(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    lines = ['ab"cd;e"f', "", ";", '"a""b";c', '""', '""""', '"""', 'a"""b;c', '"open;a', "x\x01a;y\x01b", *("".join(x) for n in range(1, 7) for x in itertools.product('";a', repeat=n))]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", files.split_cells(F.col("x")).alias("c")).collect()
+    assert {r["x"]: r["c"] for r in got} == {x: cells_by_hand(x) for x in lines}
+    assert cells_by_hand('ab"cd;e"f') == ["abcd;ef"]
+
+
+def test_extract_with_quotes_inside_cells(spark, tmp_path):
+    rows = ["﻿" + HEADER, '1;1;Rede;3;10;ESC"OLA; A"B;9º Ano EF;1;GERAL;1;MAT;1,5', "", '1;1;Rede;3;11;"X ""Y""";9º Ano EF;1;GERAL;1;MAT;0x10;extra', "1;1;Rede;3;12;curta"]
+    (tmp_path / "a.csv").write_text("\n".join(rows), encoding="utf-8")
+    got = files.read_extract(spark, {2024: str(tmp_path / "a.csv")}).orderBy("ord").collect()
+    assert [(r["unit"], r["unit_name"], r["score"]) for r in got] == [("10", "ESCOLA; AB", 1.5), ("11", 'X "Y"', 16.0)]
+
+
+def test_sources_raw_and_parsed(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/a.json").write_text('{"n": 1,\n "m": ["x"]}')
+    (tmp_path / "s/b.json").write_text("no json")
+    got = {r["path"].rsplit("/", 1)[1]: (r["raw"], r["data"] and (r["data"]["n"], r["data"]["m"])) for r in files.read_sources(spark, f"{tmp_path}/s", "n int, m array<string>").collect()}
+    assert got == {"a.json": ('{"n": 1,\n "m": ["x"]}', (1, ["x"])), "b.json": ("no json", (None, None))}
+    files.write_json(spark.range(2), f"{tmp_path}/j")
+    assert sorted(x for f in (tmp_path / "j").glob("part-*") for x in f.read_text().split("\n") if x) == ['{"id":0}', '{"id":1}']
+
+
+def test_ties_stand_in_input_order(spark):
+    rows = [(y, "n", "r", u, u, "g", p, "s", sc, o) for o, (y, u, p, sc) in enumerate([(2024, "z", "GERAL", 1.0), (2024, "a", "GERAL", 1.0), (2024, "m", "GERAL", 5.0), (2025, "m", "GERAL", 9.0), (2025, "a", "GERAL", 5.0), (2025, "z", "GERAL", 5.0), (2025, "late", "GERAL", 1.0)])]
+    raw = spark.createDataFrame(rows, "year int, network string, region string, unit string, unit_name string, grade string, period string, subject string, score double, ord long")
+    pairs = oa.executive(raw)
+    assert [r["unit"] for r in oa.growth_ranking(pairs).collect()] == ["z", "a", "m"]
+    assert [r["unit"] for r in oa.growth_ranking(pairs, 2).collect()] == ["z", "a"]
+    detail = oa.detail_comparison(raw)
+    assert {r["unit"] for r in oa.table_rows(detail, oa.benchmark(pairs), 2).collect()} == {"z", "a"}
+    ranked = orp.priorities(oa.against_benchmark(pairs, oa.benchmark(pairs)))
+    assert [r["unit"] for r in ranked.orderBy("rank", "ord").collect()][-2:] == ["a", "m"] or ranked.count() == 3

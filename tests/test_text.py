@@ -7,7 +7,7 @@ def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize(("value", "expected"), [("1.234,5", 1234.5), ("214.7", 214.7), ("", None), (None, None), ("0x10", None), ("1d", None), ("Infinity", None), ("1e3", 1000.0), ("  7 ", 7.0), ("1,2,3", None)])
+@pytest.mark.parametrize(("value", "expected"), [("1.234,5", 1234.5), ("214.7", 214.7), ("", None), (None, None), ("0x10", 16.0), ("1d", None), ("Infinity", None), ("1e3", 1000.0), ("  7 ", 7.0), ("1,2,3", None)])
 def test_parse_number(spark, value, expected):
     assert one(spark, tx.parse_number, value) == expected
 
@@ -54,3 +54,47 @@ def test_labels(spark):
     assert one(spark, tx.slug, "Língua Inglesa!") == "lingua-inglesa"
     assert one(spark, tx.csv_cell, 'a"b') == '"a""b"'
     assert one(spark, tx.csv_cell, None) == '""'
+
+
+def test_folding_agrees_on_every_code_point(spark):
+    """The key of a text holds the key of the same text as a literal; the literal's own folding differs only where Unicode versions do."""
+    import unicodedata as u
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"x{chr(c)}y") for c in points], "c int, t string")
+    out = df.select("c", "t", tx.catalog_key(F.col("t")).alias("k"), tx.composed(F.col("t")).alias("n"), tx.decomposed(F.col("t")).alias("d"), tx.search_key(F.col("t")).alias("s"))
+    assert out.where("k is null").count() == 0
+    rows = out.collect()
+    old = {r["c"] for r in rows if u.category(chr(r["c"])) != "Cn"}
+    assert all(r["n"] == u.normalize("NFC", r["t"]) and r["d"] == u.normalize("NFD", r["t"]) for r in rows if r["c"] in old)
+    assert all(r["k"] == tx.fold(r["t"]) and r["s"] == tx.search_fold(r["t"]) for r in rows if r["c"] in old)
+    twice = spark.createDataFrame([(tx.fold(r["t"]), r["k"]) for r in rows], "f string, k string")
+    assert twice.where(tx.catalog_key(F.col("f")) != F.col("k")).count() == 0
+
+
+def test_search_finds_accents_of_all_scripts(spark):
+    df = spark.createDataFrame([("Việt Nam",), ("ΆΛΦΑ βήτα",), ("ё й",)], "t string")
+    found = lambda q: [r["t"] for r in df.where(tx.holds(F.col("t"), tx.catalog_key, q)).collect()]
+    assert found("Việt") == found("viet nam") == ["Việt Nam"]
+    assert found("αλφα ΒΗΤΑ") == ["ΆΛΦΑ βήτα"] and found("е и") == ["ё й"]
+
+
+@pytest.mark.parametrize(("value", "expected"), [(0.0005, "0.0005"), (12345678.0, "12345678"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (1e-6, "0.000001"), (1.5e-7, "1.5e-7"), (0.1 + 0.2, "0.30000000000000004"), (-2e-3, "-0.002"), (-0.0, "0"), (0.0, "0"), (2e23, "2e+23"), (float("nan"), "NaN"), (float("-inf"), "-Infinity"), (None, None), (123456.789, "123456.789")])
+def test_plain_numbers(spark, value, expected):
+    assert one(spark, tx.plain_number, value, "double") == expected
+
+
+@pytest.mark.parametrize(("value", "expected"), [("0X1f", 31.0), ("0b101", 5.0), ("0o17", 15.0), ("0x", None), ("-0x10", None), ("   ", 0.0), (" 7﻿", 7.0), ("0x10,5", None), ("1_0", None)])
+def test_numbers_as_the_site_reads_them(spark, value, expected):
+    assert one(spark, tx.parse_number, value) == expected
+
+
+def test_natural_order(spark):
+    given = ["Zebra", "Água", "Ensino 10", "Ensino 9", "ensino 9", "a 007", "a 7", "10º", "9º", "a 99999999999999999999999", "a 100000000000000000000000"]
+    df = spark.createDataFrame([(x,) for x in given], "x string")
+    assert [r["x"] for r in df.orderBy(tx.natural_order(F.col("x")), "x").collect()] == ["9º", "10º", "a 007", "a 7", "a 99999999999999999999999", "a 100000000000000000000000", "Água", "ensino 9", "Ensino 9", "Ensino 10", "Zebra"]
+    assert [r["x"] for r in df.limit(4).orderBy(tx.collated(F.col("x"))).collect()] == ["Água", "Ensino 10", "Ensino 9", "Zebra"]
+
+
+def test_lines_are_composed(spark):
+    assert one(spark, tx.clean_lines, "é  \x1f a  b\r\nc") == "é a b c"
