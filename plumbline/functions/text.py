@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 DAMAGED = [("MANH�", "MANHÃ"), ("L�NGUA", "LÍNGUA"), ("MATEM�TICA", "MATEMÁTICA"), ("�", "º")]
 
 
-#: White space as JavaScript's \\s and trim see it, and as Python's \\s does (fixed values), as the inside of a character class.
-JS_SPACE = "\\t\\n\\x0B\\f\\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-PYTHON_SPACE = "\\t\\n\\x0B\\f\\r\x1c-\x1f \x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: White space as JavaScript's \\s and trim see it, and as Python's \\s does: the inside of a character class of the engine.
+JS_SPACE, PYTHON_SPACE = r"\t-\r\p{Z}\uFEFF", r"\t-\r\x1C-\x1F\x85\p{Z}"
 #: The normaliser among the libraries that the engine's own collations use.
 _NORMALISER = "com.ibm.icu.text.Normalizer"
 
@@ -41,7 +40,7 @@ def trimmed(x: Column, space: str = JS_SPACE) -> Column:
 
 
 def strip_accents(x: Column) -> Column:
-    """The decomposed text without its non-spacing marks."""
+    """The decomposed text without its non-spacing marks (those that the engine's Java knows)."""
     return F.regexp_replace(decomposed(x), r"\p{Mn}+", "")
 
 
@@ -76,8 +75,10 @@ class ParsedQuery:
 
 def fold(value: str) -> str:
     """`catalog_key` of a Python literal, for query strings; the engine folds it once more, so that both sides agree."""
+    import regex
+
     plain = "".join(c for c in unicodedata.normalize("NFD", value) if not "\u0300" <= c <= "\u036f")
-    return re.sub(f"[{JS_SPACE}]+", " ", plain.lower()).strip(" ")
+    return regex.sub(f"[{JS_SPACE}]+", " ", plain.lower()).strip(" ")
 
 
 def search_fold(value: str) -> str:
@@ -142,7 +143,8 @@ def clean_text(x: Column) -> Column:
 
 def clean_lines(x: Column, keep_lines: bool = False) -> Column:
     """Composed lines without soft hyphens and with single spaces; blank lines go; joined by a space or a line feed."""
-    lines = F.split(F.replace(composed(x), F.lit("\u00ad"), F.lit("")), "\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]")
+
+    lines = F.split(F.replace(composed(x), F.lit("\u00ad"), F.lit("")), "[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]")
     lines = F.transform(lines, lambda line: F.trim(F.regexp_replace(line, f"[{PYTHON_SPACE}]+", " ")))
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n" if keep_lines else " ")
 
