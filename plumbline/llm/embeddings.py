@@ -177,6 +177,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     length than the sample's most common one share one cell for each length. Null ids are kept. An empty table gives no rows.
     """
     v = F.col("v")
+    # what goes to the cells: numbers as wide as they were given, which loses nothing
+    number = np.dtype("<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label")).withColumn("u", F.monotonically_increasing_id())
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     valid = F.coalesce(v.isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
@@ -210,11 +212,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                 x = np.array([vs[i] for i in same])
                 for i, c in zip(same, index.nearest(x / np.linalg.norm(x, axis=1, keepdims=True), index.visits).tolist(), strict=True):
                     cells[i] = c
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns)), pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
+            ends = np.cumsum([0, *map(len, vs)], dtype="<i4") * number.itemsize
+            data = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(number)
+            packed = pa.Array.from_buffers(pa.binary(), len(vs), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([packed, *(b.column(k) for k in range(1, b.num_columns)), pa.array(cells, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
 
     kind = dict(unit.dtypes)["label"]
-    indexed = unit.select("v", "c", "m", "label").mapInArrow(visited, f"v array<double>, c long, m long, label {kind}, cells array<int>")
-    indexed = materialise(indexed.withColumn("dim", F.size("v")), "vector-index")
+    indexed = unit.select("v", "c", "m", "label").mapInArrow(visited, f"v binary, c long, m long, label {kind}, cells array<int>")
+    indexed = materialise(indexed.withColumn("dim", (F.octet_length("v") / number.itemsize).cast("int")), "vector-index")
     members = indexed.select("label", "dim", F.get("cells", F.lit(0)).alias("cell"), "c", "m", "cells", "v", F.lit(True).alias("held"))
     asked = indexed.select("label", "dim", F.explode("cells").alias("cell"), "c", "m", F.slice("cells", 1, 1).alias("cells"), "v", F.lit(False).alias("held"))
     place = ["label", "dim", "cell"]
@@ -228,7 +233,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     both = both.select(*place, "c", "m", "cells", "v", "held", F.when(F.col("held"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("held"), F.col("other")).otherwise(F.col("own")).alias("j"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        unit = np.array(group["v"].tolist())
+        unit = np.frombuffer(b"".join(group["v"]), number).reshape(len(group), -1).astype(np.float64)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         held, c, m = (group[k].to_numpy() for k in ("held", "c", "m"))
         home = np.array([x[0] for x in group["cells"]])

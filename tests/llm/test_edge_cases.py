@@ -105,6 +105,18 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_doubles_keep_their_digits(spark):
+    """Two vectors whose cosine reaches 0.93 in double precision only, and one that stays just below."""
+    import math
+
+    from plumbline.llm.embeddings import near_vectors
+
+    at = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [(1, [1.0, 0.0], 1), (2, at(0.93 + 2e-12), 1), (3, [0.93 - 2e-12, -math.sqrt(1 - (0.93 - 2e-12) ** 2)], 1)]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in out} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
+
+
 def test_urls(spark):
     from plumbline.llm.url_filter import filter_captures
 
