@@ -130,8 +130,12 @@ def write_details(raw: DataFrame, path: str) -> None:
     kept.hint("rebalance", F.col("unit")).sortWithinPartitions("unit", "year").write.mode("overwrite").parquet(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str) -> int:
+    """Compact JSON lines; returns the bytes of the files written."""
     df.write.mode("overwrite").json(path)
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength())
 
 
 def write_csv_export(lines: DataFrame, header: list[str], path: str) -> None:

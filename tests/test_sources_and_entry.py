@@ -137,7 +137,7 @@ def test_sources_raw_and_parsed(spark, tmp_path):
     (tmp_path / "s/b.json").write_text("no json")
     got = {r["path"].rsplit("/", 1)[1]: (r["raw"], r["data"] and (r["data"]["n"], r["data"]["m"])) for r in files.read_sources(spark, f"{tmp_path}/s", "n int, m array<string>").collect()}
     assert got == {"a.json": ('{"n": 1,\n "m": ["x"]}', (1, ["x"])), "b.json": ("no json", (None, None))}
-    files.write_json(spark.range(2), f"{tmp_path}/j")
+    assert files.write_json(spark.range(2), f"{tmp_path}/j") == len('{"id":0}\n{"id":1}\n')
     assert sorted(x for f in (tmp_path / "j").glob("part-*") for x in f.read_text().split("\n") if x) == ['{"id":0}', '{"id":1}']
 
 
