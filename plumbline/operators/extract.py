@@ -10,10 +10,28 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import clean_lines, strip_accents
 
 
-def forward_fill(rows: DataFrame, scope: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """The last non-empty value at or before each row of its scope; a scope (section, page, cycle) resets the fill."""
-    w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(name, F.last(F.when(value.cast("string") != "", value), ignorenulls=True).over(w))
+def _same(scope: list[str], left: str = "a", right: str = "b") -> Column:
+    """Null-safe equality of the scope and the stretch on both sides of a join."""
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in [*scope, "_stretch"]])
+
+
+def forward_fill(rows: DataFrame, scope: list[str], order: list[str], value: Column, name: str, stretch: Column | None = None) -> DataFrame:
+    """The last non-empty value at or before each row of its scope; a scope (section, page, cycle) resets the fill.
+
+    stretch: a number that never falls along the order, such as the order divided by a width. A scope is then filled in
+    tasks stretch by stretch, each with the last value of the stretches before it: no task sees a whole hot scope.
+    """
+    filled = F.when(value.cast("string") != "", value)
+    w = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if stretch is None:
+        return rows.withColumn(name, F.last(filled, ignorenulls=True).over(w(*scope)))
+    cut = rows.withColumns({"_stretch": stretch, "_filled": filled})
+    ends = cut.groupBy(*scope, "_stretch").agg(F.max_by("_filled", F.when(F.col("_filled").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy(*scope).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).where("_carried is not null")
+    own = cut.withColumn("_own", F.last("_filled", ignorenulls=True).over(w(*scope, "_stretch")))
+    both = own.alias("a").join(carried.alias("b"), _same(scope), "left")
+    return both.select(*[F.col(f"a.{c}") for c in rows.columns if c != name], F.coalesce("a._own", "b._carried").alias(name))
 
 
 def first_in_row_then_carry(lines: DataFrame, scope: list[str], row: str, order: list[str], value: Column, name: str) -> DataFrame:
@@ -23,27 +41,48 @@ def first_in_row_then_carry(lines: DataFrame, scope: list[str], row: str, order:
     return each.withColumn(name, F.coalesce("_own", F.last("_carry", ignorenulls=True).over(w))).drop("_own", "_carry")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, scope: list[str], time: str, value: str, clamp: bool = False) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, scope: list[str], time: str, value: str, clamp: bool = False, stretch: Column | None = None) -> DataFrame:
     """Each left row with the value of the last right row at or before it; with `clamp`, of the first one if none precedes.
 
-    Both sides become one sequence and a running last() does the match: one shuffle on the scope, no range join.
+    Both sides become one sequence and a running last() does the match: one shuffle on the scope, no range join. stretch: a
+    number that never falls along the time, by which hot scopes are split (`forward_fill`).
     """
     tagged = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(dict(right.dtypes)[value])})
     other = right.select(*scope, time, F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*scope).orderBy(time, "_side")
-    got = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both, name = tagged.unionByName(other, allowMissingColumns=True), f"asof_{value}"
+    if stretch is None:
+        got = F.last("_v", ignorenulls=True).over(Window.partitionBy(*scope).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        both = both.withColumn(name, got)
+    else:
+        both = both.withColumn("_value", F.struct("_v"))  # an empty text is a value here
+        both = forward_fill(both, scope, [time, "_side"], F.when(F.col("_v").isNotNull(), F.col("_value")), name, stretch).withColumn(name, F.col(f"{name}._v")).drop("_value")
     if clamp:
-        got = F.coalesce(got, F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    both = tagged.unionByName(other, allowMissingColumns=True).withColumn(f"asof_{value}", got)
+        both = both.withColumn(name, F.coalesce(name, F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(time))).over(Window.partitionBy(*scope))))
     return both.where("_side = 1").drop("_side", "_v")
 
 
-def gap_groups(rows: DataFrame, scope: list[str], order: str, gap: Column | float, name: str = "island") -> DataFrame:
-    """Number the islands of each scope: a new one begins where the order value leaves the one before by more than `gap`."""
-    w = Window.partitionBy(*scope).orderBy(order)
-    step = F.col(order) - F.lag(order).over(w)
-    rows = rows.withColumn("_new", F.when(step > gap, 1).otherwise(0))
-    return rows.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+def gap_groups(rows: DataFrame, scope: list[str], order: str, gap: Column | float, name: str = "island", stretch: Column | None = None) -> DataFrame:
+    """Number the islands of each scope: a new one begins where the order value leaves the one before by more than `gap`.
+
+    stretch: a number that never falls along the order. Islands are then numbered stretch by stretch, and a stretch goes on
+    from the number and the last order value of the one before: no task sees a whole hot scope.
+    """
+    keys = scope if stretch is None else [*scope, "_stretch"]
+    w = Window.partitionBy(*keys).orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows if stretch is None else rows.withColumn("_stretch", stretch)
+    new = cut.withColumn("_new", F.when(F.col(order) - F.lag(order).over(w) > gap, 1).otherwise(0))
+    numbered = new.withColumn(name, F.sum("_new").over(run))
+    if stretch is None:
+        return numbered.drop("_new")
+    ends = new.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.sum("_new").alias("_inner"))
+    along = Window.partitionBy(*scope).orderBy("_stretch")
+    begins = F.when(F.col("_low") - F.lag("_high").over(along) > gap, 1).otherwise(0)
+    ends = ends.withColumn("_begins", begins)
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("_before", F.sum(F.col("_begins") + F.col("_inner")).over(upto) - F.col("_inner"))
+    both = numbered.alias("a").join(ends.alias("b"), _same(scope))
+    return both.select(*[F.col(f"a.{c}") for c in rows.columns if c != name], (F.col(f"a.{name}") + F.col("b._before")).alias(name))
 
 
 def paragraphs(lines: DataFrame, scope: list[str], order: str, gap: float, text: str, joiner: Column | None = None) -> DataFrame:

@@ -825,3 +825,28 @@ def split_cells(spark, sf_dir):
 def existence_by_subject(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_type", F.when(F.col("p_size") > 20, F.col("p_brand")).alias("unit"), F.lit(None).cast("string").alias("object"), F.when(F.col("p_type").startswith("ECONOMY"), F.col("p_name")).alias("field"))
     return oc.existence_flags(part, ["p_type"])
+
+
+def _day(column: str):
+    """The day of a time: a stretch for hot scopes."""
+    return F.date_diff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+@query("SELECT event_id, last_value(nullif(CASE WHEN event_type = 'view' THEN event_type || event_id END, '') IGNORE NULLS) OVER (PARTITION BY event_type = 'error' ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seen FROM events")
+def forward_fill_stretches(spark, sf_dir):
+    """Two scopes that hold all events, each filled in stretches of a day."""
+    events = table(spark, sf_dir, "events").withColumn("wrong", F.col("event_type") == "error")
+    value = F.when(F.col("event_type") == "view", F.concat("event_type", F.col("event_id").cast("string")))
+    return ox.forward_fill(events, ["wrong"], ["ts", "event_id"], value, "seen", _day("ts")).select("event_id", "seen")
+
+
+@query(ORACLES["asof_backward"])
+def asof_stretches(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return ox.asof_backward(events.where("event_type = 'purchase'"), views, ["user_id"], "ts", "view_id", stretch=_day("ts")).select("event_id", "asof_view_id")
+
+
+@query(ORACLES["gap_groups"])
+def gap_groups_stretches(spark, sf_dir):
+    return ox.gap_groups(table(spark, sf_dir, "events"), ["user_id"], "ts", F.expr("interval 1 day"), stretch=F.floor(_day("ts") / 30)).select("event_id", "island")

@@ -246,3 +246,22 @@ def test_headings(spark):
     for args in (("LINGUAGENS", 2), ("none", 0)):
         with pytest.raises(Exception, match="not found from page"):
             ox.heading_page(pages, *args).collect()
+
+
+def test_stretches_change_nothing(spark):
+    import random
+
+    rng = random.Random(8)
+    data = [(i, rng.choice(["a", "a", "a", "b", None]), float(rng.randrange(0, 4000)) + i / 1000, rng.choice(["", None, "x", "y", "z"])) for i in range(600)]
+    df = spark.createDataFrame(data, "i int, s string, t double, v string")
+    stretch = F.floor(F.col("t") / 97)
+    got = lambda out, c: {r["i"]: r[c] for r in out.collect()}
+    plain, split = (ox.forward_fill(df, ["s"], ["t"], F.col("v"), "f", x) for x in (None, stretch))
+    assert got(plain, "f") == got(split, "f") and sorted(plain.columns) == sorted(split.columns)
+    for gap in (5.0, 40.0, 200.0):
+        plain, split = (ox.gap_groups(df, ["s"], "t", gap, stretch=x) for x in (None, stretch))
+        assert got(plain, "island") == got(split, "island")
+    right = df.where("i % 3 = 0").select("s", (F.col("t") + 900).alias("t"), "v")
+    for clamp in (False, True):
+        plain, split = (ox.asof_backward(df.where("i % 3 = 1"), right, ["s"], "t", "v", clamp, x) for x in (None, stretch))
+        assert got(plain, "asof_v") == got(split, "asof_v") and (clamp or None in got(plain, "asof_v").values())
