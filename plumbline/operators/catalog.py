@@ -145,10 +145,24 @@ def lookup(records: DataFrame, code: str) -> DataFrame:
     return records.where(F.lower("code") == code.lower()).orderBy("ord").limit(1)
 
 
-def neighbours(records: DataFrame, within: list[str]) -> DataFrame:
-    """Each record with the code before and after it in its group, in catalogue order."""
-    w = Window.partitionBy(*within).orderBy("ord")
-    return records.select("code", *within, F.lag("code").over(w).alias("previous"), F.lead("code").over(w).alias("next"))
+def neighbours(records: DataFrame, within: list[str], stretch: Column | None = None) -> DataFrame:
+    """Each record with the code before and after it in its group, in catalogue order.
+
+    stretch: a number that never falls along ord. A group is then taken stretch by stretch, and the first and last records
+    of a stretch look into the ones beside it: no task sees a whole hot group.
+    """
+    keys = within if stretch is None else [*within, "_stretch"]
+    w = Window.partitionBy(*keys).orderBy("ord")
+    cut = records if stretch is None else records.withColumn("_stretch", stretch)
+    near = cut.select("code", *keys, F.lag("code").over(w).alias("previous"), F.lead("code").over(w).alias("next"), F.row_number().over(w).alias("_k"), "ord")
+    if stretch is None:
+        return near.drop("_k", "ord")
+    ends = cut.groupBy(*keys).agg(F.min_by("code", "ord").alias("_first"), F.max_by("code", "ord").alias("_last"), F.max("ord").alias("_end"))
+    along = Window.partitionBy(*within).orderBy("_stretch")
+    ends = ends.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_end", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_behind"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+    previous, following = F.when(F.col("_k") == 1, F.col("_before")).otherwise(F.col("previous")), F.when(F.col("ord") == F.col("_end"), F.col("_behind")).otherwise(F.col("next"))
+    return near.join(ends, same).select("code", *within, previous.alias("previous"), following.alias("next"))
 
 
 def related_by_group(records: DataFrame, keys: list[str], n: int = 4) -> DataFrame:

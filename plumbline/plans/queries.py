@@ -850,3 +850,8 @@ def asof_stretches(spark, sf_dir):
 @query(ORACLES["gap_groups"])
 def gap_groups_stretches(spark, sf_dir):
     return ox.gap_groups(table(spark, sf_dir, "events"), ["user_id"], "ts", F.expr("interval 1 day"), stretch=F.floor(_day("ts") / 30)).select("event_id", "island")
+
+
+@query(ORACLES["adjacent_component"])
+def adjacent_stretches(spark, sf_dir):
+    return oc.neighbours(catalog(spark, sf_dir), ["subject"], F.floor(F.col("ord") / 100))

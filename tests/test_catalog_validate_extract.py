@@ -265,3 +265,10 @@ def test_stretches_change_nothing(spark):
     for clamp in (False, True):
         plain, split = (ox.asof_backward(df.where("i % 3 = 1"), right, ["s"], "t", "v", clamp, x) for x in (None, stretch))
         assert got(plain, "asof_v") == got(split, "asof_v") and (clamp or None in got(plain, "asof_v").values())
+
+
+def test_neighbours_in_stretches(spark):
+    rows = [(f"c{i}" if i % 7 else None, "a" if i % 5 else None, i * 3) for i in range(200)] + [("lone", "z", 10_000)]
+    df = spark.createDataFrame(rows, "code string, subject string, ord long")
+    plain, split = (sorted(map(str, oc.neighbours(df, ["subject"], x).collect())) for x in (None, F.floor(F.col("ord") / 17)))
+    assert plain == split and len(plain) == 201
