@@ -21,7 +21,7 @@ CLASSES, MEMBERS = 32, 32
 UNITS = HEAD + ENDINGS
 STATE = 16
 #: Steps between gradients' cuts; streams of texts read side by side, in training (fewer for few tokens) and in scoring.
-WINDOW, LANES, SCORE_LANES = 16, 256, 512
+WINDOW, LANES, SCORE_LANES = 16, 512, 512
 #: Tokens of a stream that are worth another one.
 STREAM = 2048
 #: Tokens that a task gathers before it trains or scores them.
@@ -429,7 +429,7 @@ def fit_language_model(docs: DataFrame, trained_on: Column, id_col: str, text_co
     key = F.concat_ws(":", F.col("id").cast("string"), "text")
     sample = hashed_sample(texts, key, n, WARM_TEXTS, "first-texts").repartition(1).sortWithinPartitions(F.xxhash64(key), "text")
     weights = _fitted(sample.select("text"), shared, None, 0.006, WARM_PASSES, WARM_LANES, WARM_TOKENS)
-    weights = _fitted(texts.select("text"), shared, weights, 0.003, 1, LANES, None)
+    weights = _fitted(texts.select("text"), shared, weights, 0.004, 1, LANES, None)
     return LanguageModel(vocabulary, Network().weights() if weights is None else weights, rare, total)
 
 
