@@ -272,3 +272,16 @@ def test_neighbours_in_stretches(spark):
     df = spark.createDataFrame(rows, "code string, subject string, ord long")
     plain, split = (sorted(map(str, oc.neighbours(df, ["subject"], x).collect())) for x in (None, F.floor(F.col("ord") / 17)))
     assert plain == split and len(plain) == 201
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_related_by_overlap_is_dealt_before_it_grows(spark):
+    rows = [(f"c{i:03d}", "g" if i % 3 else None, sorted({i % 5, i % 7, 99} if i % 11 else {i})) for i in range(300)]
+    df = spark.createDataFrame(rows, "code string, g string, skills array<int>").coalesce(1)
+    near = oc.related_by_overlap(df, ["g"], "skills")
+    want = {(c, o, k) for c, g, s in rows for k, o in enumerate([o for o, h, t in rows if o != c and h == g and set(s) & set(t)][:4], 1)}
+    assert {tuple(r) for r in near.collect()} == want
+    assert "REPARTITION_BY_COL" in _plan(near) and "collect_list(_codes" in _plan(near)
