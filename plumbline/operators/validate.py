@@ -155,10 +155,14 @@ def distinct_check(rows: DataFrame, key: str) -> DataFrame:
 
 
 def key_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(side, key): keys that only one side has: two anti joins."""
-    a, b = left.select(F.col(key).alias("key")), right.select(F.col(key).alias("key"))
-    only = lambda x, y, side: x.join(y, "key", "left_anti").distinct().select(F.lit(side).alias("side"), "key")
-    return only(a, b, "left").union(only(b, a, "right"))
+    """(side, key): keys that only one side has, each once; a null equals no other, so it is named for every side that has one.
+
+    One aggregation over both sides' keys, so that each key leaves its task once however often it stands there.
+    """
+    a, b = left.select(F.col(key).alias("key"), F.lit(1).alias("_side")), right.select(F.col(key).alias("key"), F.lit(2).alias("_side"))
+    held = a.union(b).groupBy("key").agg(F.bit_or("_side").alias("_held"))
+    alone = lambda bit, side: F.when((F.col("_held") == bit) | (F.col("key").isNull() & (F.col("_held") == 3)), side)
+    return held.where("key is null or _held < 3").select(F.explode(F.array_compact(F.array(alone(1, "left"), alone(2, "right")))).alias("side"), "key")
 
 
 def fixed_range_gaps(records: DataFrame, number: str, last: int) -> DataFrame:

@@ -285,3 +285,11 @@ def test_related_by_overlap_is_dealt_before_it_grows(spark):
     want = {(c, o, k) for c, g, s in rows for k, o in enumerate([o for o, h, t in rows if o != c and h == g and set(s) & set(t)][:4], 1)}
     assert {tuple(r) for r in near.collect()} == want
     assert "REPARTITION_BY_COL" in _plan(near) and "collect_list(_codes" in _plan(near)
+
+
+def test_key_mismatches_are_one_aggregation(spark):
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "k long")
+    out = ov.key_mismatches(keys(1, 1, 2, 2, None, None), keys(2, 3, 3, 3, None), "k")
+    assert sorted(map(tuple, out.collect()), key=str) == [("left", 1), ("left", None), ("right", 3), ("right", None)]
+    assert [tuple(r) for r in ov.key_mismatches(keys(1, None), keys(1), "k").collect()] == [("left", None)]
+    assert "Join" not in _plan(out)
