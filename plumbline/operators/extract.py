@@ -228,9 +228,21 @@ def heading_page(pages: DataFrame, heading: str, start: int = 0, folded: bool =
     return held.agg(F.min("page").alias("_first")).select(F.coalesce("_first", none).alias("page"))
 
 
-def corrected(rows: DataFrame, corrections: DataFrame, key: str, column: str) -> DataFrame:
-    """Literal replacements by key, in their order: corrections (key, seq, old, new) are folded over the column."""
+#: Up to this number of corrections are broadcast; with more, each key's rows are dealt to so many places.
+BROADCAST_CORRECTIONS, PLACES = 100_000, 64
+
+
+def corrected(rows: DataFrame, corrections: DataFrame, key: str, column: str, most: int = BROADCAST_CORRECTIONS) -> DataFrame:
+    """Literal replacements by key, in their order: corrections (key, seq, old, new) are folded over the column.
+
+    The rows of a key never meet in one task: up to `most` corrections go to the rows, beyond that the rows of a key are
+    dealt by their text to PLACES places, each with the key's corrections.
+    """
     lists = corrections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("_c"))
-    out = rows.join(lists, key, "left")
+    if corrections.count() <= most:
+        out = rows.join(F.broadcast(lists), key, "left")
+    else:
+        places = lists.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+        out = rows.withColumn("_place", F.pmod(F.hash(column), F.lit(PLACES))).join(places, [key, "_place"], "left").drop("_place")
     fixed = F.aggregate("_c", F.col(column), lambda t, c: F.replace(t, c["old"], c["new"]))
     return out.withColumn(column, F.coalesce(fixed, F.col(column))).drop("_c")

@@ -293,3 +293,13 @@ def test_key_mismatches_are_one_aggregation(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [("left", 1), ("left", None), ("right", 3), ("right", None)]
     assert [tuple(r) for r in ov.key_mismatches(keys(1, None), keys(1), "k").collect()] == [("left", None)]
     assert "Join" not in _plan(out)
+
+
+def test_corrected_rows_of_a_key_stay_apart(spark):
+    rules = spark.createDataFrame([("a", 1, "x", "y"), ("a", 2, "y", "z"), ("b", 1, "x", "w")], "k string, seq int, old string, new string")
+    rows = spark.createDataFrame([(k, f"x{i}") for i in range(200) for k in ("a", "b", "c", None)], "k string, t string")
+    want = {(k, f"{ {'a': 'z', 'b': 'w'}.get(k, 'x') }{i}") for i in range(200) for k in ("a", "b", "c", None)}
+    few, many = ox.corrected(rows, rules, "k", "t"), ox.corrected(rows, rules, "k", "t", most=0)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} == want
+    assert few.columns == many.columns == ["k", "t"]
+    assert "strategy=broadcast" in _plan(few) and "_place" in _plan(many)
