@@ -134,3 +134,14 @@ def test_series_and_cap_flags(spark):
     flags = lambda q: tuple(oa.match_state(index, q).first())
     assert flags("school 39") == (1, True, False, False, True) and flags("school 3") == (11, False, True, False, True)
     assert flags("school") == (40, False, False, True, False) and flags("") == (0, False, False, False, False)
+
+
+def test_means_do_not_depend_on_the_order(spark):
+    """Ten units of 0.1 have a mean of 0.1 and a gap of 0, which counts as below; adding them up one by one ends under 1."""
+    rows = [(y, "n", "r", str(u), f"U{u}", "g", "GERAL", "s", 0.1, u) for y in (2024, 2025) for u in range(10)]
+    raw = spark.createDataFrame(rows, "year int, network string, region string, unit string, unit_name string, grade string, period string, subject string, score double, ord long")
+    units = oa.executive(raw)
+    compared = oa.against_benchmark(units, oa.benchmark(units)).collect()
+    assert len(compared) == 10 and {(r["gap2025"], r["position"]) for r in compared} == {(0.0, "RECUPERACAO")}
+    means = spark.createDataFrame([("b", 1e300), ("b", -1e300), ("c", None)], "k string, x double").groupBy("k").agg(oa.mean(F.col("x")).alias("m"))
+    assert {r["k"]: r["m"] for r in means.collect()} == {"b": 0.0, "c": None}

@@ -17,6 +17,13 @@ def test_number_text(spark, value, expected):
     assert one(spark, tx.number_text, value, "double") == expected
 
 
+@pytest.mark.parametrize(("value", "digits", "expected"), [(30.849999999999998, 1, "30,9"), (27.7 - 21.25, 1, "6,5"), (-30.849999999999998, 1, "-30,9"), (-0.0, 1, "-0,0"), (21.34, 1, "21,3"), (2.675, 2, "2,68"), (9.5, 0, "10"), (1e15 + 0.5, 1, "1.000.000.000.000.000,5"), (1e300, 0, None)])
+def test_number_text_of_sums(spark, value, digits, expected):
+    """Means and differences are half-up although their additions end just below the half."""
+    text = one(spark, lambda x: tx.number_text(x, digits), value, "double")
+    assert text == expected if expected else len(text) == 401
+
+
 def test_signed_and_plain_numbers(spark):
     assert one(spark, tx.signed_text, 3.0, "double") == "+3,0"
     assert one(spark, tx.signed_text, -3.0, "double") == "-3,0"
